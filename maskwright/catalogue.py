@@ -1,10 +1,553 @@
-"""Registered queries and their SQL twins."""
+"""Registered queries and their SQL twins.
+
+The driver's tables hold no Japanese text, so Japanese rules read sentences that one SQL expression builds from
+keys in both engines; what the rules must find there is then known by construction.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from maskwright.functions import text as t
+from maskwright.operators import detect, dictionary, evaluate, licences, manual, mask, resolve
+from maskwright.plans.engine import Engine, merged, semi_accepted
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+Query = Callable[[SparkSession, str], DataFrame]
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+# pieces of SQL
+
+
+def spans_sql(rows: str, pattern: str) -> str:
+    """Matches of an RE2 pattern in ``rows`` (id, text): (id, s, e, v), by marks and running lengths."""
+    quoted = pattern.replace("'", "''")
+    return f"""
+      select id, pos as s, pos + length(v) as e, v from (
+        select id, i, v, sum(length(v)) over (partition by id order by i) - length(v) as pos from (
+          select id, unnest(p) as v, generate_subscripts(p, 1) as i from (
+            select id, string_split(regexp_replace(text, '({quoted})', chr(57344) || '\\1' || chr(57344), 'g'), chr(57344)) as p from ({rows})
+          ) where len(p) > 1)
+      ) where i % 2 = 0"""
+
+
+def flat_sql(spans: str, entity: str, score: float, source: str) -> str:
+    return f"select id, '{entity}' as entity_type, cast(s as int) as start_at, cast(e as int) as end_at, v as span_text, cast({score} as double) as score, '{source}' as source from ({spans})"
+
+
+def flat(df: DataFrame, found: Column) -> DataFrame:
+    """(id, ...) one row per candidate of ``df`` (id, text, norm)."""
+    rows = df.select("id", "text", F.explode(found).alias("c"))
+    return rows.select("id", "c.entity_type", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"), t.piece(F.col("text"), F.col("c.start"), F.col("c.end")).alias("span_text"), "c.score", "c.source")
+
+
+def normal(df: DataFrame) -> DataFrame:
+    return df.withColumn("norm", t.normalised(F.col("text")))
+
+
+def rule(df: DataFrame, entity: str, profile: str = "local") -> DataFrame:
+    return flat(normal(df), detect.RULES[entity](F.col("norm"), profile))
+
+
+def built(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    """(id, text) by an SQL select over the table, as it stands in both engines."""
+    table(spark, sf_dir, name).createOrReplaceTempView(f"maskwright_{name}")
+    return spark.sql(sql.replace(f" from {name}", f" from maskwright_{name}"))
+
+
+def known(sql: str, entity: str, score: float, source: str, where: str = "true") -> str:
+    """The twin of a rule over built sentences: columns before, v of the same select say what must be found."""
+    return f"select id, '{entity}' as entity_type, cast(length(before) as int) as start_at, cast(length(before) + length(v) as int) as end_at, v as span_text, cast({score} as double) as score, '{source}' as source from ({sql}) where {where}"
+
+
+def sentences(spark: SparkSession, sf_dir: str, name: str, sql: str) -> DataFrame:
+    return built(spark, sf_dir, name, f"select id, before || v || after as text from ({sql})")
+
+
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+
+
+DOCUMENTS = "select doc_id as id, text from documents"
+PAGES = "select page_id as id, html as text from pages"
+
+EMAIL_RE2 = r"[A-Za-z0-9.!#$%&''*+/=?^`{|}~-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+".replace("''", "'")
+IP_RE2 = t.IP_PATTERN
+
+
+def email_sql(rows: str) -> str:
+    return flat_sql(spans_sql(rows, EMAIL_RE2), "EMAIL_ADDRESS", 0.85, "local-pattern")
+
+
+def ip_sql(rows: str) -> str:
+    runs = spans_sql(rows, "[0-9A-Fa-f:.]{3,}")
+    cut = f"select id, s + length(v) - length(ltrim(v, '.')) as s, trim(v, '.') as v from ({runs})"
+    return flat_sql(f"select id, s, s + length(v) as e, v from ({cut}) where regexp_matches(v, '{IP_RE2}')", "IP_ADDRESS", 0.98, "ip-validator")
+
+
+def postal_sql(rows: str) -> str:
+    # a postal number is the end of a chain of digits and hyphens: 3 digits, then 4
+    chains = spans_sql(rows, "[0-9]+(?:[-ー][0-9]+)*")
+    return flat_sql(f"select id, e - 8 as s, e, right(v, 8) as v from ({chains}) where regexp_matches(v, '(^|[-ー])[0-9]{{3}}[-ー][0-9]{{4}}$')", "POSTAL_CODE", 0.85, "local-pattern")
+
+
+def luhn_sql(digits: str) -> str:
+    d = f"cast(substr({digits}, length({digits}) - i + 1, 1) as int)"
+    return f"list_sum(list_transform(range(1, length({digits}) + 1), lambda i: case when i % 2 = 0 then case when 2 * {d} > 9 then 2 * {d} - 9 else 2 * {d} end else {d} end)) % 10 = 0"
+
+
+def card_sql(rows: str) -> str:
+    chains = spans_sql(rows, "[0-9](?:[ -]?[0-9]){12,}[ -]?")
+    digits = f"select *, regexp_replace(v, '[^0-9]', '', 'g') as d from ({chains})"
+    return flat_sql(f"select * from ({digits}) where length(d) between 13 and 19 and {luhn_sql('d')}", "CREDIT_CARD", 0.97, "luhn-rule")
+
+
+# text
+
+
+WIDE_SQL = "select c_custkey as id, '電話　' || translate(lpad(cast(c_custkey as string), 8, '0'), '0123456789', '０１２３４５６７８９') || '－' || c_mktsegment as text from customer"
+
+
+@query(f"select id, translate(text, '０１２３４５６７８９－　', '0123456789- ') as normalised, length(text) as n from ({WIDE_SQL})")
+def normalize_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = built(spark, sf_dir, "customer", WIDE_SQL)
+    return df.select("id", t.normalised(F.col("text")).alias("normalised"), F.length("text").cast("long").alias("n"))
+
+
+LUHN_SQL = "select o_orderkey as id, '411111' || lpad(cast(o_orderkey as string), 10, '0') as digits from orders"
+
+
+@query(f"select id, {luhn_sql('digits')} as valid from ({LUHN_SQL})")
+def luhn_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return built(spark, sf_dir, "orders", LUHN_SQL).select("id", t.luhn(F.col("digits")).alias("valid"))
+
+
+KEY_SQL = "select c_custkey as id, 'ＡBcé ' || c_name || c_mktsegment as term, '/a/b c/' || c_name || '#?.pdf' as path, '<a href=\"x\">' || c_mktsegment || ' & ''co''</a>' as html from customer"
+
+
+@query(
+    "select id, translate(term, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as key, regexp_replace(regexp_extract(path, '[^/]*$'), '[^0-9A-Za-z_.()-]', '_', 'g') as name, "
+    "replace(replace(replace(replace(replace(html, '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '\"', '&quot;'), '''', '&#039;') as escaped, "
+    f"substr(sha256('text:' || cast(id as string) || ':' || cast(id + 3 as string) || ':PERSON'), 1, 20) as finding_id from ({KEY_SQL})"
+)
+def text_functions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = built(spark, sf_dir, "customer", KEY_SQL)
+    return df.select("id", t.ascii_key(F.col("term")).alias("key"), t.download_name(F.col("path")).alias("name"), t.html_escaped(F.col("html")).alias("escaped"), t.finding_id(F.lit("text"), F.col("id"), F.col("id") + 3, F.lit("PERSON")).alias("finding_id"))
+
+
+# detectors over the driver's text
+
+
+@query(email_sql(DOCUMENTS))
+def detect_email(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(documents(spark, sf_dir), "EMAIL_ADDRESS")
+
+
+def pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "pages").select(F.col("page_id").alias("id"), F.col("html").alias("text"))
+
+
+@query(email_sql(PAGES))
+def detect_email_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(pages(spark, sf_dir), "EMAIL_ADDRESS")
+
+
+@query(email_sql(DOCUMENTS).replace("0.85", "0.92").replace("local-pattern", "presidio-pattern"))
+def detect_email_pattern_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(documents(spark, sf_dir), "EMAIL_ADDRESS", "pattern")
+
+
+@query(postal_sql(DOCUMENTS))
+def detect_postal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(documents(spark, sf_dir), "POSTAL_CODE")
+
+
+@query(card_sql(DOCUMENTS))
+def detect_credit_card(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(documents(spark, sf_dir), "CREDIT_CARD")
+
+
+@query(ip_sql(DOCUMENTS))
+def detect_ip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(documents(spark, sf_dir), "IP_ADDRESS")
+
+
+@query(ip_sql(PAGES))
+def detect_ip_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(pages(spark, sf_dir), "IP_ADDRESS")
+
+
+# detectors over built sentences
+
+URL_SQL = "select page_id as id, '詳細は' as before, url as v, case page_id % 3 when 0 then 'です。' when 1 then 'でした、' else ' を見る' end as after from pages"
+
+
+@query(known(URL_SQL, "URL", 0.85, "local-pattern"))
+def detect_url(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "pages", URL_SQL), "URL")
+
+
+_PHONE = "lpad(cast(1000 + c_custkey * 37 % 9000 as string), 4, '0')", "lpad(cast(1000 + c_custkey * 53 % 9000 as string), 4, '0')"
+_WIDE_DIGITS = "translate({}, '0123456789-', '０１２３４５６７８９－')"
+PHONE_SQL = f"""select c_custkey as id, case when c_custkey % 7 = 0 then '型番' else '連絡先は' end as before, c_custkey % 7 <> 0 as counts,
+  case c_custkey % 5 when 0 then '090-' || {_PHONE[0]} || '-' || {_PHONE[1]} when 1 then '080 ' || {_PHONE[0]} || ' ' || {_PHONE[1]}
+  when 2 then {_WIDE_DIGITS.format(f"'070-' || {_PHONE[0]} || '-' || {_PHONE[1]}")} when 3 then '+81-90-' || {_PHONE[0]} || '-' || {_PHONE[1]}
+  else '(080)' || {_PHONE[0]} || '-' || {_PHONE[1]} end as v, 'です。' as after from customer"""
+
+
+@query(known(PHONE_SQL, "PHONE_NUMBER", 0.85, "local-pattern", "counts"))
+def detect_phone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", PHONE_SQL), "PHONE_NUMBER")
+
+
+_POST = "cast(100 + c_custkey * 7 % 900 as string)", "cast(1000 + c_custkey * 31 % 9000 as string)"
+POSTAL_SQL = f"""select c_custkey as id, case c_custkey % 5 when 3 then '郵便番号は' else '登録値は' end as before, c_custkey % 5 <> 4 as counts,
+  case c_custkey % 5 when 0 then '〒' || {_POST[0]} || '-' || {_POST[1]} when 1 then {_POST[0]} || '-' || {_POST[1]}
+  when 2 then '〒 ' || {_POST[0]} || {_POST[1]} else {_POST[0]} || {_POST[1]} end as v, 'です。' as after from customer"""
+
+
+@query(known(POSTAL_SQL, "POSTAL_CODE", 0.85, "local-pattern", "counts"))
+def detect_postal_japanese(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", POSTAL_SQL), "POSTAL_CODE")
+
+
+_DAY = "cast(year(o_orderdate) as string)", "cast(month(o_orderdate) as string)", "cast(day(o_orderdate) as string)"
+DATE_SQL = f"""select o_orderkey as id, '申請日は' as before, case o_orderkey % 4 when 0 then {_DAY[0]} || '年' || {_DAY[1]} || '月' || {_DAY[2]} || '日'
+  when 1 then {_DAY[0]} || '/' || lpad({_DAY[1]}, 2, '0') || '/' || lpad({_DAY[2]}, 2, '0') when 2 then {_DAY[0]} || '-' || {_DAY[1]} || '-' || {_DAY[2]}
+  else {_DAY[1]} || '月' || {_DAY[2]} || '日' end as v, 'です。' as after from orders"""
+
+
+@query(known(DATE_SQL, "DATE_TIME", 0.72, "date-rule"))
+def detect_date(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "orders", DATE_SQL), "DATE_TIME")
+
+
+_N = "cast(c_custkey % 20 + 1 as string)", "cast(c_custkey % 30 + 1 as string)", "cast(c_custkey % 9 + 1 as string)"
+ADDRESS_SQL = f"""select c_custkey as id, '送付先は' as before, case c_custkey % 3 when 0 then '東京都千代田区霞が関' || {_N[0]} || '丁目' || {_N[1]} || '番' || {_N[2]} || '号'
+  when 1 then '大阪府大阪市北区梅田' || {_N[0]} || '-' || {_N[1]} || '-' || {_N[2]}
+  else '北海道札幌市中央区北一条' || {_WIDE_DIGITS.format(_N[0])} || '丁目' || {_WIDE_DIGITS.format(_N[1])} || '番地' end as v, 'です。' as after from customer"""
+
+
+@query(known(ADDRESS_SQL, "ADDRESS", 0.76, "jp-address-rule"))
+def detect_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", ADDRESS_SQL), "ADDRESS")
+
+
+NUMBER_SQL = """select o_orderkey as id, case o_orderkey % 4 when 0 then '個人番号として' when 1 then '免許証番号として' when 2 then '普通口座は' else '照合番号は' end as before,
+  case o_orderkey % 4 when 2 then lpad(cast(1000000 + o_orderkey as string), 7, '0') else cast(100000000000 + o_orderkey * 7919 as string) end as v,
+  'が記載されています。' as after, o_orderkey % 4 as kind from orders"""
+
+
+@query(" union all ".join(known(NUMBER_SQL, e, s, "jp-context-rule", f"kind = {k}") for k, (e, s) in enumerate((("PERSONAL_ID", 0.94), ("DRIVER_LICENSE", 0.9), ("BANK_ACCOUNT", 0.82)))))
+def detect_context_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = normal(sentences(spark, sf_dir, "orders", NUMBER_SQL))
+    return flat(df, F.concat(*(detect.RULES[e](F.col("norm"), "local") for e in detect.CONTEXTS)))
+
+
+PERSON_SQL = """select c_custkey as id, case c_custkey % 3 when 0 then '担当者は' when 1 then '申請書には' else '氏名: ' end as before,
+  case c_custkey % 4 when 0 then '山田太郎' when 1 then 'さとうたろう' when 2 then 'カトウイチロウ' else 'Misaki Ito' end as v,
+  case c_custkey % 5 when 4 then 'です。' else 'さんです。' end as after, c_custkey % 5 <> 4 as counts from customer"""
+
+
+@query(known(PERSON_SQL, "PERSON", 0.86, "jp-person-context-rule", "counts"))
+def detect_person_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", PERSON_SQL), "PERSON")
+
+
+ORGANIZATION_SQL = """select c_custkey as id, case c_custkey % 2 when 0 then '確認対象は' else '登録値：' end as before,
+  case c_custkey % 5 when 0 then '株式会社青空' when 1 then '合同会社ことのは' when 2 then '一般社団法人みらい' when 3 then '東都データ研究所' else '医療法人さくら会' end || cast(c_custkey % 17 + 1 as string) as v,
+  case c_custkey % 3 when 0 then 'でした。' else 'です。' end as after from customer"""
+
+
+@query(known(ORGANIZATION_SQL, "ORGANIZATION", 0.86, "jp-organization-context-rule"))
+def detect_organization_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", ORGANIZATION_SQL), "ORGANIZATION")
+
+
+LOCATION_SQL = """select c_custkey as id, '申請書には' as before, case c_custkey % 4 when 0 then '那覇市' when 1 then '福岡県' when 2 then '港区' else '札幌' end as v,
+  case c_custkey % 3 when 0 then 'が配送地域です。' when 1 then 'の会場です。' else 'から届きました。' end as after, c_custkey % 4 <> 3 as counts from customer"""
+
+
+@query(known(LOCATION_SQL, "LOCATION", 0.84, "jp-location-context-rule", "counts"))
+def detect_location_context(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return rule(sentences(spark, sf_dir, "customer", LOCATION_SQL), "LOCATION")
+
+
+# dictionary
+
+TERMS = (("password", "CUSTOM"), ("clown", "PERSON"), ("Heit", "CUSTOM"))
+
+
+@query(" union all ".join(flat_sql(spans_sql(DOCUMENTS, f"(?i:{term})"), entity, 1.0, "pii-dictionary") for term, entity in TERMS))
+def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return flat(documents(spark, sf_dir), dictionary.match_terms(F.col("text"), TERMS))
+
+
+@query(
+    "with terms as (select p_partkey as id, split_part(p_name, ' ', 1) as term from part where p_partkey % 10 = 0), "
+    "firsts as (select min(id) as id, lower(term) as term from terms where length(term) >= 3 group by 2) "
+    "select d.doc_id as id, t.term, len(regexp_extract_all(lower(d.text), t.term)) as hits from documents d join firsts t on contains(lower(d.text), t.term)"
+)
+def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The path of dictionaries that are too large for a plan."""
+    terms = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("term"))
+    terms = terms.where(F.length("term") >= 3).groupBy(F.lower("term").alias("term")).agg(F.min("id").alias("id")).select("id", "term", F.lit("CUSTOM").alias("entity_type"))
+    docs = documents(spark, sf_dir)
+    pairs = dictionary.join_terms(docs, ["id"], "text", terms)
+    found = docs.join(pairs, "id").select("id", F.explode(dictionary.match_pairs(F.col("text"), F.col("pairs"))).alias("c"), "text")
+    return found.select("id", F.lower(t.piece(F.col("text"), F.col("c.start"), F.col("c.end"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("hits"))
+
+
+NEW_TERMS_SQL = "select '  ' || c_mktsegment || ' ' as term, 'CUSTOM' as entity_type, 'n' || cast(min(c_custkey) as string) || ' ' as note from customer group by c_mktsegment"
+
+
+@query(f"select row_number() over (order by term) + 7 as id, trim(term) as term, entity_type, trim(note) as note from ({NEW_TERMS_SQL}) where lower(trim(term)) <> 'building'")
+def dictionary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
+    now = spark.createDataFrame([(7, "building", "CUSTOM", "first", "")], "id long, term string, entity_type string, note string, created_at string")
+    fresh = dictionary.new_entries(now, dictionary.trimmed(built(spark, sf_dir, "customer", NEW_TERMS_SQL)), 7)
+    return fresh.select("id", "term", "entity_type", "note")
+
+
+# resolution, masking, review
+
+RANK_SQL = "case source when 'pii-dictionary' then 5 when 'luhn-rule' then 4 when 'jp-context-rule' then 4 when 'ip-validator' then 4 else 3 end"
+ALL_SQL = " union all ".join(
+    f"select *, {seq} as seq from ({sql})"
+    for seq, sql in enumerate((email_sql(DOCUMENTS), postal_sql(DOCUMENTS), card_sql(DOCUMENTS), ip_sql(DOCUMENTS), flat_sql(spans_sql(DOCUMENTS, "(?i:password)"), "CUSTOM", 1.0, "pii-dictionary")))
+)
+#: Findings of the documents: candidates ranked, then taken greedily.
+RESOLVED_SQL = f"""select id, unnest(chosen, recursive := true) from (
+  select id, list_reduce(ranked, lambda acc, x: case when len(list_filter(acc, lambda a: x[1].start_at < a.end_at and x[1].end_at > a.start_at)) > 0 then acc else list_concat(acc, x) end, cast([] as struct(entity_type varchar, start_at int, end_at int, span_text varchar, score double, source varchar)[])) as chosen from (
+    select id, list([struct_pack(entity_type := entity_type, start_at := start_at, end_at := end_at, span_text := span_text, score := score, source := source)] order by -{RANK_SQL}, -score, start_at - end_at, start_at, seq) as ranked from ({ALL_SQL}) group by id))"""
+DOCUMENT_TERMS = (("password", "CUSTOM"),)
+#: The types that the documents' SQL twin finds.
+DOCUMENT_TYPES = ("EMAIL_ADDRESS", "POSTAL_CODE", "CREDIT_CARD", "IP_ADDRESS", "CUSTOM")
+
+
+def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, text, findings) of the documents; block ids are the documents' ids."""
+    return Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(documents(spark, sf_dir), block="id")
+
+
+def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analyzed(spark, sf_dir).select("id", F.explode("findings").alias("f"))
+    return rows.select("id", F.col("f.id").alias("finding_id"), "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"), F.col("f.text").alias("span_text"), "f.score", "f.source")
+
+
+@query(RESOLVED_SQL)
+def resolve_overlaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).drop("finding_id")
+
+
+ID_SQL = "substr(sha256(cast(id as string) || ':' || cast(start_at as string) || ':' || cast(end_at as string) || ':' || entity_type), 1, 20)"
+
+
+@query(f"select id, {ID_SQL} as finding_id, start_at, end_at from ({RESOLVED_SQL})")
+def finding_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return findings(spark, sf_dir).select("id", "finding_id", "start_at", "end_at")
+
+
+@query(email_sql(DOCUMENTS))
+def entity_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types that are not asked for take no part in resolution."""
+    df = normal(documents(spark, sf_dir))
+    found = resolve.resolve(resolve.only(F.col("found"), ["EMAIL_ADDRESS"]))
+    return flat(df.withColumn("found", F.concat(*(detect.RULES[e](F.col("norm"), "local") for e in ("EMAIL_ADDRESS", "IP_ADDRESS", "URL")))), found)
+
+
+@query(f"select entity_type, count(*) as n from (select *, {ID_SQL} as finding_id from ({RESOLVED_SQL})) where finding_id < '8' group by 1")
+def accepted_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(spark, sf_dir).withColumnsRenamed({"id": "doc", "finding_id": "id"})
+    accepted = found.where("id < '8'").select("id")
+    return semi_accepted(found, accepted).groupBy("entity_type").agg(F.count("*").alias("n"))
+
+
+@query(f"select row_number() over (order by cast(id as string), start_at, end_at) as place, id, start_at, end_at from ({RESOLVED_SQL})")
+def merge_sort_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = findings(spark, sf_dir).select(F.col("id").alias("doc"), F.col("id").cast("string").alias("block_id"), F.col("start_at").alias("start"), F.col("end_at").alias("end"))
+    ordered = merged(found.where("doc % 2 = 0"), found.where("doc % 2 = 1"))
+    # an order over all findings is the feature; numbering it makes the order part of the result
+    numbered = ordered.selectExpr("cast(row_number() over (order by block_id, start, end) as long) as place", "doc as id", "start as start_at", "end as end_at")
+    return numbered
+
+
+def masked_sql(by: str) -> str:
+    return f"""select d.doc_id as id, coalesce(m.masked, d.text) as masked from documents d left join (
+      select id, list_reduce(list_concat([struct_pack(s := 0, e := 0, r := any_value(text))], list(struct_pack(s := start_at, e := end_at, r := {by}) order by start_at desc)),
+        lambda a, x: struct_pack(s := 0, e := 0, r := substr(a.r, 1, x.s) || x.r || substr(a.r, x.e + 1))).r as masked
+      from ({RESOLVED_SQL}) f join documents t on t.doc_id = f.id group by id) m on m.id = d.doc_id"""
+
+
+@query(masked_sql("repeat('█', end_at - start_at)"))
+def mask_character(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine().mask(analyzed(spark, sf_dir)).select("id", "masked")
+
+
+LABEL_SQL = "'[' || case entity_type when 'EMAIL_ADDRESS' then 'メールアドレス' when 'POSTAL_CODE' then '郵便番号' when 'CREDIT_CARD' then 'クレジットカード' when 'IP_ADDRESS' then 'IPアドレス' else 'ユーザー定義' end || ']'"
+
+
+@query(masked_sql(LABEL_SQL))
+def mask_label(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return Engine().mask(analyzed(spark, sf_dir), mode="entity_label").select("id", "masked")
+
+
+@query(f"select f.id, count(*) as marked, count(*) + 1 - count(*) filter (where start_at = 0) - count(*) filter (where end_at = length(text)) as plain, sum(end_at - start_at) as marked_length from ({RESOLVED_SQL}) f join documents d on d.doc_id = f.id where f.id % 5 <> 0 group by f.id")
+def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = analyzed(spark, sf_dir).where("id % 5 <> 0 and size(findings) > 0")
+    # neighbours that touch have no plain segment between them; none do in these documents
+    rows = rows.withColumn("segments", mask.segments(F.col("text"), F.col("findings"), F.transform("findings", lambda f: f["id"])))
+    return rows.select("id", F.expr("cast(size(filter(segments, s -> s.accepted)) as long) as marked"), F.expr("cast(size(filter(segments, s -> s.entity_type is null)) as long) as plain"), F.expr("aggregate(filter(segments, s -> s.accepted), 0L, (a, s) -> a + length(s.text)) as marked_length"))
+
+
+MANUAL_TERM = "password"
+MANUAL_SQL = f"""select cast(id as string) as block_id, cast(s as int) as start_at, cast(e as int) as end_at, v as span_text from ({spans_sql(DOCUMENTS, MANUAL_TERM)}) o
+  where not exists (select 1 from ({ip_sql(DOCUMENTS)} union all {email_sql(DOCUMENTS)}) x where x.id = o.id and o.s < x.end_at and o.e > x.start_at)"""
+
+
+@query(MANUAL_SQL)
+def manual_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = documents(spark, sf_dir).select(F.col("id").cast("string").alias("block_id"), "text")
+    existing = Engine(entities=("IP_ADDRESS", "EMAIL_ADDRESS")).findings(blocks).select("block_id", "start", "end")
+    free = manual.without_overlap(manual.occurrences(blocks, MANUAL_TERM), existing)
+    return manual.manual_findings(free, "CUSTOM").select("block_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("span_text"))
+
+
+@query("select 'CUSTOM' as entity_type, 1 as start_at, 1 + length(trim(substr(text, 1, 9))) as end_at, trim(substr(text, 1, 9)) as span_text from (select ' ' || text as text from documents order by doc_id limit 1)")
+def manual_single(spark: SparkSession, sf_dir: str) -> DataFrame:
+    (first,) = documents(spark, sf_dir).orderBy("id").limit(1).collect()
+    blocks = spark.createDataFrame([(str(first["id"]), " " + first["text"])], "block_id string, text string")
+    none = spark.createDataFrame([], "block_id string, start int, end int")
+    added = manual.add(blocks, none, manual.Selection(str(first["id"]), 0, 9, "CUSTOM"))
+    return added.findings.select("entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("span_text"))
+
+
+@query(f"select source as found_by, entity_type, s.src, s.lang, count(*) as n from ({RESOLVED_SQL}) f join (select doc_id, source as src, lang from documents) s on s.doc_id = f.id group by all")
+def findings_by_type_source(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("src"), "lang")
+    rows = Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(docs, block="id").select("src", "lang", F.explode("findings").alias("f"))
+    return rows.groupBy(F.col("f.source").alias("found_by"), "f.entity_type", "src", "lang").agg(F.count("*").alias("n"))
+
+
+# evaluation: gold spans are made from keys, predictions are gold spans with faults that keys decide
+
+GOLD_SQL = "select l_orderkey as sample, l_linenumber as n, case l_linenumber % 3 when 0 then 'PERSON' when 1 then 'URL' else 'CUSTOM' end as entity_type, l_linenumber * 20 as s, l_linenumber * 20 + 5 + l_linenumber as e from (select distinct l_orderkey, l_linenumber from lineitem)"
+PREDICTED_SQL = """select l_orderkey as sample, l_linenumber as n, case when (l_orderkey + l_linenumber) % 11 = 0 then 'ADDRESS' when l_linenumber % 3 = 0 then 'PERSON' when l_linenumber % 3 = 1 then 'URL' else 'CUSTOM' end as entity_type,
+  l_linenumber * 20 + case when (l_orderkey + l_linenumber) % 7 = 0 then 2 else 0 end as s, l_linenumber * 20 + 5 + l_linenumber as e from (select distinct l_orderkey, l_linenumber from lineitem) where (l_orderkey * 3 + l_linenumber) % 5 <> 0"""
+
+
+def results(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One sample per order: its lines' spans, latency and tags."""
+
+    def spans(sql: str) -> DataFrame:
+        rows = built(spark, sf_dir, "lineitem", sql)
+        span = F.struct("n", "entity_type", F.col("s").cast("int").alias("start"), F.col("e").cast("int").alias("end"))
+        listed = rows.groupBy("sample").agg(F.array_sort(F.collect_list(span)).alias("x"))
+        return listed.select("sample", F.transform("x", lambda r: F.struct(r["entity_type"].alias("entity_type"), r["start"].alias("start"), r["end"].alias("end"))).alias("x"))
+
+    none = F.array().cast("array<struct<entity_type:string,start:int,end:int>>")
+    gold, predicted = spans(GOLD_SQL).withColumnRenamed("x", "gold"), spans(PREDICTED_SQL).withColumnRenamed("x", "predicted")
+    rows = gold.join(predicted, "sample", "left").withColumn("predicted", F.coalesce("predicted", none))
+    return rows.select(
+        F.col("sample").alias("sample_id"), F.lit(200).cast("long").alias("text_length"), "gold", "predicted",
+        (F.col("sample") % 97 / 4).alias("latency_ms"), F.when(F.col("sample") % 6 == 0, F.array(F.lit("hard-negative"))).otherwise(F.array(F.lit("core"))).alias("tags"),
+    )
+
+
+#: Spans of a sample lie apart but for their own fault, so a match is a line's gold with the same line's prediction.
+MATCH_SQL = f"""select g.sample, case when g.sample % 6 = 0 then 'hard_negative' else 'core' end as slice, g.entity_type as gt, p.entity_type as pt, p.n is not null as has,
+  coalesce(p.entity_type = g.entity_type and p.s = g.s, false) as exact, coalesce(p.entity_type = g.entity_type, false) as overlap from ({GOLD_SQL}) g left join ({PREDICTED_SQL}) p on p.sample = g.sample and p.n = g.n"""
+SLICED_SQL = f"select *, unnest(['all', slice]) as sl from ({MATCH_SQL})"
+
+
+def counts_sql(mode: str) -> str:
+    return f"""select sl as slice, '{mode}' as mode, entity_type, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from (
+      select sl, gt as entity_type, cast({mode} as int) as tp, 0 as fp, cast(not {mode} as int) as fn from ({SLICED_SQL})
+      union all select sl, pt, 0, cast(not {mode} as int), 0 from ({SLICED_SQL}) where has) group by sl, entity_type having sum(tp) + sum(fp) + sum(fn) > 0"""
+
+
+_COUNTS = "cast(tp as long) as tp, cast(fp as long) as fp, cast(fn as long) as fn"
+
+
+def scored(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    rows = evaluate.entity_scores(evaluate.in_slices(evaluate.matched(results(spark, sf_dir))))
+    return rows.where((F.col("mode") == mode) & F.col("entity_type").isNotNull()).selectExpr("slice", "mode", "entity_type", "tp", "fp", "fn")
+
+
+@query(f"select slice, mode, entity_type, {_COUNTS} from ({counts_sql('exact')})")
+def eval_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, "exact")
+
+
+@query(f"select slice, mode, entity_type, {_COUNTS} from ({counts_sql('overlap')})")
+def eval_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scored(spark, sf_dir, "overlap")
+
+
+_MICRO = f"select slice, mode, sum(tp) as tp, sum(fp) as fp, sum(fn) as fn from ({counts_sql('exact')} union all {counts_sql('overlap')}) group by slice, mode"
+
+
+@query(f"select slice, mode, {_COUNTS}, cast(round(1e4 * tp / (tp + fp)) as long) as precision_4, cast(round(1e4 * tp / (tp + fn)) as long) as recall_4 from ({_MICRO})")
+def eval_slices(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.entity_scores(evaluate.in_slices(evaluate.matched(results(spark, sf_dir)))).where("entity_type is null")
+    return rows.selectExpr("slice", "mode", "tp", "fp", "fn", "cast(round(precision * 10000) as long) as precision_4", "cast(round(recall * 10000) as long) as recall_4")
+
+
+def rates_sql(mode: str) -> str:
+    by = f"select sl, sample, min(cast({mode} as int)) as whole, min(case when has and not {mode} then 0 else 1 end) as clean, count(*) as g, sum(cast(has as int)) as p, sum(case when has and not {mode} then 1 else 0 end) as fp from ({SLICED_SQL}) group by sl, sample"
+    return f"select sl as slice, '{mode}' as mode, count(*) as samples, cast(200 * count(*) as long) as characters, cast(sum(g) as long) as gold, cast(sum(p) as long) as predicted, cast(sum(whole) as long) as zero_miss, cast(sum(clean) as long) as no_false, cast(round(sum(fp) * 1e7 / (200 * count(*))) as long) as false_per_1000_4 from ({by}) group by sl"
+
+
+@query(f"{rates_sql('exact')} union all {rates_sql('overlap')}")
+def eval_doc_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.document_rates(evaluate.in_slices(evaluate.matched(results(spark, sf_dir))))
+    return rows.selectExpr(
+        "slice", "mode", "samples", "characters", "gold", "predicted", "cast(round(zero_miss_rate * samples) as long) as zero_miss", "cast(round(no_false_positive_rate * samples) as long) as no_false",
+        "cast(round(false_positives_per_1000 * 10000) as long) as false_per_1000_4",
+    )
+
+
+@query(
+    "select sl as slice, cast(round(avg(ms) * 1000) as long) as mean_3, cast(round(median(ms) * 1000) as long) as median_3, cast(round(quantile_disc(ms, 0.95) * 1000) as long) as p95_3, cast(round(max(ms) * 1000) as long) as max_3 "
+    "from (select o % 97 / 4.0 as ms, unnest(['all', case when o % 6 = 0 then 'hard_negative' else 'core' end]) as sl from (select distinct l_orderkey as o from lineitem)) group by sl"
+)
+def eval_latency(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.latency(evaluate.in_slices(results(spark, sf_dir)))
+    return rows.selectExpr("slice", *(f"cast(round({c} * 1000) as long) as {c}_3" for c in ("mean", "median", "p95", "max")))
+
+
+@query(f"select sample as sample_id, cast(count(*) filter (where not exact) as long) as misses, cast(count(*) filter (where has and not exact) as long) as false_positives from ({MATCH_SQL}) group by sample having count(*) filter (where not exact or (has and not exact)) > 0")
+def eval_errors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = evaluate.errors(evaluate.matched(results(spark, sf_dir))).where("mode = 'exact'")
+    return rows.selectExpr("sample_id", "cast(size(misses) as long) as misses", "cast(size(false_positives) as long) as false_positives")
+
+
+# licences
+
+LICENCE_SQL = """select c_custkey as id, 'pkg' || cast(c_custkey as string) as name, '1.' || cast(c_custkey % 9 as string) as version,
+  case c_custkey % 8 when 0 then 'MIT License' when 1 then ' Apache-2.0 ' when 2 then 'GPL-3.0' when 3 then 'BSD-3-Clause AND MIT-0' when 4 then 'MPL-2.0' when 5 then 'UNKNOWN' when 6 then 'Apache-2.0 OR LGPL-2.1' else 'Custom-1.0' end as license from customer"""
+
+
+@query(f"select name, version, id % 8 in (0, 1, 3) or (id % 8 = 5 and id % 16 = 5) as permitted from ({LICENCE_SQL})")
+def licence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    packages = built(spark, sf_dir, "customer", LICENCE_SQL)
+    metadata = packages.where("id % 16 = 5").select(F.upper("name").alias("name"), F.lit("ISC License (ISCL)").alias("license"))
+    return licences.inventory(packages.select("name", "version", "license"), metadata).select("name", "version", "permitted")
