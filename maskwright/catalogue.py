@@ -116,9 +116,12 @@ def luhn_sql(digits: str) -> str:
 
 
 def card_sql(rows: str) -> str:
-    chains = spans_sql(rows, "[0-9](?:[ -]?[0-9]){12,}[ -]?")
-    digits = f"select *, regexp_replace(v, '[^0-9]', '', 'g') as d from ({chains})"
-    return flat_sql(f"select * from ({digits}) where length(d) between 13 and 19 and {luhn_sql('d')}", "CREDIT_CARD", 0.97, "luhn-rule")
+    """Chains of digits with single blanks or hyphens between; where a chain has over 19 digits, a match ends at a run's end."""
+    chains = f"select *, regexp_replace(v, '[^0-9]', '', 'g') as d from ({spans_sql(rows, '[0-9](?:[ -]?[0-9]){12,}[ -]?')})"
+    runs = f"select id, s, v, unnest(regexp_extract_all(v, '[0-9]+[ -]?')) as r, generate_subscripts(regexp_extract_all(v, '[0-9]+[ -]?'), 1) as i, len(regexp_extract_all(v, '[0-9]+[ -]?')) as n from ({chains}) where length(d) > 19"
+    placed = f"select id, s + sum(length(r)) over (partition by id, s order by i) - length(r) as s, case when i = n then r else regexp_extract(r, '[0-9]+') end as v from ({runs})"
+    split = f"select id, s, s + length(v) as e, v, regexp_replace(v, '[^0-9]', '', 'g') as d from ({placed})"
+    return flat_sql(f"select * from (select id, s, e, v, d from ({chains}) where length(d) <= 19 union all {split}) where length(d) between 13 and 19 and {luhn_sql('d')}", "CREDIT_CARD", 0.97, "luhn-rule")
 
 
 # text

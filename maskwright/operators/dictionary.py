@@ -57,7 +57,9 @@ def match_pairs(text: Column, pairs: Column) -> Column:
         quoted = F.concat(F.lit(t.PYTHON_FLAGS_ANY_CASE + "\\Q"), inner, F.lit("\\E"))
         return _candidates(t.mark_spans(clean, quoted), p["entity_type"])
 
-    return F.flatten(F.transform(F.array_sort(pairs), one))
+    # most files' terms are not in the block: a plain search settles that before a pattern is made
+    lower = F.element_at(F.transform(F.array(folded(clean)), lambda f: F.filter(pairs, lambda p: F.contains(f, folded(p["term"])))), 1)
+    return F.flatten(F.transform(F.array_sort(lower), one))
 
 
 def join_terms(blocks: DataFrame, key: list[str], text: str, dictionary: DataFrame) -> DataFrame:
@@ -68,7 +70,9 @@ def join_terms(blocks: DataFrame, key: list[str], text: str, dictionary: DataFra
     shorter are not among them: the plan holds those.
     """
     terms = dictionary.where(F.length("term") > 0).select(F.struct(F.col("id").cast("long").alias("seq"), "term", "entity_type").alias("__pair"), F.substring(folded(F.col("term")), 1, KEY_LENGTH).alias("__key"))
-    runs = F.when(F.length("__fold") >= KEY_LENGTH, F.transform(F.sequence(F.lit(1), F.length("__fold") - KEY_LENGTH + 1), lambda i: F.substring(F.col("__fold"), i, F.lit(KEY_LENGTH)))).otherwise(F.array())
+    # all runs, by cutting the text into runs from each of the first places: no search by position
+    cuts = [F.regexp_extract_all(F.substring(F.col("__fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{KEY_LENGTH}}}"), F.lit(0)) for i in range(KEY_LENGTH)]
+    runs = F.concat(*cuts)
     filed = blocks.select(*key, folded(F.col(text)).alias("__fold")).select(*key, F.explode(F.array_distinct(runs)).alias("__key"))
     matched = filed.join(terms, "__key").select(*key, "__pair")
     return matched.groupBy(*key).agg(F.collect_set("__pair").alias("pairs"))

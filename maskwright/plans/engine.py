@@ -30,11 +30,12 @@ class Engine:
     def info(self) -> dict[str, object]:
         return {"status": "ok", "nlp_available": ner.available(self.tagger), "local_only": True}
 
-    def analyze(self, df: DataFrame, text: str = "text", block: str = "block_id", out: str = "findings", enabled: str | None = None) -> DataFrame:
+    def analyze(self, df: DataFrame, text: str = "text", block: str = "block_id", out: str = "findings", enabled: str | None = None, terms: str | None = None) -> DataFrame:
         """Add ``out``: the findings of each row's text, an array in order.
 
         ``block`` is the column that ids of findings are made of, and should tell rows apart.  ``enabled``
-        is a column of types for each row; null or empty means the engine's own.  A null text has no findings.
+        is a column of types for each row; null or empty means the engine's own.  ``terms`` is a column of
+        each row's own dictionary, an array of (term, entity_type).  A null text has no findings.
         """
         wanted = detect.enabled_types(self.entities)
         rules = detect.ENTITY_TYPES if enabled else wanted
@@ -44,9 +45,12 @@ class Engine:
             rows = rows.withColumn("__tagged", ner.tag(F.col(text), self.tagger))
             parts.append(ner.candidates(F.col(text), F.col("__tagged")))
         parts.append(detect.detect(F.col("__norm"), rules, self.profile))
-        rows, terms = self._with_terms(rows, text, block)
-        if terms is not None:
-            parts.append(terms)
+        rows, matched = self._with_terms(rows, text, block)
+        if matched is not None:
+            parts.append(matched)
+        if terms:
+            own = F.transform(F.coalesce(F.col(terms), F.array()), lambda x, i: F.struct(i.cast("long").alias("seq"), x["term"].alias("term"), x["entity_type"].alias("entity_type")))
+            parts.append(F.when(F.size(F.coalesce(F.col(terms), F.array())) > 0, dictionary.match_pairs(F.col(text), own)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
         rows = rows.withColumn("__found", F.coalesce(F.concat(*parts), F.array().cast(f"array<{CANDIDATE}>")))
         if enabled:
             default = F.array(*map(F.lit, wanted))
@@ -54,7 +58,7 @@ class Engine:
             chosen = F.filter("__found", lambda c: F.array_contains(asked, c["entity_type"]))
             rows = rows.withColumn("__found", chosen)
         else:
-            rows = rows.withColumn("__found", resolve.only(F.col("__found"), wanted)) if terms is not None or self.tagger else rows
+            rows = rows.withColumn("__found", resolve.only(F.col("__found"), wanted)) if matched is not None or terms or self.tagger else rows
         rows = rows.withColumn("__chosen", resolve.resolve(F.col("__found")))
         found = F.when(F.col(text).isNotNull(), resolve.findings(F.col(text), F.col("__chosen"), F.col(block).cast("string")))
         return rows.withColumn(out, F.coalesce(found, F.array().cast(f"array<{FINDING}>"))).drop(*_OWN)

@@ -342,9 +342,8 @@ def test_gold_set(spark):
     samples = datagen.generate()
     assert datagen.manifest(samples, datagen.SEED, "x")["sha256"] == "f952896c1ee58f86d2ca63a3a60dec611c9ca5bf6b9f24015136d02d409f8e85"
     gold = datagen.frame(spark, samples)
-    terms = tuple(dict.fromkeys((x["term"], x["entity_type"]) for s in samples for x in s.get("dictionary_terms", ())))
     for profile in ("local", "pattern"):
-        rows = Engine(dictionary=terms, profile=profile).analyze(gold, block="id", enabled="enabled_entities")
+        rows = Engine(profile=profile).analyze(gold, block="id", enabled="enabled_entities", terms="dictionary_terms")
         results = rows.select(F.col("id").alias("sample_id"), F.length("text").cast("long").alias("text_length"), F.col("entities").alias("gold"), F.col("findings").alias("predicted"), F.lit(1.0).alias("latency_ms"), "tags")
         report = evaluate.evaluate(results)
         micro = report["exact"]["micro"]
