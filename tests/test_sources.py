@@ -208,3 +208,51 @@ def test_sessions(spark, tmp_path):
 def test_report(tmp_path):
     path = tmp_path / "r.json"
     assert d.write_report({"a": "山"}, str(path)) == path.read_text(encoding="utf-8") == '{\n  "a": "山"\n}\n'
+
+
+def test_workbench(spark, folder, tmp_path):
+    from maskwright.plans.workbench import Workbench
+    from maskwright.schema import MaskwrightError, Unsupported
+
+    bench = Workbench(spark, str(tmp_path / "work"))
+    assert bench.info()["status"] == "ok" and bench.entities().count() == 15
+    bench.dictionary.create("極秘案件", "CUSTOM")
+    text = "極秘案件の連絡先はtaro@example.jp"
+    found = bench.analyze_text(text)
+    ids = [r["id"] for r in found.collect()]
+    assert bench.mask_text(text, found, ids, "entity_label") == "[ユーザー定義]の連絡先は[メールアドレス]"
+    assert bench.mask_text(text, found, []) == text
+    path = f"{folder}/a.DOCX"
+    session = bench.analyze_document(path)
+    assert {r["text"] for r in bench.load(session)[1].collect()} == {"1.2.3.4"}
+    added = bench.add_finding(session, manual.Selection("doc:p:0", 3, 7, "PERSON", "all", True))
+    assert added.dictionary_status == "created" and added.findings.count() == 2
+    found = bench.load(session)[1].collect()
+    assert [r["block_id"] for r in found] == sorted(r["block_id"] for r in found) and len(found) == 3
+    name, data = bench.mask_document(session, path, [r["id"] for r in found] + ["unknown"])
+    assert name == "masked_a.DOCX" and dict(office.read_docx(data))["section:0:header:p:0"] == "見出し ████"
+    own = next(r["id"] for r in found if r["source"] == "manual-selection")
+    bench.remove_finding(session, own)
+    assert bench.load(session)[1].count() == 2
+    with pytest.raises(MaskwrightError):
+        bench.remove_finding(session, next(r["id"] for r in found if r["source"] != "manual-selection"))
+    with pytest.raises(Unsupported):
+        bench.analyze_document(f"{folder}/d.txt")
+    with pytest.raises(InvalidInput):
+        bench.analyze_document(f"{folder}/g.pdf")
+
+
+def test_benchmark_run(spark, tmp_path):
+    from maskwright import datagen
+    from maskwright.plans import benchmark
+
+    path, out = str(tmp_path / "gold.jsonl"), str(tmp_path / "report.json")
+    datagen.main(["--output", path, "--manifest", str(tmp_path / "m.json")])
+    gates = ["--fail-under-recall", "0.95", "--fail-under-core-zero-miss-rate", "0.95", "--fail-under-hard-negative-pass-rate", "1.0"]
+    assert benchmark.main(["--dataset", path, "--output", out, *gates]) == 0
+    assert benchmark.main(["--dataset", path, "--output", out, "--fail-under-recall", "0.99"]) == 1
+    import json
+
+    report = json.loads(open(out, encoding="utf-8").read())
+    assert report["exact"]["micro"]["tp"] == 1015 and report["metadata"]["dataset_split"] == ["test"] and report["slices"]["hard_negative"]["sample_count"] == 150
+    assert benchmark.run(spark, path, Engine(entities=("URL",)))["exact"]["per_entity"]["URL"]["recall"] == 1.0
