@@ -22,6 +22,10 @@ How links are found, exactly and without comparing everything with everything:
    is within 1 bit of both, so these members are filed under all 65 such values,
    and each file, of 65 members at most, is a star.  No pair is lost.
 
+``deduplicated`` adds a second kind of link.  Few changed words already turn more than two bits, so texts that
+share at least ``SIMILAR`` of their five-word shingles are looked for among fingerprints within ``WIDE_BITS`` bits, by
+files of sampled bits, and their sketches of shingles decide.
+
 Nulls and blanks: a null or blank text has no shingle, its fingerprint is zero,
 and it links like any other.  A text with fewer words than a shingle has one
 shingle, its whole sequence.  Rows with the same id and text stay rows of their own;
@@ -77,7 +81,7 @@ def fingerprint(text: str | None, size: int = 3) -> int:
     return int(np.packbits(bits, bitorder="little").view(np.uint64)[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, key_type: str = "long") -> DataFrame:
+def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3) -> DataFrame:
     """(id, fp): ``fp`` is the fingerprint as a signed long, ``id`` the id column under its own name."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -85,8 +89,8 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
             values = np.array([fingerprint(t.as_py(), size) for t in batch.column(1)], dtype=np.uint64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(values.view(np.int64))], names=["__id", "fp"])
 
-    rows = docs.select(F.col(id_col).cast(key_type).alias("__id"), F.col(text).alias("__text"))
-    return rows.mapInArrow(run, f"__id {key_type}, fp long").withColumnRenamed("__id", id_col)
+    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
+    return rows.mapInArrow(run, "__id long, fp long").withColumnRenamed("__id", id_col)
 
 
 def pivots(count: int = PIVOTS) -> np.ndarray:
@@ -161,7 +165,7 @@ def blocks_for(count: int, max_bits: int) -> int:
 
 
 def links(distinct: DataFrame, max_bits: int = 2, blocks: int | None = None, file_limit: int = FILE_LIMIT) -> DataFrame:
-    """(a, b): links among the distinct longs of column ``fp`` that connect every component; a > b by file order."""
+    """(a, b): links among the distinct longs of column ``fp`` that connect every component."""
     if not 1 <= max_bits <= 2:
         raise ValueError("max_bits is 1 or 2")
     spark = distinct.sparkSession
@@ -256,13 +260,154 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def grouped(fps: DataFrame, max_bits: int = 2, **how: int) -> DataFrame:
-    """(fp, root): the class of every distinct ``fp`` of a stored frame; classes are named by one of their fingerprints."""
+def grouped(fps: DataFrame, max_bits: int = 2, more: DataFrame | None = None, **how: int) -> DataFrame:
+    """(fp, root): the class of every distinct ``fp`` of a stored frame; classes are named by one of their fingerprints.
+
+    ``more`` has further links (a, b) among the fingerprints.
+    """
     distinct = common.stored(fps.select("fp").distinct(), "simhash-distinct")
-    linked = components(links(distinct, max_bits, **how)).withColumnRenamed("node", "fp")
+    edges = links(distinct, max_bits, **how)
+    linked = components(edges.union(more.select("a", "b")) if more is not None else edges).withColumnRenamed("node", "fp")
     return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
+# links of similar texts whose fingerprints differ in more than a few bits
+
+#: Words of a shingle and share of common shingles from which texts count as similar.
+SIMILAR_WORDS = 5
+SIMILAR = 0.8
+#: Smallest shingle hashes that stand for a text; a text with no more shingles is compared exactly.
+SKETCH = 192
+#: Fingerprints of similar texts rarely differ in more bits than this.
+WIDE_BITS = 12
+#: Files of a wide search, and the bits of a fingerprint that name a file.
+WIDE_FILES = 64
+WIDE_KEY_BITS = 16
+#: Members of a wide file, in order of fingerprint, that are compared with one another at once.
+WIDE_WINDOW = 1024
+
+_MIX = np.uint64(0x9E3779B97F4A7C15)
+
+
+def sketch(text: str | None, size: int = SIMILAR_WORDS, count: int = SKETCH) -> bytes:
+    """The ``count`` smallest hashes of a text's distinct shingles, as bytes; ASCII letters count in lower case."""
+    words = common.words_of(text)
+    if not words:
+        return b""
+    words = b" ".join(words).lower().split()
+    one = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
+    n = max(1, len(one) - size + 1)
+    mixed = np.zeros(n, dtype=np.uint64)
+    for k in range(min(size, len(one))):
+        mixed = mixed * _MIX + one[k : k + n]
+    mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))[:count].tobytes()
+
+
+def likeness(a: bytes, b: bytes, count: int = SKETCH) -> float:
+    """The share of common shingles: exact for texts of up to ``count`` shingles, else estimated from the smallest of both."""
+    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+    if not len(x) or not len(y):
+        return float(len(x) == len(y))
+    both = np.union1d(x, y)
+    if len(x) == count or len(y) == count:
+        # beyond the largest hash that both sketches reach, one of them knows nothing
+        edge = min(v[-1] for v in (x, y) if len(v) == count)
+        both = both[both <= edge]
+    return float(np.isin(both, x, assume_unique=True).astype(bool)[np.isin(both, y, assume_unique=True)].sum() / len(both))
+
+
+def _nearest_in(keys: np.ndarray, values: np.ndarray, refs: np.ndarray, max_bits: int, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """Each member of a file with the nearest member before it in its window, if that is near enough; rows come sorted by key, then value."""
+    n = len(keys)
+    table = distance_table(values, refs)
+    first = np.searchsorted(keys, keys, side="left")
+    place = np.arange(n) - first
+    ends = np.minimum(np.searchsorted(keys, keys, side="right"), first + (place // window + 1) * window)
+    best = np.full(n, 65, dtype=np.int64)
+    mate = np.zeros(n, dtype=np.int64)
+    shift, left = 1, np.flatnonzero(ends - np.arange(n) > 1)
+    while len(left):
+        hit = left[_close(table, values, left, left + shift, max_bits)]
+        bits = np.bitwise_count(values[hit] ^ values[hit + shift]).astype(np.int64)
+        nearer = bits < best[hit + shift]
+        best[hit[nearer] + shift], mate[hit[nearer] + shift] = bits[nearer], hit[nearer]
+        shift += 1
+        left = left[left + shift < ends[left]]
+    at = np.flatnonzero(best < 65)
+    return values[at], values[mate[at]]
+
+
+def wide_masks(files: int, key_bits: int) -> list[int]:
+    """Fixed choices of ``key_bits`` bits, as signed longs."""
+    out = []
+    for i in range(files):
+        order = sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(b"file %d bit %d" % (i, b), seed=SEED))
+        m = sum(1 << b for b in order[:key_bits])
+        out.append(m - (1 << 64) if m >= 1 << 63 else m)
+    return out
+
+
+def similar_links(sketches: DataFrame, similar: float = SIMILAR, max_bits: int = WIDE_BITS, files: int = WIDE_FILES) -> DataFrame:
+    """(a, b): links of fingerprints whose texts share at least ``similar`` of their shingles.
+
+    ``sketches`` (fp, sketch) has one row per distinct fingerprint.  Candidates share the bits of one of ``files``
+    masks; in a file each member meets the others of its window, and its nearest one, if it is within
+    ``max_bits``, becomes a candidate: as many candidates as members, however dense a group is.  Each
+    candidate's sketches decide.  This search is not exhaustive; it comes on top of the exact links.
+    """
+    spark = sketches.sparkSession
+    count = sketches.count()
+    key_bits = max(WIDE_KEY_BITS, (max(1, count) // 256).bit_length())
+    masks = wide_masks(files, key_bits)
+    refs = pivots(4)  # pivots discard few pairs at this distance
+    filed = sketches.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("c", "m"))
+
+    def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+
+        def mates(rows: np.ndarray) -> pa.RecordBatch:
+            change = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
+            keys = np.concatenate([[0], np.cumsum(change)])
+            a, b = _nearest_in(keys, np.ascontiguousarray(rows[:, 2]).view(np.uint64), refs, max_bits, WIDE_WINDOW)
+            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1))
+            size += batch.num_rows
+            if size < COMPARE_ROWS:
+                continue
+            rows = np.concatenate(held)
+            last = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
+            # a file goes on in the next batch, but windows are cut where they would be cut anyway
+            cut = last + (len(rows) - last) // WIDE_WINDOW * WIDE_WINDOW
+            if cut:
+                yield mates(rows[:cut])
+            held, size = [rows[cut:]], len(rows) - cut
+        if size:
+            yield mates(np.concatenate(held))
+
+    found = (
+        filed.select(F.col("c").cast("long").alias("c"), "m", "fp")
+        .repartition(common.shuffle_partitions(spark), "c", "m")
+        .sortWithinPartitions("c", "m", "fp")
+        .mapInArrow(sweep, "a long, b long")
+        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+        .distinct()
+    )
+
+    @F.arrow_udf("double")
+    def share(x: pa.Array, y: pa.Array) -> pa.Array:
+        return pa.array([likeness(i.as_py(), j.as_py()) for i, j in zip(x, y)], pa.float64())
+
+    left = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x"))
+    right = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
+    return found.join(left, "a").join(right, "b").where(share("x", "y") >= similar).select("a", "b")
+
+
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, **how: int) -> DataFrame:
     """(id, fp, component_id): every row with the smallest id that its fingerprint reaches.
 
@@ -280,25 +425,37 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, **how: int) -> DataFrame:
-    """One row of each class: that of its smallest id, null ids last; of equal rows, one.
+def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, similar: float | None = SIMILAR, **how: int) -> DataFrame:
+    """One row of each group: that of its smallest id, null ids last; of equal rows, one.
 
+    Groups are joined by fingerprints that differ in at most ``max_bits`` bits, all of which are found, and unless
+    ``similar`` is None by texts that share that much of their five-word shingles, which the wide search finds.
     A row is known by its id and a hash of all its values, so ids need not be unique.
     """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [t.as_py() for t in batch.column(2)]
+            values = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64)
+            marks = [sketch(t) if similar is not None else b"" for t in texts]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "row", "fp", "sketch"])
+
     row = F.xxhash64(*docs.columns)
-    fps = common.stored(
-        fingerprints(docs.select(F.struct(F.col(id_col).cast("long").alias("id"), row.alias("row")).alias("__key"), F.col(text).alias("__text")), "__text", "__key", size, key_type="struct<id:long,row:long>").select("__key.id", "__key.row", "fp"),
-        "simhash",
-    )
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text).alias("__text"))
+    fps = common.stored(rows.mapInArrow(run, "id long, row long, fp long, sketch binary"), "simhash")
+    more = None
+    if similar is not None:
+        # texts of one fingerprint are one group, and any of them stands for it
+        more = similar_links(common.stored(fps.groupBy("fp").agg(F.min("sketch").alias("sketch")), "simhash-sketches"), similar)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     low = fps.groupBy("fp").agg(F.min(order).alias("low"))
-    roots = low.join(grouped(fps, max_bits, **how), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.row")
-    kept = roots.select(F.col("id").alias("__id"), F.col("row").alias("__row"), F.lit(True).alias("__kept"))
+    roots = low.join(grouped(fps.select("fp"), max_bits, more, **how), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.row")
+    kept = roots.select(F.col("id").alias("__id"), F.col("row").alias("__row"))
     found = docs.withColumn("__row", row).join(kept, ["__row"]).where(F.col("__id").eqNullSafe(F.col(id_col).cast("long"))).select(*docs.columns)
     # equal rows, if any, are all still there; a row that occurs once needs no comparison
-    copies = fps.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("row")
+    copies = common.stored(fps.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("row").distinct().withColumnRenamed("row", "__row"), "simhash-copies")
     if copies.isEmpty():
         return found
-    again = found.withColumn("__row", row).join(copies.select(F.col("row").alias("__row")).distinct(), "__row", "left_semi").select(*docs.columns)
-    alone = found.withColumn("__row", row).join(copies.select(F.col("row").alias("__row")), "__row", "left_anti").select(*docs.columns)
+    again = found.withColumn("__row", row).join(copies, "__row", "left_semi").select(*docs.columns)
+    alone = found.withColumn("__row", row).join(copies, "__row", "left_anti").select(*docs.columns)
     return alone.union(again.dropDuplicates())
