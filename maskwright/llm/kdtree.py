@@ -83,12 +83,12 @@ def _medians(rows: DataFrame, low: dict[int, int], high: dict[int, int], axis: d
         first, last, step = (F.element_at(full(d, o), F.col("node") + 1) for d, o in ((low, 0), (high, 0), (width, 1)))
         inside = placed.where((F.col("at") >= first) & (F.col("at") < last))
         bins = inside.withColumns({"first": first, "step": step}).groupBy("node", F.expr("(at - first) div step").alias("bin"))
-        sums: dict[int, list[tuple[int, int]]] = {n: [] for n in open_}
-        for r in bins.agg(F.sum("size").alias("bytes")).collect():  # at most BINS rows a node
-            sums[r["node"]].append((r["bin"], r["bytes"]))
+        sums: dict[int, list[tuple[int, int, int]]] = {n: [] for n in open_}
+        for r in bins.agg(F.sum("size").alias("bytes"), F.count("*").alias("rows")).collect():  # at most BINS rows a node
+            sums[r["node"]].append((r["bin"], r["bytes"], r["rows"]))
         for n in open_:
             run = below[n]
-            for b, weight in sorted(sums[n]):
+            for b, weight, count in sorted(sums[n]):
                 if run + weight >= target[n]:
                     break
                 run += weight
@@ -96,7 +96,7 @@ def _medians(rows: DataFrame, low: dict[int, int], high: dict[int, int], axis: d
                 cut[n] = high[n]
                 continue
             start, end = low[n] + b * width[n], min(high[n], low[n] + (b + 1) * width[n])
-            if width[n] == 1 or weight <= LIGHT * total[n]:
+            if width[n] == 1 or count == 1 or weight <= LIGHT * total[n]:
                 cut[n] = start if target[n] - run < run + weight - target[n] else end
             else:
                 below[n], low[n], high[n] = run, start, end
