@@ -67,33 +67,34 @@ def grams_of(word: str, n: int) -> list[str]:
 
 
 class Model:
-    """``tables[0]`` has the words, ``tables[n]`` the n-grams: text to one log frequency per language."""
+    """``tables[0]`` has the words, ``tables[n]`` the n-grams: text to its row of log frequencies, one per language."""
 
-    def __init__(self, languages: list[str], tables: list[dict[str, np.ndarray]]) -> None:
-        self.languages, self.tables = languages, tables
+    def __init__(self, languages: list[str], tables: list[dict[str, int]], rows: np.ndarray) -> None:
+        self.languages, self.tables, self.rows = languages, tables, rows
 
     @staticmethod
     def fit(counts: list[tuple[str, int, str, int, int]]) -> "Model":
         """From rows (language, n, text, count, all counts of that language and n)."""
         languages = sorted({r[0] for r in counts})
         place = {x: i for i, x in enumerate(languages)}
-        tables: list[dict[str, np.ndarray]] = [{} for _ in range(MAX_GRAM + 1)]
+        tables: list[dict[str, int]] = [{} for _ in range(MAX_GRAM + 1)]
+        rows = np.full((len(counts), len(languages)), PENALTY)
+        used = 0
         for language, n, text, count, total in counts:
-            row = tables[n].get(text)
-            if row is None:
-                row = tables[n][text] = np.full(len(languages), PENALTY)
-            row[place[language]] = max(PENALTY, np.log(count / total))
-        return Model(languages, tables)
+            at = tables[n].setdefault(text, used)
+            used += at == used
+            rows[at, place[language]] = max(PENALTY, np.log(count / total))
+        return Model(languages, tables, rows[:used].copy())
 
     def word_scores(self, word: str) -> np.ndarray:
         found = self.tables[0].get(word)
         if found is not None:
-            return found
+            return self.rows[found]
         for n in range(MAX_GRAM, 0, -1):
             table = self.tables[n]
-            rows = [r for g in grams_of(word, n) if (r := table.get(g)) is not None]
-            if rows:
-                return sum(rows) / len(rows)
+            at = [r for g in grams_of(word, n) if (r := table.get(g)) is not None]
+            if at:
+                return self.rows[at].mean(axis=0)
         return np.full(len(self.languages), PENALTY)
 
 
@@ -112,6 +113,8 @@ class Scorer:
         words = words_in(text)
         if not words or not self.model.languages:
             return UNDETERMINED, 0.0
+        if not any(map(str.isalpha, words)) and not any(c.isalpha() for w in words for c in w):
+            return UNDETERMINED, 0.0  # signs of numbers only, such as fractions
         if len(self.place) > REMEMBERED:
             self._clear()
         place = self.place
@@ -121,14 +124,10 @@ class Scorer:
                 self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
             self.scores[at] = self.model.word_scores(w)
         at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-        # distinct words in their order of number, so that equal texts get equal sums in every worker
-        mean = self._sum(at, words) / len(words)
+        mean = self.scores[at].mean(axis=0)
         best = int(np.argmax(np.round(mean, 9)))
         return self.model.languages[best], float(1 / np.exp((mean - mean[best]) * min(EVIDENCE, len(words))).sum())
 
-    def _sum(self, at: np.ndarray, words: list[str]) -> np.ndarray:
-        return np.add.reduce(self.scores[at], axis=0)
-
 
 def sampled(docs: DataFrame, text: str, lang: str, id_col: str, docs_per_lang: int) -> DataFrame:
     """(lang, text): rows of smallest hash, about ``docs_per_lang`` of each of the most frequent languages.
@@ -176,7 +175,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: s
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
     """Add the struct ``out`` (lang_pred, score)."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables))
+    shared = docs.sparkSession.sparkContext.broadcast((model.languages, model.tables, model.rows))
 
     @F.arrow_udf("lang_pred string, score double")
     def scored(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
