@@ -29,21 +29,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .tokens import vocabulary  # noqa: F401  the place of the rank file, for callers
+from .tokens import byte_characters
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
 REMEMBERED = 300_000
+#: Texts are split into pre-tokens, each an object, for about so many bytes at a time.
+SLICE_BYTES = 8 << 20
 LONGEST = 64
 
-#: Bytes that are printable Latin-1 characters stand for themselves, the others for U+0100 and up.
-_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
-
-
-def byte_characters() -> list[str]:
-    spare = iter(range(0x100, 0x200))
-    return [chr(b) if b in _PRINTABLE else chr(next(spare)) for b in range(256)]
-
-
 def read_ranks(data: bytes) -> dict[bytes, int]:
     """Ranks from a rank file's bytes: lines of a base64 string and a number."""
     return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in data.splitlines() if line)}
@@ -166,7 +159,7 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", id_
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = byte_bpe(path, pattern)
         for batch in batches:
-            for part in common.slices(batch, "__text"):
+            for part in common.slices(batch, "__text", SLICE_BYTES):
                 ids = model.encode(part.column(1).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [

@@ -17,10 +17,12 @@ from pyspark.sql import functions as F
 BLANKS = " \t\n\x0b\x0c\r"
 #: Where the session names no shared folder: the one made for this process.
 _own: dict[str, str] = {}
+#: Paths that this process has written and not removed.
+_made: list[str] = []
 #: Rows that one task numbers, about.
 ROWS_PER_SALT = 200_000
 #: Rows are handed to Python in slices of about this many bytes of text.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -46,7 +48,25 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def new_path(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}"
+    """A path of its own below the shared folder; what is there goes when this process ends, if Spark still runs."""
+    if not _made:
+        atexit.register(_remove_made)
+    _made.append(f"{shared_dir(spark)}/maskwright/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(folder, True)
+
+
+def _remove_made() -> None:
+    spark = SparkSession.getActiveSession()
+    try:
+        while spark and _made:
+            _remove(spark, _made.pop())
+    except Exception:  # the JVM may be gone before this process; the folder is then left to its owner
+        return
 
 
 def stored(df: DataFrame, name: str, **options: str) -> DataFrame:
@@ -67,9 +87,8 @@ def forget(df: DataFrame) -> None:
     """Remove what ``stored`` wrote, once nothing reads it any more."""
     path = getattr(df, "stored_path", None)
     if path:
-        jvm_path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
-        conf = df.sparkSession._jsparkSession.sessionState().newHadoopConf()
-        jvm_path.getFileSystem(conf).delete(jvm_path, True)
+        _remove(df.sparkSession, path)
+        _made.remove(path)
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -43,7 +43,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, text: str = "t
         for batch in batches:
             for part in common.slices(batch, "__text"):
                 rows = []
-                for name, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist())):
+                for name, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1))):
                     for piece, at in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[at : at + 4 * capacity]
                         rows.append((name, piece, at // 4, len(own) // 4, zlib.crc32(own)))

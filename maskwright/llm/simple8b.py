@@ -66,17 +66,29 @@ def pack(ids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     # the longest choice at every place: selectors from few ids to many, the later overwrite
     choice = np.full(n, 15, dtype=np.int8)
     top = int(ids.max())
-    place = np.arange(n, dtype=np.int32)
+    small = ids.astype(np.uint32) if top < 1 << 32 else ids
+    fit = None  # places whose ids fit the selector; each selector's are among those of the one before
     for s in range(14, 0, -1):
         count, bits = PACKINGS.get(s, (120, 0))
-        if top >> bits:
-            wide = np.where(ids >> np.uint64(bits) != 0, place, np.int32(n + 240))  # past the end counts as fitting
-            nxt = np.minimum.accumulate(wide[::-1])[::-1]
-            choice[nxt - place >= count] = s
-        else:
+        if not top >> bits:
             choice[:] = s
+            continue
+        fit = np.flatnonzero(small < 1 << bits) if fit is None else fit[small[fit] < 1 << bits]
+        if not len(fit):
+            break
+        # runs of neighbours; past the end there is room for all that a word can name
+        edge = np.flatnonzero(np.diff(fit) != 1) + 1
+        first = np.concatenate([[0], edge])
+        length = np.diff(np.concatenate([first, [len(fit)]]))
+        room = length - count + 1
+        if fit[-1] == n - 1:
+            room[-1] = length[-1]
+        at = room > 0
+        first, room = fit[first[at]], room[at]
+        if len(first):
+            choice[np.repeat(first - (np.cumsum(room) - room), room) + np.arange(room.sum())] = s
     choice[big] = ESCAPE
-    step = _COUNTS[choice].tolist()
+    step = _COUNTS[choice].astype(np.uint8).tobytes()
     at, starts = 0, []
     add = starts.append
     while at < n:
@@ -189,8 +201,8 @@ def write_ids(docs: DataFrame, path: str, vocab: str, text: str = "text", id_col
         for batch in batches:
             for part in common.slices(batch, "__text"):
                 shard = part.column(2)[0].as_py()
-                for name, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist(), end)):
-                    ids = np.frombuffer(ids, dtype="<u4")
+                for name, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end)):
+                    ids = np.frombuffer(data, dtype="<u4")
                     if held and size + len(ids) > BLOCK_IDS:
                         yield done()
                         block, first, size, held, names = block + 1, first + size, 0, [], []

@@ -10,8 +10,21 @@ Special tokens' strings in a text are ordinary text.
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+
+#: Bytes that are printable Latin-1 characters stand for themselves, the others for U+0100 and up.
+_PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+
+
+def byte_characters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies."""
+    spare = iter(range(0x100, 0x200))
+    return [chr(b) if b in _PRINTABLE else chr(next(spare)) for b in range(256)]
+
 
 #: Chunks that a worker remembers; beyond it, those not met again since are forgotten at the next turn.
 REMEMBERED = 300_000
@@ -35,67 +48,92 @@ def vocabulary(name: str) -> str:
 WORD_BPE = "word_bpe_49k.json"
 
 
-def _parts(chunk: str) -> tuple[str, str]:
-    """(core, last mark): a chunk in ASCII counts in lower case, a full stop or comma after a letter or digit is a pre-token of its own."""
-    if not chunk.isascii():
-        return chunk, ""
-    if len(chunk) > 1 and chunk[-1] in ".," and chunk[-2].isalnum():
-        return chunk[:-1].lower(), chunk[-1]
-    return chunk.lower(), ""
+#: By line: a word that normalisation leaves alone but for its case, with a mark that the split pattern takes off; or anything else.
+_lines = re.compile(f"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{{1,{LONGEST}}})([.,]?)|(.*))$", re.MULTILINE).findall
 
 
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        # the same merges without normaliser and split pattern, for words that need neither
+        self.merges = Tokenizer(self.tokenizer.model)
+        self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
+        self.bytes_to_chars = {b: c for b, c in enumerate(byte_characters()) if b != 0x20}
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
 
-    def encode(self, texts: list[str | None], end: int | None = END_ID) -> list[bytes]:
+    def encode(self, texts: pa.Array, end: int | None = END_ID) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, ``end`` last; a null text is empty."""
+        # A-Z in lower case from the start: the normaliser lowers all letters, and fewer distinct words are left
+        # (made anew rather than by pc.ascii_lower, which does not mind a slice's offset)
+        lowered = [t.encode().lower() if t else b"" for t in texts.to_pylist()]
+        chunks = pc.ascii_split_whitespace(pa.array(lowered, pa.string() if sum(map(len, lowered)) < 1 << 31 else pa.large_string()))
+        del lowered
+        words = chunks.flatten().dictionary_encode()
+        place = words.indices.to_numpy(zero_copy_only=False)
+        often = (np.bincount(place, minlength=len(words.dictionary)) > 1).tolist()
+        find = self._ids_of(words.dictionary.to_pylist(), often).__getitem__
+        edge = chunks.offsets.to_numpy(zero_copy_only=False)
+        edge = (edge - edge[0]).tolist()
         tail = b"" if end is None else end.to_bytes(4, "little")
-        chunks = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if t else [] for t in texts]
+        return [b"".join(map(find, place[a:b].tolist())) + tail for a, b in zip(edge, edge[1:])]
+
+    def _ids_of(self, chunks: list[str], often: list[bool]) -> list[bytes]:
+        """The ids of distinct chunks, as bytes of little-endian unsigned 32-bit integers; those met ``often`` are remembered."""
         if len(self.known) > REMEMBERED:
             self.older, self.known = self.known, {"": b""}
         known, older = self.known, self.older
-        unseen: dict[str, tuple[str, str]] = {}
-        for chunk in set().union(*chunks).difference(known):
-            if (ids := older.get(chunk)) is not None:
-                known[chunk] = ids
-            else:
-                unseen[chunk] = _parts(chunk)
-        need = {p for parts in unseen.values() for p in parts if p}
-        found = {p: ids for p in need if (ids := known.get(p, older.get(p))) is not None}
-        new = list(need.difference(found))
-        found |= zip(new, self._encode_chunks(new))
-        found[""] = b""
-        lengthy: dict[str, bytes] = {}
-        for chunk, (core, mark) in unseen.items():
-            (known if len(chunk) <= LONGEST else lengthy)[chunk] = found[core] + found[mark]
-        find = known.__getitem__ if not lengthy else (known | lengthy).__getitem__
-        return [b"".join(map(find, c)) + tail for c in chunks]
-
-    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
-        """Ids of each chunk.  Many are encoded as one text, with a mark between them whose id no other chunk has."""
+        found = list(map(known.get, chunks))
+        missing = [i for i, ids in enumerate(found) if ids is None]
+        if older:
+            again = [(i, ids) for i in missing if (ids := older.get(chunks[i])) is not None]
+            for i, ids in again:
+                known[chunks[i]] = found[i] = ids
+            missing = [i for i in missing if found[i] is None]
+        if not missing:
+            return found
+        kinds = _lines("\n".join([chunks[i] for i in missing]))
+        plain = [i for i, k in zip(missing, kinds) if k[0]]
+        other = [i for i, k in zip(missing, kinds) if not k[0]]
+        # a blank parts a word from its mark, as the split pattern does
+        words = "\n".join([f"{core} {mark}" if mark else core for core, mark, _ in kinds if core]).lower().split("\n") if plain else []
+        for i, ids in zip(plain, self._encode_many(words, True)):
+            found[i] = ids
+            if often[i]:
+                known[chunks[i]] = ids
+        for i, ids in zip(other, self._encode_others([chunks[i] for i in other])):
+            found[i] = ids
+            if often[i] and len(chunks[i]) <= LONGEST:
+                known[chunks[i]] = ids
+        return found
+
+    def _encode_many(self, chunks: list[str], plain: bool) -> list[bytes]:
+        """Ids of each chunk, encoded as one text with a mark between chunks whose id no other chunk has."""
         out: list[bytes] = []
-        plain = [c for c in chunks if MARK not in c]
-        apart = self.tokenizer.encode_batch_fast([c for c in chunks if MARK in c], add_special_tokens=False)
-        for at in range(0, len(plain), 2_000):
-            some = plain[at : at + 2_000]
-            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(some)], add_special_tokens=False)[0].ids, dtype="<u4")
+        for at in range(0, len(chunks), 2_000):
+            some = chunks[at : at + 2_000]
+            text = f" {MARK} ".join(some)
+            if plain:
+                text = text.encode().decode("latin-1").translate(self.bytes_to_chars)
+            library = self.merges if plain else self.tokenizer
+            ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))
             if len(ends) != len(some):
                 raise ValueError("the vocabulary has no id of its own for the mark")
-            data, start = ids.tobytes(), 0
-            for end in ends.tolist():
-                out.append(data[4 * start : 4 * end])
-                start = end + 1
-        rest, marked = iter(out), iter(apart)
-        return [np.array(next(marked).ids, dtype="<u4").tobytes() if MARK in c else next(rest) for c in chunks]
+            data, ends = ids.tobytes(), (4 * ends).tolist()
+            out += [data[s:e] for s, e in zip([0] + [e + 4 for e in ends], ends)]
+        return out
+
+    def _encode_others(self, chunks: list[str]) -> list[bytes]:
+        """Ids of chunks that need the library's whole way; those that hold the mark are encoded alone."""
+        joined = [c for c in chunks if MARK not in c]
+        many = iter(self._encode_many(joined, False))
+        return [np.array(self.tokenizer.encode(c, add_special_tokens=False).ids, dtype="<u4").tobytes() if MARK in c else next(many) for c in chunks]
 
 
 def word_encoder(path: str) -> WordEncoder:

@@ -8,6 +8,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -116,11 +117,20 @@ def word_ids(texts):
 
 def test_word_encoder_is_the_library():
     rng = random.Random(5)
-    alphabet = "aB é́ßİſ\x1c\x85\u3000\xa0 \t\n\r\x0b\x01<|endoftext|>'s't 12٣ⅧΣς日本語\u200b.,!"
+    alphabet = "aB é́ßİſ\x1c\x85\u3000\xa0 \t\n\r\x0b\x0c\x01<|endoftext|>'s't 12٣ⅧΣς日本語\u200b.,!"
     texts = ["".join(rng.choice(alphabet) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + [None, "", "word " * 500, "x" * 3000, "A." * 40]
     encoder = tokens.WordEncoder(tokens.vocabulary(tokens.WORD_BPE))
-    for _ in range(2):
-        assert [np.frombuffer(b, "<u4").tolist() for b in encoder.encode(texts, None)] == word_ids(texts)
+    expected = word_ids(texts)
+    listed = lambda part, end: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(part, pa.string()), end)]
+    for end in (None, 1):
+        assert listed(texts, end) == [e + [1] * (end == 1) for e in expected]
+    tokens_before, tokens.REMEMBERED = tokens.REMEMBERED, 5
+    for part in (texts[:100], texts[50:150], texts[:100]):
+        assert listed(part, None) == expected[texts.index(part[0]) :][: len(part)]
+    tokens.REMEMBERED = tokens_before
+    assert listed([], 1) == []
+    sliced = pa.array(texts, pa.string()).slice(7, 500)
+    assert [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(sliced, None)] == expected[7:507]
 
 
 def test_op1(spark, sf_dir, rows):
@@ -157,8 +167,9 @@ def test_language_backoff():
     assert np.allclose(model.word_scores("zz"), [langid.PENALTY, np.log(0.3)])  # the longest known n-gram
     assert np.allclose(model.word_scores("q"), [np.log(0.1), langid.PENALTY])
     assert np.allclose(model.word_scores("x"), [langid.PENALTY] * 2)
-    assert langid.Scorer(langid.Model([], [{}] * 6)).predict("word") == ("und", 0.0)
-    assert langid.Scorer(model).predict("123 !") == ("und", 0.0)
+    assert langid.Scorer(langid.Model([], [{}] * 6, np.zeros((0, 0)))).predict("word") == ("und", 0.0)
+    assert langid.Scorer(model).predict("123 ! ½²") == ("und", 0.0)
+    assert langid.Scorer(model).predict("½ known")[0] == "a"
 
 
 def test_language_ties_and_long_words(spark):
@@ -515,7 +526,6 @@ def test_components_of_a_long_chain(spark):
 
 
 def test_deduplicated(spark, docs, rows):
-    kept = simhash.deduplicated(docs).collect()
     fps = [simhash_slowly(r[1]) for r in rows]
     root = components_slowly(fps)
     first = {}
@@ -523,7 +533,50 @@ def test_deduplicated(spark, docs, rows):
         best = first.get(root[f])
         if best is None or (r[0] is None, r[0] or 0) < (best[0] is None, best[0] or 0):
             first[root[f]] = r
-    assert Counter(r["doc_id"] for r in kept) == Counter(r[0] for r in first.values())
+    expected = Counter(r[0] for r in first.values())
+    assert Counter(r["doc_id"] for r in simhash.deduplicated(docs, similar=None).collect()) == expected
+    assert Counter(r["doc_id"] for r in simhash.deduplicated(docs).collect()) == expected - Counter([61])  # one word more than document 7
+
+
+def shingle_set(text):
+    words = text.lower().split()
+    return {tuple(words[i : i + 5]) for i in range(max(1, len(words) - 4))}
+
+
+def jaccard(a, b):
+    x, y = shingle_set(a), shingle_set(b)
+    return len(x & y) / len(x | y)
+
+
+def test_similar_texts(spark):
+    """Copies with some words changed: none that shares 0.8 of its shingles stays, no other text goes."""
+    rng = random.Random(13)
+    words = [f"w{i}" for i in range(5000)]
+    rows, near = [], {}
+    for i in range(150):
+        text = [rng.choice(words) for _ in range(rng.randint(60, 400))]
+        rows.append((i, " ".join(text)))
+        if i % 3 == 0:
+            other = list(text)
+            for _ in range(rng.randint(1, max(1, len(text) // 60))):
+                other[rng.randrange(len(other))] = rng.choice(words)
+            rows.append((1000 + i, " ".join(other)))
+            near[1000 + i] = jaccard(rows[-1][1], rows[-2][1])
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert set(range(150)) <= kept
+    missed = [d for d, j in near.items() if j >= 0.85 and d in kept]
+    assert sum(j >= 0.85 for j in near.values()) > 20 and len(missed) <= 2
+    assert all(d in kept for d, j in near.items() if j < 0.7)
+
+
+def test_likeness():
+    rng = random.Random(14)
+    a = [f"v{rng.randint(0, 10**6)}" for _ in range(2000)]
+    for n in (100, 2000):
+        x, y = " ".join(a[:n]), " ".join(a[: n - n // 10] + ["x"])
+        assert simhash.likeness(simhash.sketch(x), simhash.sketch(y)) == pytest.approx(jaccard(x, y), abs=1e-9 if n == 100 else 0.07)
+    assert simhash.likeness(b"", b"") == 1.0 and simhash.likeness(simhash.sketch("a b"), b"") == 0.0
+    assert simhash.likeness(simhash.sketch("A b"), simhash.sketch("a B")) == 1.0
 
 
 # op10
