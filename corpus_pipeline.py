@@ -5,7 +5,8 @@ the next stage's ``docs``.  All stages but the last return the columns they were
 
 1. language: texts without a determined language, or of an unsure one, go
 2. quality: texts that fail the plain rules or the likelihood ratio go
-3. near-dedup: of each group of near-duplicates the smallest id stays
+3. near-dedup: of each group of near-duplicates the smallest id stays; groups are joined by fingerprints within two
+   bits, as op9 has them, and by texts that share 0.8 of their five-word shingles
 4. secrets: spans of secrets are replaced in the text, and ``n_chars`` follows
 5. packing: one row per piece of a document, with its sequence and its place there
 
