@@ -56,7 +56,7 @@ def flat_sql(spans: str, entity: str, score: float, source: str) -> str:
 
 def flat(df: DataFrame, found: Column) -> DataFrame:
     """(id, ...) one row per candidate of ``df`` (id, text, norm)."""
-    rows = df.select("id", "text", F.explode(found).alias("c"))
+    rows = t.one_row_each(df, ["id", "text"], found, "c")
     return rows.select("id", "c.entity_type", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"), t.piece(F.col("text"), F.col("c.start"), F.col("c.end")).alias("span_text"), "c.score", "c.source")
 
 
@@ -316,7 +316,7 @@ def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     terms = terms.where(F.length("term") >= 3).groupBy(F.lower("term").alias("term")).agg(F.min("id").alias("id")).select("id", "term", F.lit("CUSTOM").alias("entity_type"))
     docs = documents(spark, sf_dir)
     pairs = dictionary.join_terms(docs, ["id"], "text", terms)
-    found = docs.join(pairs, "id").select("id", F.explode(dictionary.match_pairs(F.col("text"), F.col("pairs"))).alias("c"), "text")
+    found = t.one_row_each(docs.join(pairs, "id"), ["id", "text"], dictionary.match_pairs(F.col("text"), F.col("pairs")), "c")
     return found.select("id", F.lower(t.piece(F.col("text"), F.col("c.start"), F.col("c.end"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("hits"))
 
 
@@ -352,7 +352,7 @@ def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analyzed(spark, sf_dir).select("id", F.explode("findings").alias("f"))
+    rows = t.one_row_each(analyzed(spark, sf_dir), ["id"], F.col("findings"), "f")
     return rows.select("id", F.col("f.id").alias("finding_id"), "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"), F.col("f.text").alias("span_text"), "f.score", "f.source")
 
 
@@ -446,7 +446,8 @@ def manual_single(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select source as found_by, entity_type, s.src, s.lang, count(*) as n from ({RESOLVED_SQL}) f join (select doc_id, source as src, lang from documents) s on s.doc_id = f.id group by all")
 def findings_by_type_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("src"), "lang")
-    rows = Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(docs, block="id").select("src", "lang", F.explode("findings").alias("f"))
+    rows = Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(docs, block="id")
+    rows = t.one_row_each(rows, ["src", "lang"], F.col("findings"), "f")
     return rows.groupBy(F.col("f.source").alias("found_by"), "f.entity_type", "src", "lang").agg(F.count("*").alias("n"))
 
 

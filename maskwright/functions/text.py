@@ -7,7 +7,7 @@ the lengths of the pieces, in code points, are the offsets.
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from maskwright.schema import SPAN
@@ -64,6 +64,15 @@ def mark_spans(text: Column, pattern: str | Column, group: int = 0, guard: Colum
     return F.when(guard, found).otherwise(none) if guard is not None else found
 
 
+def one_row_each(df: DataFrame, keep: list, array: Column, name: str) -> DataFrame:
+    """``keep`` and ``name``: a row per element of an array.
+
+    A plain explode makes the optimiser test the array's size first, below the projections that make it, so that
+    all of detection would run twice; an outer one does not, and the rows without an element go afterwards.
+    """
+    return df.select(*keep, F.explode_outer(array).alias(name)).where(F.col(name).isNotNull())
+
+
 def piece(text: Column, start: Column, end: Column) -> Column:
     """``text[start:end]``."""
     return F.substring(text, start + 1, F.greatest(end - start, F.lit(0)))

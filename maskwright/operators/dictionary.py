@@ -73,7 +73,7 @@ def join_terms(blocks: DataFrame, key: list[str], text: str, dictionary: DataFra
     # all runs, by cutting the text into runs from each of the first places: no search by position
     cuts = [F.regexp_extract_all(F.substring(F.col("__fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{KEY_LENGTH}}}"), F.lit(0)) for i in range(KEY_LENGTH)]
     runs = F.concat(*cuts)
-    filed = blocks.select(*key, folded(F.col(text)).alias("__fold")).select(*key, F.explode(F.array_distinct(runs)).alias("__key"))
+    filed = blocks.select(*key, folded(F.col(text)).alias("__fold")).select(*key, F.explode_outer(F.array_distinct(runs)).alias("__key"))
     matched = filed.join(terms, "__key").select(*key, "__pair")
     return matched.groupBy(*key).agg(F.collect_set("__pair").alias("pairs"))
 

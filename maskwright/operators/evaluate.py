@@ -11,6 +11,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from maskwright.functions.text import one_row_each
 from maskwright.schema import InvalidInput
 
 MODES = ("exact", "overlap")
@@ -93,7 +94,7 @@ def entity_scores(rows: DataFrame) -> DataFrame:
     counted = None
     for mode in MODES:
         for column, name in ((f"{mode}_hits", "tp"), (f"{mode}_false", "fp"), (f"{mode}_misses", "fn")):
-            one = rows.select("slice", F.lit(mode).alias("mode"), F.explode(column).alias("s")).select("slice", "mode", "s.entity_type", *(F.lit(int(n == name)).alias(n) for n in ("tp", "fp", "fn")))
+            one = one_row_each(rows, ["slice", F.lit(mode).alias("mode")], F.col(column), "s").select("slice", "mode", "s.entity_type", *(F.lit(int(n == name)).alias(n) for n in ("tp", "fp", "fn")))
             counted = one if counted is None else counted.unionByName(one)
     sums = [F.sum(n).alias(n) for n in ("tp", "fp", "fn")]
     per_type = counted.groupBy("slice", "mode", "entity_type").agg(*sums)

@@ -63,7 +63,7 @@ def check_selection(blocks: DataFrame, existing: DataFrame, selection: Selection
 def occurrences(blocks: DataFrame, term: str) -> DataFrame:
     """(block_id, start, end, text): exact occurrences, case and all, which do not overlap one another."""
     spans = t.mark_spans(t.unmarked(F.col("text")), "\\Q" + term.replace("\\E", "\\E\\\\E\\Q") + "\\E", guard=F.contains("text", F.lit(term)))
-    return blocks.select("block_id", F.explode(spans).alias("s")).select("block_id", "s.start", "s.end", "s.text")
+    return t.one_row_each(blocks, ["block_id"], spans, "s").select("block_id", "s.start", "s.end", "s.text")
 
 
 def manual_findings(spans: DataFrame, entity_type: str) -> DataFrame:

@@ -80,7 +80,7 @@ class Engine:
     def findings(self, df: DataFrame, text: str = "text", block: str = "block_id", keep: Iterable[str] = ()) -> DataFrame:
         """One row per finding, with the columns ``keep`` of its block."""
         found = self.analyze(df.select(*dict.fromkeys([*keep, text, block])), text, block, "__findings")
-        return found.select(*keep, F.explode("__findings").alias("f")).select(*keep, "f.*")
+        return t.one_row_each(found, list(keep), F.col("__findings"), "f").select(*keep, "f.*")
 
     def mask(self, df: DataFrame, text: str = "text", findings: str = "findings", accepted: str | None = None, mode: str = "character", character: str = mask.DEFAULT_CHARACTER, out: str = "masked") -> DataFrame:
         """Add ``out``: the text with accepted findings (a column of ids; none given: all) replaced.
