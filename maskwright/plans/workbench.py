@@ -77,8 +77,9 @@ class Workbench:
         """(name, content) of the file with the accepted findings masked; ids that the session does not know are left out."""
         _, found = self.sessions.load(session)
         files = documents.read_files(self.spark, path)
-        chosen = found.where(F.col("id").isin(accepted)).select("block_id", "start", "end").crossJoin(files.select("path").limit(1)) if accepted else found.limit(0).select("block_id", "start", "end").withColumn("path", F.lit(""))
-        row = documents.masked_files(files, chosen, character).limit(1).collect()
-        if not row:
+        first = files.select("path").limit(1).collect()
+        if not first:
             raise NotFound("no such file")
-        return row[0]["name"], bytes(row[0]["content"])
+        chosen = found.where(F.col("id").isin(accepted)).select(F.lit(first[0]["path"]).alias("path"), "block_id", "start", "end")
+        row = documents.masked_files(files, chosen, character).first()
+        return row["name"], bytes(row["content"])
