@@ -91,32 +91,33 @@ def entity_scores(rows: DataFrame) -> DataFrame:
 
     ``rows``: samples as ``matched`` and ``in_slices`` give them.
     """
-    counted = None
-    for mode in MODES:
-        for column, name in ((f"{mode}_hits", "tp"), (f"{mode}_false", "fp"), (f"{mode}_misses", "fn")):
-            one = one_row_each(rows, ["slice", F.lit(mode).alias("mode")], F.col(column), "s").select("slice", "mode", "s.entity_type", *(F.lit(int(n == name)).alias(n) for n in ("tp", "fp", "fn")))
-            counted = one if counted is None else counted.unionByName(one)
+
+    def listed(mode: str, column: str, name: str) -> Column:
+        return F.transform(column, lambda s: F.struct(F.lit(mode).alias("mode"), s["entity_type"].alias("entity_type"), *(F.lit(int(n == name)).alias(n) for n in ("tp", "fp", "fn"))))
+
+    # all outcomes of a sample in one array, so that matching runs once
+    outcomes = F.concat(*(listed(mode, f"{mode}_{kind}", name) for mode in MODES for kind, name in (("hits", "tp"), ("false", "fp"), ("misses", "fn"))))
+    counted = one_row_each(rows, ["slice"], outcomes, "o").select("slice", "o.*")
     sums = [F.sum(n).alias(n) for n in ("tp", "fp", "fn")]
     per_type = counted.groupBy("slice", "mode", "entity_type").agg(*sums)
-    total = counted.groupBy("slice", "mode").agg(*sums).withColumn("entity_type", F.lit(None).cast("string"))
+    total = per_type.groupBy("slice", "mode").agg(*sums).withColumn("entity_type", F.lit(None).cast("string"))
     return _scores(per_type.unionByName(total))
 
 
 def document_rates(rows: DataFrame) -> DataFrame:
     """(slice, mode, samples, characters, gold, predicted, zero_miss_rate, no_false_positive_rate, false_positives_per_1000)."""
-    parts = []
+    shared = {"samples": F.count("*"), "characters": F.sum("text_length"), "gold": F.sum(F.size("gold")), "predicted": F.sum(F.size("predicted"))}
+    own = {}
     for mode in MODES:
-        agg = rows.groupBy("slice").agg(
-            F.count("*").alias("samples"),
-            F.sum("text_length").alias("characters"),
-            F.sum(F.size("gold")).alias("gold"),
-            F.sum(F.size("predicted")).alias("predicted"),
-            F.bround(F.avg((F.size(f"{mode}_misses") == 0).cast("double")), 6).alias("zero_miss_rate"),
-            F.bround(F.avg((F.size(f"{mode}_false") == 0).cast("double")), 6).alias("no_false_positive_rate"),
-            F.bround(ratio(F.sum(F.size(f"{mode}_false")) * 1000, F.sum("text_length")), 6).alias("false_positives_per_1000"),
-        )
-        parts.append(agg.withColumn("mode", F.lit(mode)))
-    return parts[0].unionByName(parts[1])
+        own |= {
+            f"{mode}_0": F.bround(F.avg((F.size(f"{mode}_misses") == 0).cast("double")), 6),
+            f"{mode}_1": F.bround(F.avg((F.size(f"{mode}_false") == 0).cast("double")), 6),
+            f"{mode}_2": F.bround(ratio(F.sum(F.size(f"{mode}_false")) * 1000, F.sum("text_length")), 6),
+        }
+    agg = rows.groupBy("slice").agg(*(c.alias(n) for n, c in (shared | own).items()))
+    names = ("zero_miss_rate", "no_false_positive_rate", "false_positives_per_1000")
+    by_mode = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.col(f"{m}_{i}").alias(n) for i, n in enumerate(names))) for m in MODES))
+    return agg.select("slice", *shared, F.explode(by_mode).alias("m")).select("slice", *shared, "m.*")
 
 
 def latency(rows: DataFrame) -> DataFrame:
@@ -134,8 +135,9 @@ def latency(rows: DataFrame) -> DataFrame:
 
 def errors(rows: DataFrame) -> DataFrame:
     """(mode, sample_id, misses, false_positives) of samples that have any."""
-    parts = [rows.where((F.size(f"{m}_misses") > 0) | (F.size(f"{m}_false") > 0)).select(F.lit(m).alias("mode"), "sample_id", F.col(f"{m}_misses").alias("misses"), F.col(f"{m}_false").alias("false_positives")) for m in MODES]
-    return parts[0].union(parts[1])
+    listed = F.array(*(F.struct(F.lit(m).alias("mode"), F.col(f"{m}_misses").alias("misses"), F.col(f"{m}_false").alias("false_positives")) for m in MODES))
+    some = F.filter(listed, lambda x: (F.size(x["misses"]) > 0) | (F.size(x["false_positives"]) > 0))
+    return one_row_each(rows, ["sample_id"], some, "e").select("e.mode", "sample_id", "e.misses", "e.false_positives")
 
 
 def evaluate(results: DataFrame) -> dict[str, object]:
