@@ -24,7 +24,8 @@ SHARDS = 16
 LEAST_LANGUAGE_SCORE = 0.5
 
 
-def _pattern() -> str:
+def split_pattern() -> str:
+    """The pattern that splits text before the merges of the rank files."""
     import public_tokenizers
 
     return public_tokenizers.PATTERN
@@ -46,7 +47,7 @@ def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
-    return bytebpe.round_trip(common.table(spark, sf_dir, "documents"), tokens.vocabulary(bytebpe.MULTI_BPE), _pattern())
+    return bytebpe.round_trip(common.table(spark, sf_dir, "documents"), tokens.vocabulary(bytebpe.MULTI_BPE), split_pattern())
 
 
 def op4_bin_slack_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -61,7 +62,7 @@ def _joined(spans: str) -> str:
 def op5_secret_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
     ship(spark)
     docs = common.table(spark, sf_dir, "documents").select("doc_id", "text")
-    found = secrets.scan(docs, tokens.vocabulary(secrets.VOCABULARY), _pattern()).select("doc_id", "found.*")
+    found = secrets.scan(docs, tokens.vocabulary(secrets.VOCABULARY), split_pattern()).select("doc_id", "found.*")
     counts = [f"cast(size(filter(base, x -> x.kind = '{k}')) as long) as n_{k}" for k in secrets.KINDS[:3]]
     return found.selectExpr("doc_id", *counts, f"sha2({_joined('base')}, 256) as base_sha256", f"{_joined('spans')} as spans")
 

@@ -205,7 +205,7 @@ def test_op3(spark, sf_dir, rows):
 
 
 def test_byte_bpe_columns(spark, docs):
-    path, pattern = tokens.vocabulary(bytebpe.MULTI_BPE), queries._pattern()
+    path, pattern = tokens.vocabulary(bytebpe.MULTI_BPE), queries.split_pattern()
     out = bytebpe.decode_column(bytebpe.encode_column(docs, path, pattern), path, pattern)
     assert out.where("decoded <> cast(coalesce(text, '') as binary)").count() == 0
 
@@ -292,7 +292,7 @@ def test_secret_base_spans():
 
 
 def test_secret_random_strings():
-    s = secrets.scanner(tokens.vocabulary(secrets.VOCABULARY), queries._pattern(), secrets.CHARS_PER_TOKEN)
+    s = secrets.scanner(tokens.vocabulary(secrets.VOCABULARY), queries.split_pattern(), secrets.CHARS_PER_TOKEN)
     assert [x[0] for x in s.spans(SECRETS[4])[1]] == ["random"]
     assert s.spans(SECRETS[5])[1] == []
     assert s.spans(None) == ([], [])
