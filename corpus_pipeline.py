@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.deploy import ship
-from maskwright.llm import bytebpe, common, langid, packing, quality, secrets, simhash, tokens  # noqa: F401
-from maskwright.llm.queries import LEAST_LANGUAGE_SCORE, _pattern
+from maskwright.llm import common, langid, packing, quality, secrets, simhash, tokens
+from maskwright.llm.queries import LEAST_LANGUAGE_SCORE, split_pattern
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -48,7 +48,7 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Replace secrets in the text."""
     ship(spark)
-    clean = secrets.redact(docs, tokens.vocabulary(secrets.VOCABULARY), _pattern())
+    clean = secrets.redact(docs, tokens.vocabulary(secrets.VOCABULARY), split_pattern())
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
     return clean.select(*docs.columns)
