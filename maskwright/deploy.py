@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import zipfile
@@ -23,5 +24,6 @@ def ship(spark: SparkSession) -> SparkSession:
             for p in sorted(root.rglob("*.py")):
                 z.write(p, p.relative_to(root.parent))
         sc.addPyFile(path)
+        atexit.register(lambda: os.path.exists(path) and os.unlink(path))
         _shipped.add(sc.applicationId)
     return spark
