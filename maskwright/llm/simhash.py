@@ -23,8 +23,9 @@ How links are found, exactly and without comparing everything with everything:
    and each file, of 65 members at most, is a star.  No pair is lost.
 
 ``deduplicated`` adds a second kind of link.  Few changed words already turn more than two bits, so texts that
-share at least ``SIMILAR`` of their five-word shingles are looked for among fingerprints within ``WIDE_BITS`` bits, by
-files of sampled bits, and their sketches of shingles decide.
+share at least ``SIMILAR`` of their five-word shingles are linked too.  Texts are filed under their first shingles in an order
+with rare ones first, so many of them that similar texts share one; every pair of a file that lengths, places and
+counts do not rule out, and that no other link joins, is decided by all shingles of both whole texts.  No pair is lost.
 
 Nulls and blanks: a null or blank text has no shingle, its fingerprint is zero,
 and it links like any other.  A text with fewer words than a shingle has one
@@ -36,7 +37,7 @@ input are neither read nor returned.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import partial
 from itertools import combinations
 
@@ -260,14 +261,14 @@ def _mark(edges: DataFrame) -> tuple:
     return tuple(row)
 
 
-def grouped(fps: DataFrame, max_bits: int = 2, more: DataFrame | None = None, **how: int) -> DataFrame:
+def grouped(fps: DataFrame, max_bits: int = 2, more: Callable[[DataFrame], DataFrame] | None = None, **how: int) -> DataFrame:
     """(fp, root): the class of every distinct ``fp`` of a stored frame; classes are named by one of their fingerprints.
 
-    ``more`` has further links (a, b) among the fingerprints.
+    ``more`` gets the links (a, b) and returns them and further ones.
     """
     distinct = common.stored(fps.select("fp").distinct(), "simhash-distinct")
     edges = links(distinct, max_bits, **how)
-    linked = components(edges.union(more.select("a", "b")) if more is not None else edges).withColumnRenamed("node", "fp")
+    linked = components(more(common.stored(edges, "simhash-near")) if more else edges).withColumnRenamed("node", "fp")
     return distinct.join(linked, "fp", "left").select("fp", F.coalesce("root", "fp").alias("root"))
 
 
@@ -276,24 +277,23 @@ def grouped(fps: DataFrame, max_bits: int = 2, more: DataFrame | None = None, **
 #: Words of a shingle and share of common shingles from which texts count as similar.
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
-#: Smallest shingle hashes that stand for a text; a text with no more shingles is compared exactly.
+#: Smallest shingle hashes of a sketch.
 SKETCH = 192
-#: Fingerprints of similar texts rarely differ in more bits than this.
-WIDE_BITS = 12
-#: Files of a wide search, and the bits of a fingerprint that name a file.
-WIDE_FILES = 64
-WIDE_KEY_BITS = 16
-#: Members of a wide file, in order of fingerprint, that are compared with one another at once.
-WIDE_WINDOW = 1024
+#: Buckets in which a text's shingles are counted.
+BUCKETS = 128
+#: Texts from which common shingles are learned, about, and the shingles that are held as common, at most: both decide how much
+#: work the search has, not what it finds.
+COMMON_TEXTS = 8192
+COMMON = 1 << 16
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def sketch(text: str | None, size: int = SIMILAR_WORDS, count: int = SKETCH) -> bytes:
-    """The ``count`` smallest hashes of a text's distinct shingles, as bytes; ASCII letters count in lower case."""
+def shingle_hashes(text: str | None, size: int = SIMILAR_WORDS) -> np.ndarray:
+    """The hashes of a text's distinct shingles, in order; ASCII letters count in lower case."""
     words = common.words_of(text)
     if not words:
-        return b""
+        return np.zeros(0, dtype=np.uint64)
     words = b" ".join(words).lower().split()
     one = np.fromiter(map(_hash, words), dtype=np.uint64, count=len(words))
     n = max(1, len(one) - size + 1)
@@ -301,11 +301,16 @@ def sketch(text: str | None, size: int = SIMILAR_WORDS, count: int = SKETCH) ->
     for k in range(min(size, len(one))):
         mixed = mixed * _MIX + one[k : k + n]
     mixed = (mixed ^ (mixed >> np.uint64(31))) * _MIX
-    return np.unique(mixed ^ (mixed >> np.uint64(29)))[:count].tobytes()
+    return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def likeness(a: bytes, b: bytes, count: int = SKETCH) -> float:
-    """The share of common shingles: exact for texts of up to ``count`` shingles, else estimated from the smallest of both."""
+def sketch(text: str | None, size: int = SIMILAR_WORDS, count: int | None = SKETCH) -> bytes:
+    """The ``count`` smallest hashes of a text's distinct shingles, or all of them, as bytes."""
+    return shingle_hashes(text, size)[:count].tobytes()
+
+
+def likeness(a: bytes, b: bytes, count: int | None = SKETCH) -> float:
+    """The share of common shingles: exact for sketches of all shingles, else estimated from the smallest of both."""
     x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
     if not len(x) or not len(y):
         return float(len(x) == len(y))
@@ -317,95 +322,193 @@ def likeness(a: bytes, b: bytes, count: int = SKETCH) -> float:
     return float(np.isin(both, x, assume_unique=True).astype(bool)[np.isin(both, y, assume_unique=True)].sum() / len(both))
 
 
-def _nearest_in(keys: np.ndarray, values: np.ndarray, refs: np.ndarray, max_bits: int, window: int) -> tuple[np.ndarray, np.ndarray]:
-    """Each member of a file with the nearest member before it in its window, if that is near enough; rows come sorted by key, then value."""
-    n = len(keys)
-    table = distance_table(values, refs)
-    first = np.searchsorted(keys, keys, side="left")
-    place = np.arange(n) - first
-    ends = np.minimum(np.searchsorted(keys, keys, side="right"), first + (place // window + 1) * window)
-    best = np.full(n, 65, dtype=np.int64)
-    mate = np.zeros(n, dtype=np.int64)
-    shift, left = 1, np.flatnonzero(ends - np.arange(n) > 1)
-    while len(left):
-        hit = left[_close(table, values, left, left + shift, max_bits)]
-        bits = np.bitwise_count(values[hit] ^ values[hit + shift]).astype(np.int64)
-        nearer = bits < best[hit + shift]
-        best[hit[nearer] + shift], mate[hit[nearer] + shift] = bits[nearer], hit[nearer]
-        shift += 1
-        left = left[left + shift < ends[left]]
-    at = np.flatnonzero(best < 65)
-    return values[at], values[mate[at]]
+def bucket_counts(hashes: np.ndarray) -> bytes:
+    """How many of the hashes are in each bucket, 255 at most: these counts differ by no more than the sets do."""
+    return np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
 
 
-def wide_masks(files: int, key_bits: int) -> list[int]:
-    """Fixed choices of ``key_bits`` bits, as signed longs."""
-    out = []
-    for i in range(files):
-        order = sorted(range(64), key=lambda b: xxhash.xxh64_intdigest(b"file %d bit %d" % (i, b), seed=SEED))
-        m = sum(1 << b for b in order[:key_bits])
-        out.append(m - (1 << 64) if m >= 1 << 63 else m)
-    return out
+def least_common(n: np.ndarray | int, m: np.ndarray | int, similar: float) -> np.ndarray | float:
+    """So many shingles, less a rounding error, are common to similar texts of ``n`` and ``m`` shingles."""
+    return (n + m) * (similar / (1 + similar)) - 1e-6
 
 
-def similar_links(sketches: DataFrame, similar: float = SIMILAR, max_bits: int = WIDE_BITS, files: int = WIDE_FILES) -> DataFrame:
-    """(a, b): links of fingerprints whose texts share at least ``similar`` of their shingles.
+def prefix(hashes: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray, similar: float) -> np.ndarray:
+    """The first hashes in an order that is the same for all texts, rare ones first: similar texts share one of them.
 
-    ``sketches`` (fp, sketch) has one row per distinct fingerprint.  Candidates share the bits of one of ``files``
-    masks; in a file each member meets the others of its window, and its nearest one, if it is within
-    ``max_bits``, becomes a candidate: as many candidates as members, however dense a group is.  Each
-    candidate's sketches decide.  This search is not exhaustive; it comes on top of the exact links.
+    ``common_ones`` is sorted, and ``ranks`` has the place of each of them in the order.
     """
-    spark = sketches.sparkSession
-    count = sketches.count()
-    key_bits = max(WIDE_KEY_BITS, (max(1, count) // 256).bit_length())
-    masks = wide_masks(files, key_bits)
-    refs = pivots(4)  # pivots discard few pairs at this distance
-    filed = sketches.select("fp", F.posexplode(F.array(*(F.col("fp").bitwiseAND(F.lit(m)) for m in masks))).alias("c", "m"))
+    n = len(hashes)
+    length = n - int(np.ceil(similar * n - 1e-6)) + 1
+    if len(common_ones):
+        at = np.minimum(np.searchsorted(common_ones, hashes), len(common_ones) - 1)
+        hashes = hashes[np.lexsort((hashes, np.where(common_ones[at] == hashes, ranks[at], -1)))]
+    return hashes[:length]
+
+
+def pairs_in(keys: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similar: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a file's members of different groups that may be similar; rows come sorted by key, then n.
+
+    A pair's first common shingle is the first for both: so many shingles as the shorter rest has can be
+    common, and in that file a similar pair passes.  ``reach`` is how far apart members of a pair may be.
+    """
+    ends = np.searchsorted(keys, keys, side="right")
+    shift, left = 1, np.flatnonzero(ends - np.arange(len(keys)) > 1)
+    while len(left) and (reach is None or shift <= reach):
+        other = left + shift
+        near = n[left] >= similar * n[other] - 1e-6
+        left, other = left[near], other[near]  # members further on are no shorter
+        hit = (group[left] != group[other]) & (np.minimum(n[left] - at[left], n[other] - at[other]) >= least_common(n[left], n[other], similar))
+        if hit.any():
+            yield node[left[hit]], node[other[hit]]
+        shift += 1
+        left = left[left + shift < ends[left]]
+
+
+def _by_file(rows: DataFrame, columns: list[str], order: list[str], work, schema: str) -> DataFrame:
+    """``work`` gets the longs of whole files, sorted by ``columns[0]`` and ``order``, as the columns of an array."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-
-        def mates(rows: np.ndarray) -> pa.RecordBatch:
-            change = np.any(rows[1:, :2] != rows[:-1, :2], axis=1)
-            keys = np.concatenate([[0], np.cumsum(change)])
-            a, b = _nearest_in(keys, np.ascontiguousarray(rows[:, 2]).view(np.uint64), refs, max_bits, WIDE_WINDOW)
-            return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
-
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(columns))], axis=1))
             size += batch.num_rows
-            if size < COMPARE_ROWS:
+            if size < COMPARE_ROWS or held[0][0, 0] == held[-1][-1, 0]:
                 continue
-            rows = np.concatenate(held)
-            last = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
-            # a file goes on in the next batch, but windows are cut where they would be cut anyway
-            cut = last + (len(rows) - last) // WIDE_WINDOW * WIDE_WINDOW
-            if cut:
-                yield mates(rows[:cut])
-            held, size = [rows[cut:]], len(rows) - cut
+            ready = np.concatenate(held)
+            # the last file may go on in the next batch
+            cut = int(np.flatnonzero(ready[:, 0] == ready[-1, 0])[0])
+            yield from work(ready[:cut])
+            held, size = [ready[cut:]], len(ready) - cut
         if size:
-            yield mates(np.concatenate(held))
+            yield from work(np.concatenate(held))
 
-    found = (
-        filed.select(F.col("c").cast("long").alias("c"), "m", "fp")
-        .repartition(common.shuffle_partitions(spark), "c", "m")
-        .sortWithinPartitions("c", "m", "fp")
-        .mapInArrow(sweep, "a long, b long")
-        .select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
-        .distinct()
-    )
+    dealt = rows.select(*columns).repartition(common.shuffle_partitions(rows.sparkSession), columns[0])
+    return dealt.sortWithinPartitions(columns[0], *order).mapInArrow(sweep, schema)
+
+
+def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
+
+
+def common_shingles(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``COMMON_TEXTS`` texts have, sorted, and their ranks by frequency."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for t in batch.column(0):
+                yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()).view(np.int64))], names=["shingle"])
+
+    some = texts.where(F.xxhash64("node") <= common.hash_share(min(1.0, COMMON_TEXTS / max(1, count)))).select("text")
+    counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON)
+    found = counts.collect()  # at most COMMON rows
+    values = np.array([r["shingle"] for r in found], dtype=np.int64).view(np.uint64)
+    ranks = np.arange(len(values))[::-1]
+    order = np.argsort(values)
+    return values[order], ranks[order].copy()
+
+
+def filed(texts: DataFrame, count: int, similar: float) -> DataFrame:
+    """(shingle, node, n, at): the files of the texts' first shingles that have more than one text."""
+    spark = texts.sparkSession
+    shared = spark.sparkContext.broadcast(common_shingles(texts, count))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                hashes = shingle_hashes(text.as_py())
+                first = prefix(hashes, *shared.value, similar)
+                yield _batch(ROW, first.view(np.int64), np.full(len(first), node), np.full(len(first), len(hashes)), np.arange(len(first)))
+
+    def several(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        # a row that the table repeats is one member
+        rows = rows[np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])]
+        same = rows[1:, 0] == rows[:-1, 0]
+        kept = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
+        if len(kept):
+            yield _batch(ROW, *kept.T)
+
+    ROW = "shingle long, node long, n long, at long"
+    rows = texts.select("node", "text").mapInArrow(run, ROW)
+    return common.stored(_by_file(rows, ["shingle", "node", "n", "at"], ["n", "node"], several, ROW), "simhash-shingles")
+
+
+def candidates(files: DataFrame, group: str, similar: float, reach: int | None = None) -> DataFrame:
+    """(a, b): pairs of nodes of different groups that may be similar, each once."""
+    PAIR = "a long, b long"
+
+    def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        size = 0
+        for a, b in pairs_in(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], similar, reach):
+            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+            size += len(a)
+            if size >= 1 << 20:
+                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
+                size = held[0].shape[1]
+                if size >= 1 << 19:
+                    yield _batch(PAIR, *held[0])
+                    held, size = [], 0
+        if size:
+            yield _batch(PAIR, *np.unique(np.concatenate(held, axis=1), axis=1))
+
+    rows = files.withColumn("__group", F.col(group))
+    return _by_file(rows, ["shingle", "node", "n", "at", "__group"], ["n", "node"], work, PAIR).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+    """The pairs (a, b) whose texts share at least ``similar`` of all their shingles.
+
+    ``nodes`` (node, counts) has the counts of the buckets, which set pairs aside that cannot be similar; ``texts``
+    (node, text) has the texts, perhaps more than once.
+    """
+
+    @F.arrow_udf("boolean")
+    def possible(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
+        a, b = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in (x, y))
+        n, m = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, m))
+        # what is not common to both is at least the difference of the counts
+        return pa.array((n + m - np.abs(a - b).sum(axis=1)) / 2 >= least_common(n, m, similar))
 
     @F.arrow_udf("double")
     def share(x: pa.Array, y: pa.Array) -> pa.Array:
         return pa.array([likeness(i.as_py(), j.as_py()) for i, j in zip(x, y)], pa.float64())
 
-    left = sketches.select(F.col("fp").alias("a"), F.col("sketch").alias("x"))
-    right = sketches.select(F.col("fp").alias("b"), F.col("sketch").alias("y"))
-    return found.join(left, "a").join(right, "b").where(share("x", "y") >= similar).select("a", "b")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(t.as_py()) for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+
+    side = lambda df, name, **to: df.select(F.col("node").alias(name), *(F.col(k).alias(v) for k, v in to.items()))
+    bounded = pairs.join(side(nodes, "a", counts="x", n="n"), "a").join(side(nodes, "b", counts="y", n="m"), "b").where(possible("x", "y", "n", "m")).select("a", "b")
+    bounded = common.stored(bounded, "simhash-pairs")
+    asked = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    whole = common.stored(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary"), "simhash-whole")
+    return bounded.join(side(whole, "a", shingles="x"), "a").join(side(whole, "b", shingles="y"), "b").where(share("x", "y") >= similar).select("a", "b")
+
+
+def similar_links(nodes: DataFrame, texts: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+    """(a, b): links of fingerprints that join all texts which share at least ``similar`` of their shingles.
+
+    ``nodes`` (node, fp, n, counts) has one row per distinct set of shingles, ``texts`` (node, text) their texts, ``near`` (a, b)
+    other links of fingerprints.  Texts are filed under their first shingles, rare ones first, where any two
+    similar texts meet.  Neighbours in a file are verified first; then all pairs are that no link joins yet.
+    """
+    count = nodes.count()
+    files = filed(texts, count, similar)
+    fps = nodes.select("node", "fp")
+
+    def of_fps(pairs: DataFrame) -> DataFrame:
+        by = lambda name: fps.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
+        return pairs.join(by("a"), "a").join(by("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+
+    first = common.stored(of_fps(verified(candidates(files, "node", similar, 1), nodes, texts, similar)), "simhash-neighbours")
+    linked = components(near.union(first)).withColumnRenamed("node", "fp")
+    roots = fps.join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
+    rest = candidates(files.join(roots, "node"), "root", similar)
+    return common.stored(first.union(of_fps(verified(rest, nodes, texts, similar))), "simhash-similar")
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, **how: int) -> DataFrame:
@@ -429,7 +532,7 @@ def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
     """One row of each group: that of its smallest id, null ids last; of equal rows, one.
 
     Groups are joined by fingerprints that differ in at most ``max_bits`` bits, all of which are found, and unless
-    ``similar`` is None by texts that share that much of their five-word shingles, which the wide search finds.
+    ``similar`` is None by texts that share that much of their five-word shingles, all of which are found too.
     A row is known by its id and a hash of all its values, so ids need not be unique.
     """
 
@@ -437,16 +540,26 @@ def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
         for batch in batches:
             texts = [t.as_py() for t in batch.column(2)]
             values = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64)
-            marks = [sketch(t) if similar is not None else b"" for t in texts]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(values.view(np.int64)), pa.array(marks, pa.binary())], names=["id", "row", "fp", "sketch"])
+            sets = [shingle_hashes(t) if similar is not None else values[:0] for t in texts]
+            nodes = np.array([_hash(x.tobytes()) for x in sets], dtype=np.uint64)
+            columns = [batch.column(0), batch.column(1), pa.array(values.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bucket_counts, sets)), pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "fp", "node", "n", "counts"])
 
     row = F.xxhash64(*docs.columns)
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text).alias("__text"))
-    fps = common.stored(rows.mapInArrow(run, "id long, row long, fp long, sketch binary"), "simhash")
+    fps = common.stored(rows.mapInArrow(run, "id long, row long, fp long, node long, n long, counts binary"), "simhash")
     more = None
     if similar is not None:
-        # texts of one fingerprint are one group, and any of them stands for it
-        more = similar_links(common.stored(fps.groupBy("fp").agg(F.min("sketch").alias("sketch")), "simhash-sketches"), similar)
+        some = fps.where("n > 0")
+        nodes = common.stored(some.groupBy("node").agg(F.min(F.struct("row", "fp", "n", "counts")).alias("s")).select("node", "s.*"), "simhash-nodes")
+        texts = docs.select(row.alias("row"), F.col(text).alias("text")).join(nodes.select("row", "node"), "row").select("node", "text")
+        # equal sets of shingles may have several fingerprints
+        equal = some.select("node", F.col("fp").alias("a")).distinct().join(nodes.select("node", F.col("fp").alias("b")), "node").where("a <> b").select("a", "b")
+
+        def more(edges: DataFrame) -> DataFrame:
+            near = edges.union(equal)
+            return near.union(similar_links(nodes, texts, near, similar))
+
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     low = fps.groupBy("fp").agg(F.min(order).alias("low"))
     roots = low.join(grouped(fps.select("fp"), max_bits, more, **how), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.row")

@@ -569,6 +569,47 @@ def test_similar_texts(spark):
     assert all(d in kept for d, j in near.items() if j < 0.7)
 
 
+def kept_slowly(rows, similar=0.8):
+    """The smallest ids of the components of fingerprints within two bits and of texts that share so much."""
+    fps = [simhash_slowly(r[1]) for r in rows]
+    sets = [shingle_set(r[1]) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            common_ones = len(sets[i] & sets[j])
+            if (fps[i] ^ fps[j]).bit_count() <= 2 or common_ones >= similar * (len(sets[i]) + len(sets[j]) - common_ones):
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    return {rows[find(i)][0] for i in range(len(rows))}
+
+
+def test_similar_short_texts_lose_nothing(spark):
+    """Few changed words of short texts turn many bits; frequent passages and chains of variants lie between them."""
+    rng = random.Random(17)
+    words = [f"w{i}" for i in range(3000)]
+    passage = [rng.choice(words) for _ in range(16)]
+    rows = []
+    for i in range(40):
+        text = [rng.choice(words) for _ in range(rng.randint(12, 40))] + passage * (i % 2)
+        for k in range(5):
+            rows.append((len(rows), " ".join(text)))
+            text = list(text)
+            if k % 2:
+                text[rng.randrange(len(text))] = rng.choice(words)
+            else:
+                text = text[rng.randint(0, 2) :] + [rng.choice(words) for _ in range(rng.randint(0, 2))]
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    expected = kept_slowly(rows)
+    assert 60 < len(expected) < 170
+    assert kept == expected
+
+
 def test_likeness():
     rng = random.Random(14)
     a = [f"v{rng.randint(0, 10**6)}" for _ in range(2000)]
