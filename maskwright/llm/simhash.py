@@ -474,12 +474,12 @@ def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: floa
 
     @F.arrow_udf("double")
     def share(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([likeness(i.as_py(), j.as_py()) for i, j in zip(x, y)], pa.float64())
+        return pa.array([likeness(i.as_py(), j.as_py(), None) for i, j in zip(x, y)], pa.float64())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in common.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(t.as_py()) for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(t.as_py(), count=None) for t in part.column(1)], pa.binary())], names=["node", "shingles"])
 
     side = lambda df, name, **to: df.select(F.col("node").alias(name), *(F.col(k).alias(v) for k, v in to.items()))
     bounded = pairs.join(side(nodes, "a", counts="x", n="n"), "a").join(side(nodes, "b", counts="y", n="m"), "b").where(possible("x", "y", "n", "m")).select("a", "b")

@@ -610,6 +610,22 @@ def test_similar_short_texts_lose_nothing(spark):
     assert kept == expected
 
 
+def test_similarity_of_long_texts_is_exact(spark):
+    """Pairs of long texts just at, above and below 0.8: no estimate tells them apart."""
+    rows, expected = [], set()
+    for i, (size, more) in enumerate([(size, more) for size in (400, 1000, 3000) for more in (-12, -4, -1, 0, 1, 4, 12)]):
+        rng = random.Random(100 + i)
+        text = [f"v{rng.randrange(10**6)}" for _ in range(size + 4)]
+        # ``size`` shingles, of which the second text has the first 0.8 and no other
+        rows += [(2 * i, " ".join(text)), (2 * i + 1, " ".join(text[: size * 4 // 5 + 4 - more]))]
+    for a, b in zip(rows[::2], rows[1::2]):
+        expected |= {a[0]} | ({b[0]} if jaccard(a[1], b[1]) < 0.8 else set())
+    kept = {r["doc_id"] for r in simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=1).collect()}
+    near = {b[0] for a, b in zip(rows[::2], rows[1::2]) if (simhash_slowly(a[1]) ^ simhash_slowly(b[1])).bit_count() <= 1}
+    assert not near and len(expected) == 21 + 9
+    assert kept == expected
+
+
 def test_likeness():
     rng = random.Random(14)
     a = [f"v{rng.randint(0, 10**6)}" for _ in range(2000)]
