@@ -4,13 +4,13 @@ Base patterns find assignments of passwords and keys, access keys and long runs
 hexadecimal digits; matches are leftmost and do not overlap within a kind, and those that are
 too short are dropped after matching.
 
-The method looks at runs of at least ``LEAST_RUN`` characters of keys (letters, digits and ``+/_=-``)
-that mix two of lower case, upper case and digits.  Known harmless forms are set aside: digests
-(hexadecimal runs of the usual digests' lengths), UUIDs, dates and numbers, and identifiers made of
-words (every part between ``_``, ``-``, ``/`` or a change of case is letters, or a short number).  What is
-left is tokenised by a tiktoken vocabulary: prose has few tokens, random strings many.  Under
-``CHARS_PER_TOKEN`` characters a token, the run is a span of kind ``random``, unless a base span
-has it already.
+The method looks at runs of at least ``LEAST_RUN`` characters of keys (letters, digits and ``+/_=-``).
+Known harmless forms are set aside: digests (hexadecimal runs of the usual digests' lengths), UUIDs,
+dates and numbers.  What is left is tokenised by a tiktoken vocabulary: prose has few tokens, random
+strings many.  Under ``CHARS_PER_TOKEN`` characters a token, the run is a span of kind ``random``, unless a
+base span has it already.  The limit is lower for what may well be made of words: short runs, and identifiers
+(every part between ``_``, ``-``, ``/`` or a change of case is letters, or a short number), of which only the letters
+count if signs separate the parts; it is lowest for single words, which are tested from ``LEAST_WORD`` letters on.
 
 Positions count code points, the end is not included.  Nulls: a null text has no spans.  Repeated
 rows get equal results, other columns pass through, an empty table gives an empty result.
@@ -35,8 +35,12 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)).finditer
 _hex = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX).finditer
 
-LEAST_RUN = 20
+LEAST_RUN = 16
+#: Letters of a single word, and characters of a run that is no short one.
+LEAST_WORD = LONG_RUN = 20
 CHARS_PER_TOKEN = 2.2
+#: Shares of the limit for short runs and identifiers, and for single words.
+SHORT_SHARE, WORD_SHARE = 2.0 / 2.2, 1.8 / 2.2
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN).finditer
@@ -45,7 +49,11 @@ DIGEST_LENGTHS = (32, 40, 48, 56, 64, 96, 128)
 _digest = re.compile(r"[0-9a-f]+|[0-9A-F]+").fullmatch
 _uuid = re.compile(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}").fullmatch
 _number = re.compile(r"[0-9/_=+-]+").fullmatch
-_identifier = re.compile(r"(?:[_/=+-]*(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])))+[_/=+-]*").fullmatch
+# no part is given back once it is matched, so this is linear
+_identifier = re.compile(r"(?>[_/=+-]*+(?:[A-Z]?[a-z]{2,}+|[A-Z]{2,}(?![a-z])|[0-9]{1,4}(?![0-9])))++[_/=+-]*+").fullmatch
+_word = re.compile(r"[A-Z]?[a-z]++|[A-Z]++").fullmatch
+_separated = re.compile(r"[A-Za-z0-9][_/=+-]+[A-Za-z0-9]").search
+_parts = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{2,}(?![a-z])").findall
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,12 +69,10 @@ def ordered(spans: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
 
 
 def known_form(run: str) -> bool:
-    """Whether a run is a digest, an identifier or a number rather than a secret."""
-    if sum((any(map(str.islower, run)), any(map(str.isupper, run)), any(map(str.isdigit, run)))) < 2:
-        return True
+    """Whether a run is a digest, a UUID or a number rather than a secret."""
     if len(run) in DIGEST_LENGTHS and _digest(run):
         return True
-    return bool(_uuid(run) or _number(run) or _identifier(run))
+    return bool(_uuid(run) or _number(run))
 
 
 class Scanner:
@@ -82,6 +88,17 @@ class Scanner:
         """Characters per token."""
         return len(run) / len(self.encoding.encode_ordinary(run))
 
+    def random(self, run: str) -> bool:
+        """Whether a run of no known form has more tokens than its form allows."""
+        if _word(run.strip("_/=+-")):
+            return len(run.strip("_/=+-")) >= LEAST_WORD and self.efficiency(run) < self.limit * WORD_SHARE
+        if _identifier(run):
+            if _separated(run) and (parts := _parts(run)):
+                # words between signs, each by itself
+                return sum(map(len, parts)) < self.limit * SHORT_SHARE * sum(len(self.encoding.encode_ordinary(p)) for p in parts)
+            return self.efficiency(run) < self.limit * SHORT_SHARE
+        return self.efficiency(run) < self.limit * (1 if len(run) >= LONG_RUN else SHORT_SHARE)
+
     def spans(self, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, all spans), each by start, then kind."""
         if not text:
@@ -92,7 +109,7 @@ class Scanner:
             start, end = m.span()
             if any(s <= start and end <= e for _, s, e in base) or known_form(m[0]):
                 continue
-            if self.efficiency(m[0]) < self.limit:
+            if self.random(m[0]):
                 more.append(("random", start, end))
         return base, ordered(base + more) if more else base
 

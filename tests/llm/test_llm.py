@@ -298,6 +298,22 @@ def test_secret_random_strings():
     assert s.spans(None) == ([], [])
 
 
+def test_secret_random_strings_of_any_form():
+    """Keys of 16 characters and more, whatever their letters and digits look like; words and identifiers are none."""
+    s = secrets.scanner(tokens.vocabulary(secrets.VOCABULARY), queries.split_pattern(), secrets.CHARS_PER_TOKEN)
+    rng = random.Random(9)
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    for letters, least in ((lower + digits, 0.95), (upper + digits, 0.95), (upper + "234567", 0.93), (lower + upper + digits, 0.98)):
+        for n in (16, 20, 24, 40):
+            runs = ["".join(rng.choice(letters) for _ in range(n)) for _ in range(300)]
+            assert sum(s.spans(f"a {r} b")[1] == [("random", 2, 2 + n)] or secrets.base_spans(r) != [] for r in runs) >= least * 300
+    for n in (20, 32):
+        assert sum(s.spans("".join(rng.choice(upper) for _ in range(n)))[1] != [] for _ in range(300)) > 0.8 * 300
+    for word in ("ABSTRACT_SINGLETON_PROXY", "donaudampfschifffahrtsgesellschaft", "2023-10-12-en-0412", "src/main/java/com/foo/Bar", "responsabilidades_2024", "incomprehensibilities", "=" * 30, "Eineschpfberkeit"):
+        assert s.spans(word)[1] == []
+    assert not secrets._identifier("aB" * 50_000 + "!")
+
+
 def test_op5_and_redaction(spark, sf_dir, rows):
     found = got(queries.op5_secret_spans(spark, sf_dir))
     assert len(found) == len(rows)
