@@ -65,13 +65,13 @@ def match_pairs(text: Column, pairs: Column) -> Column:
 def join_terms(blocks: DataFrame, key: list[str], text: str, dictionary: DataFrame) -> DataFrame:
     """(key, pairs): the terms whose first characters a block has, for a dictionary of any size.
 
-    Blocks are filed under their distinct runs of ``KEY_LENGTH`` folded characters, terms under
-    their first; an equal join then finds the few terms to look for in a block.  Terms that are
-    shorter are not among them: the plan holds those.
+    Blocks are filed under their distinct runs of up to ``KEY_LENGTH`` folded characters, terms under
+    their first ``KEY_LENGTH``, or all if they are shorter; an equal join then finds the few terms to look
+    for in a block.
     """
     terms = dictionary.where(F.length("term") > 0).select(F.struct(F.col("id").cast("long").alias("seq"), "term", "entity_type").alias("__pair"), F.substring(folded(F.col("term")), 1, KEY_LENGTH).alias("__key"))
     # all runs, by cutting the text into runs from each of the first places: no search by position
-    cuts = [F.regexp_extract_all(F.substring(F.col("__fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{KEY_LENGTH}}}"), F.lit(0)) for i in range(KEY_LENGTH)]
+    cuts = [F.regexp_extract_all(F.substring(F.col("__fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for n in range(1, KEY_LENGTH + 1) for i in range(n)]
     runs = F.concat(*cuts)
     filed = blocks.select(*key, folded(F.col(text)).alias("__fold")).select(*key, F.explode_outer(F.array_distinct(runs)).alias("__key"))
     matched = filed.join(terms, "__key").select(*key, "__pair")

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as t
 from maskwright.operators import detect, dictionary, mask, ner, resolve
-from maskwright.schema import CANDIDATE, FINDING, MAX_TEXT, InvalidInput
+from maskwright.schema import CANDIDATE, FINDING, MAX_TEXT
 
 _OWN = ("__norm", "__tagged", "__pairs", "__found", "__chosen")
 
@@ -69,13 +69,9 @@ class Engine:
         known = self.dictionary.select("id", "term", "entity_type").orderBy(t.ascii_key(F.col("term")), "id").limit(dictionary.PLAN_TERMS + 1).collect()
         if len(known) <= dictionary.PLAN_TERMS:
             return rows, dictionary.match_terms(F.col(text), [(r["term"], r["entity_type"]) for r in known])
-        pairs = dictionary.join_terms(rows, [block], text, self.dictionary.where(F.length("term") >= dictionary.KEY_LENGTH)).withColumnRenamed("pairs", "__pairs")
-        short = self.dictionary.where(F.length("term") < dictionary.KEY_LENGTH).orderBy("id").limit(dictionary.PLAN_TERMS + 1).collect()
-        if len(short) > dictionary.PLAN_TERMS:
-            raise InvalidInput(f"more than {dictionary.PLAN_TERMS} terms of under {dictionary.KEY_LENGTH} characters")
-        joined = rows.join(pairs, block, "left")
+        pairs = dictionary.join_terms(rows, [block], text, self.dictionary).withColumnRenamed("pairs", "__pairs")
         none = F.array().cast("array<struct<seq:bigint,term:string,entity_type:string>>")
-        return joined, F.concat(dictionary.match_terms(F.col(text), [(r["term"], r["entity_type"]) for r in short]), dictionary.match_pairs(F.col(text), F.coalesce("__pairs", none)))
+        return rows.join(pairs, block, "left"), dictionary.match_pairs(F.col(text), F.coalesce("__pairs", none))
 
     def findings(self, df: DataFrame, text: str = "text", block: str = "block_id", keep: Iterable[str] = ()) -> DataFrame:
         """One row per finding, with the columns ``keep`` of its block."""

@@ -397,3 +397,16 @@ def test_generator_command(tmp_path):
     datagen.main(["--output", str(tmp_path / "x" / "gold.jsonl"), "--manifest", str(tmp_path / "m.json")])
     assert json.loads((tmp_path / "m.json").read_text())["sample_count"] == 1000
     assert FINDING.startswith("struct<id")
+
+
+def test_many_short_terms(spark):
+    """A dictionary of more one- and two-character terms than a plan holds."""
+    names = [chr(0x4E00 + i) + chr(0x5E00 + i) for i in range(300)]
+    terms = [(i, n, "PERSON") for i, n in enumerate(names)] + [(300, "Ｑ", "CUSTOM"), (301, "極秘案件", "CUSTOM"), (302, "aB", "CUSTOM")]
+    df = spark.createDataFrame(terms, "id long, term string, entity_type string")
+    text = f"担当{names[0]}と{names[299]}、極秘案件、Ab、"
+    found_terms = {b: [] for b in "bcde"}
+    blocks = spark.createDataFrame([("b", text), ("c", names[150]), ("d", None), ("e", "x")], "block_id string, text string")
+    for r in Engine(dictionary=df).analyze(blocks).collect():
+        found_terms[r["block_id"]] = [f["text"] for f in r["findings"] if f["source"] == "pii-dictionary"]
+    assert found_terms == {"b": [names[0], names[299], "極秘案件", "Ab"], "c": [names[150]], "d": [], "e": []}
