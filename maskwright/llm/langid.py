@@ -14,7 +14,7 @@ mean stood for ``EVIDENCE`` independent words (fewer if the text has fewer).
 
 The model is fitted on a bounded sample of labelled rows: about ``docs_per_lang`` texts
 of each language, those of smallest hash of id and text, so hot languages do not
-crowd out rare ones.  Its size does not grow with the corpus.
+crowd out rare ones.  Its size grows with the number of languages, not with the corpus.
 
 Nulls: a text that is null or has no letter gets ``und`` and score 0; a row of null
 language or text is never learned from.  No labelled row at all: every text gets ``und``.
@@ -39,8 +39,9 @@ WORDS = 20_000
 GRAMS = 8_000
 #: Texts of each language that the model is fitted on.
 DOCS_PER_LANG = 3_000
-#: Languages that a model can hold; the most frequent ones.
+#: With more languages than this, fewer texts of each are learned from, but about ``LEAST_DOCS`` still.
 LANGUAGES = 256
+LEAST_DOCS = 50
 #: Log frequency of what a language has not been seen to have.
 PENALTY = -16.0
 EVIDENCE = 8
@@ -130,19 +131,20 @@ class Scorer:
 
 
 def sampled(docs: DataFrame, text: str, lang: str, id_col: str, docs_per_lang: int) -> DataFrame:
-    """(lang, text): rows of smallest hash, about ``docs_per_lang`` of each of the most frequent languages.
+    """(lang, text): rows of smallest hash, about ``docs_per_lang`` of each language, or fewer if there are many languages.
 
     The hash's limit per language is a quantile from one aggregation; nothing is ranked
     in one task.
     """
     rows = docs.where(F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(F.col(id_col).cast("string"), F.col(text)).alias("h"))
     # hashes are spread evenly over all longs, so a share of them is a share of the rows
-    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES)
-    limits = {r["lang"]: min(1.0, docs_per_lang / r["n"]) for r in sizes.collect()}  # at most LANGUAGES rows
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n")).collect()  # one row per language
+    each = min(docs_per_lang, max(LEAST_DOCS, docs_per_lang * LANGUAGES / max(1, len(sizes))))
+    limits = {r["lang"]: each / r["n"] for r in sizes if r["n"] > each}
     if not limits:
-        return rows.where("false").select("lang", "text")
+        return rows.select("lang", "text")
     limit = F.create_map(*(F.lit(x) for k, share in limits.items() for x in (k, common.hash_share(share))))
-    return rows.where(F.col("h") <= limit[F.col("lang")]).select("lang", "text")
+    return rows.where(F.coalesce(F.col("h") <= limit[F.col("lang")], F.lit(True))).select("lang", "text")
 
 
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> Model:
@@ -170,7 +172,7 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: s
     total = Window.partitionBy("lang", "n")
     ranked = counts.withColumn("total", F.sum("count").over(total)).withColumn("rank", F.row_number().over(kept))
     rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "gram", "count", "total")
-    return Model.fit([tuple(r) for r in rows.collect()])  # at most LANGUAGES * (WORDS + MAX_GRAM * GRAMS) rows
+    return Model.fit([tuple(r) for r in rows.collect()])  # at most WORDS + MAX_GRAM * GRAMS rows a language
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:

@@ -172,6 +172,15 @@ def test_language_backoff():
     assert langid.Scorer(model).predict("½ known")[0] == "a"
 
 
+def test_rare_languages_are_learned(spark):
+    """300 languages: the rarest is predicted like the others, and many languages lower the texts of each, not their number."""
+    rows = [(10 * i + k, " ".join(chr(0x4E00 + 20 * i + j) for j in range(8)), f"l{i:03d}") for i in range(300) for k in range(1 + (i < 299))]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert len(model.languages) == 300
+    assert langid.Scorer(model).predict(rows[-1][1])[0] == "l299"
+
+
 def test_language_ties_and_long_words(spark):
     model = langid.Model.fit([(x, 1, c, 1, 2) for x in "ba" for c in "xy"])
     assert langid.Scorer(model).predict("xyx" * 10_000)[0] == "a"
