@@ -10,11 +10,16 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as t
+from maskwright.operators.order import numbered
 from maskwright.schema import CANDIDATE, DICTIONARY, ENTITY_TYPES, MAX_NOTE, MAX_TERM, Conflict, InvalidInput, NotFound, struct_type
 
 SOURCE = "pii-dictionary"
 #: A dictionary of at most so many terms becomes part of the plan; a larger one is joined.
 PLAN_TERMS = 200
+#: Up to so many terms of a join are broadcast, so that runs of text are not shuffled.
+BROADCAST_TERMS = 200_000
+#: Parts into which a run of characters that many texts have is dealt where terms are not broadcast.
+SALTS = 16
 #: Characters of a term that a join's key has.
 KEY_LENGTH = 3
 
@@ -43,13 +48,33 @@ def match_terms(text: Column, terms: Iterable[tuple[str, str]]) -> Column:
     return F.concat(*found) if found else F.array().cast(f"array<{CANDIDATE}>")
 
 
+def _one_for_one() -> tuple[str, str]:
+    """Characters whose upper case has another lower case than their own, and that lower case."""
+    pairs = [(chr(c), chr(c).upper().lower()) for c in range(0x80, 0x10000) if not 0xD800 <= c < 0xE000]
+    kept = [(c, low) for c, low in pairs if len(low) == 1 == len(c.upper()) and low != c.lower()]
+    return "".join(c for c, _ in kept), "".join(low for _, low in kept)
+
+
+_SAME_UPPER = _one_for_one()
+
+
 def folded(text: Column) -> Column:
     """Equal for texts that differ in case alone, character for character (what has no such fold is left)."""
-    return F.lower(F.translate(text, "ſ\u212aẞ", "skß"))
+    lower = F.lower(F.translate(text, "\u0130\u212aẞ", "ikß"))  # the one character whose lower case is two, and two others
+    return F.translate(lower, *_SAME_UPPER)
+
+
+#: A term with its place in the dictionary: ``key`` first, then ``seq``.
+PAIR = "struct<key:string,seq:bigint,term:string,entity_type:string>"
+
+
+def listed(dictionary: DataFrame) -> DataFrame:
+    """(key, seq, term, entity_type) of a dictionary's rows (id, term, entity_type): in the order of ``Dictionary.list``."""
+    return dictionary.where(F.length("term") > 0).select(t.ascii_key(F.col("term")).alias("key"), F.col("id").cast("long").alias("seq"), "term", "entity_type")
 
 
 def match_pairs(text: Column, pairs: Column) -> Column:
-    """Candidates for array<struct<seq,term,entity_type>>, by seq.  The pattern differs by row."""
+    """Candidates for an array of ``PAIR``, in their order.  The pattern differs by row."""
     clean = t.unmarked(text)
 
     def one(p: Column) -> Column:
@@ -62,20 +87,30 @@ def match_pairs(text: Column, pairs: Column) -> Column:
     return F.flatten(F.transform(F.array_sort(lower), one))
 
 
-def join_terms(blocks: DataFrame, key: list[str], text: str, dictionary: DataFrame) -> DataFrame:
-    """(key, pairs): the terms whose first characters a block has, for a dictionary of any size.
+def text_key(text: Column) -> Column:
+    """The key of a text in ``join_terms``: texts that share one by chance get each other's terms too, which then match nothing."""
+    return F.xxhash64(text)
+
+
+def join_terms(blocks: DataFrame, text: str, terms: DataFrame, broadcast_terms: int = BROADCAST_TERMS) -> DataFrame:
+    """(text_key, pairs): the terms whose first characters a text has, for a dictionary (``listed``) of any size.
 
-    Blocks are filed under their distinct runs of up to ``KEY_LENGTH`` folded characters, terms under
+    Texts are filed under their distinct runs of up to ``KEY_LENGTH`` folded characters, terms under
     their first ``KEY_LENGTH``, or all if they are shorter; an equal join then finds the few terms to look
-    for in a block.
+    for in a text.  Up to ``broadcast_terms`` terms are broadcast, so runs meet them where they are made; more are joined by a
+    shuffle, in which a frequent run's texts are dealt to ``SALTS`` parts.  Equal texts are filed as one.
     """
-    terms = dictionary.where(F.length("term") > 0).select(F.struct(F.col("id").cast("long").alias("seq"), "term", "entity_type").alias("__pair"), F.substring(folded(F.col("term")), 1, KEY_LENGTH).alias("__key"))
+    filed = terms.select(F.struct("key", "seq", "term", "entity_type").cast(PAIR).alias("pair"), F.substring(folded(F.col("term")), 1, KEY_LENGTH).alias("run"))
     # all runs, by cutting the text into runs from each of the first places: no search by position
-    cuts = [F.regexp_extract_all(F.substring(F.col("__fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for n in range(1, KEY_LENGTH + 1) for i in range(n)]
-    runs = F.concat(*cuts)
-    filed = blocks.select(*key, folded(F.col(text)).alias("__fold")).select(*key, F.explode_outer(F.array_distinct(runs)).alias("__key"))
-    matched = filed.join(terms, "__key").select(*key, "__pair")
-    return matched.groupBy(*key).agg(F.collect_set("__pair").alias("pairs"))
+    cuts = [F.regexp_extract_all(F.substring(F.col("fold"), i + 1, 2**31 - 1), F.lit(f"(?s).{{{n}}}"), F.lit(0)) for n in range(1, KEY_LENGTH + 1) for i in range(n)]
+    own = blocks.select(text_key(F.col(text)).alias("text_key"), folded(F.col(text)).alias("fold"))
+    runs = own.select("text_key", F.explode_outer(F.array_distinct(F.concat(*cuts))).alias("run"))
+    if filed.limit(broadcast_terms + 1).count() <= broadcast_terms:
+        matched = runs.join(F.broadcast(filed), "run")
+    else:
+        salted = filed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        matched = runs.withColumn("salt", F.pmod("text_key", F.lit(SALTS)).cast("int")).join(salted, ["run", "salt"])
+    return matched.groupBy("text_key").agg(F.collect_set("pair").alias("pairs"))
 
 
 class Dictionary:
@@ -133,14 +168,13 @@ class Dictionary:
             raise InvalidInput(f"a term has 1 to {MAX_TERM} characters, a note up to {MAX_NOTE}")
         now = self.frame()
         last = now.agg(F.coalesce(F.max("id"), F.lit(0))).first()[0]
-        new = [tuple(r) for r in new_entries(now, mine, last).collect()]
-        if new:
+        new = new_entries(now, mine, last)
+        if not new.isEmpty():
             # rows of the old version are read while the new one is written
-            self._store(now.unionByName(self.spark.createDataFrame(new, DICTIONARY)))
-        created = {r[0] for r in new}
+            self._store(now.unionByName(new))
         stored = self.frame().withColumn("__key", t.ascii_key(F.col("term")))
         asked = mine.select(t.ascii_key(F.col("term")).alias("__key"), "entity_type").distinct()
-        return stored.join(asked, ["__key", "entity_type"]).select("id", "term", "entity_type", "note", "created_at", F.col("id").isin(list(created)).alias("created"))
+        return stored.join(asked, ["__key", "entity_type"]).select("id", "term", "entity_type", "note", "created_at", (F.col("id") > last).alias("created"))
 
     def get_or_create(self, term: str, entity_type: str = "CUSTOM", note: str = "") -> tuple[dict, bool]:
         """(entry, whether it is new); the note of an entry that exists stays."""
@@ -171,8 +205,8 @@ def new_entries(now: DataFrame, terms: DataFrame, last_id: int) -> DataFrame:
     keyed = terms.withColumn("__key", t.ascii_key(F.col("term"))).groupBy("__key", "entity_type").agg(F.min(F.struct("term", "note")).alias("f"))
     known = now.select(t.ascii_key(F.col("term")).alias("__key"), "entity_type")
     fresh = keyed.join(known, ["__key", "entity_type"], "left_anti")
-    numbered = fresh.selectExpr(f"{last_id} + row_number() over (order by f.term, entity_type) as id", "f.term as term", "entity_type", "f.note as note")
-    return numbered.select(F.col("id").cast("long"), "term", "entity_type", "note", now_utc().alias("created_at"))
+    rows = numbered(fresh.select(F.col("f.term").alias("term"), "entity_type", F.col("f.note").alias("note")), ("term", "entity_type"))
+    return rows.select((F.lit(last_id) + F.col("place")).cast("long").alias("id"), "term", "entity_type", "note", now_utc().alias("created_at"))
 
 
 def check_type(entity_type: str) -> None:

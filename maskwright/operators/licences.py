@@ -1,8 +1,18 @@
-"""A licence gate over (name, version, license) rows."""
+"""A licence gate over (name, version, license) rows.  Also a command, over the packages of this Python.
+
+``python -m maskwright.operators.licences --output inventory.json`` writes the inventory and ends with 1 if a package is rejected.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import argparse
+import json
+import sys
+from collections.abc import Sequence
+from importlib.metadata import distributions
+from pathlib import Path
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from maskwright.functions import text as t
@@ -52,3 +62,34 @@ def inventory(packages: DataFrame, metadata: DataFrame) -> DataFrame:
 
 def rejected(rows: DataFrame) -> DataFrame:
     return rows.where(~F.col("permitted")).select(F.format_string("%s==%s: %s", "name", "version", "license").alias("package"))
+
+
+def installed(spark: SparkSession) -> tuple[DataFrame, DataFrame]:
+    """(packages, metadata) of this Python's distributions: licences by classifier, and by the fields that state them in words."""
+    rows = []
+    for d in distributions():
+        if name := d.metadata.get("Name"):
+            named = [c.rsplit(" :: ", 1)[-1] for c in d.metadata.get_all("Classifier") or () if c.startswith("License ::")]
+            stated = d.metadata.get("License-Expression") or d.metadata.get("License")
+            rows.append((name, d.version, "; ".join(named) or "UNKNOWN", stated))
+    frame = spark.createDataFrame(sorted(set(rows), key=repr), "name string, version string, license string, stated string")
+    return frame.drop("stated"), frame.where("stated is not null").select("name", F.col("stated").alias("license"))
+
+
+def main(argv: Sequence[str] | None = None) -> int:
+    parser = argparse.ArgumentParser(description="List the licences of installed packages; fail if one is not permitted")
+    parser.add_argument("--output", type=Path, required=True)
+    args = parser.parse_args(argv)
+    spark = SparkSession.builder.getOrCreate()
+    rows = inventory(*installed(spark)).orderBy(F.lower("name"), "version").collect()  # a row per installed package
+    listed = [{k: v for k, v in r.asDict().items() if v is not None} for r in rows]
+    args.output.write_text(json.dumps(listed, ensure_ascii=False, indent=2) + "\n", encoding="utf-8")
+    bad = [f"{r['name']}=={r['version']}: {r['license']}" for r in rows if not r["permitted"]]
+    for line in bad:
+        print(line, file=sys.stderr)
+    print(f"{len(rows)} packages, {len(bad)} rejected, {sum(r['policy_exception'] is not None for r in rows)} by exception")
+    return int(bool(bad))
+
+
+if __name__ == "__main__":
+    raise SystemExit(main())

@@ -18,12 +18,6 @@ def accepted(findings: Column, ids: Column) -> Column:
     return F.filter(findings, lambda f: F.array_contains(ids, f["id"]))
 
 
-def overlapping(findings: Column) -> Column:
-    """Whether two findings overlap; such input is not what detection gives, and is not masked."""
-    ordered = F.array_sort(F.transform(findings, lambda f: F.struct(f["start"].alias("a"), f["end"].alias("b"))))
-    return F.coalesce(F.exists(F.transform(ordered, lambda f, i: (i > 0) & (f["a"] < F.get(ordered, i - 1)["b"])), lambda x: x), F.lit(False))
-
-
 def replaced(text: Column, findings: Column, by: Callable[[Column], Column]) -> Column:
     """Replace spans from the last to the first; spans outside the text, or empty, stay."""
     usable = F.filter(findings, lambda f: (f["start"] >= 0) & (f["end"] <= F.length(text)) & (f["end"] > f["start"]))

@@ -1,16 +1,19 @@
 """Named-entity recognition as a plug-in.
 
 A plug-in is a function without arguments that loads a model, and returns a function from a text to
-(label, start, end) spans in code points.  It is called once per Python worker.  What
+(label, start, end) spans in code points.  It is called once per Python worker, whatever the number of
+tasks and queries that the worker serves.  What
 follows inference, the map of labels and the suppression inside mail addresses, is
 expressions.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable, Iterator
 
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -29,7 +32,18 @@ LABELS = {
 Tagger = Callable[[str], list[tuple[str, int, int]]]
 Loader = Callable[[], Tagger | None]
 
-_loaded: dict[int, Tagger | None] = {}
+#: The worker's models, by a hash of their loaders.
+_loaded: dict[str, Tagger | None] = {}
+
+
+def loaded(key: str, loader: Loader) -> Tagger | None:
+    """The worker's model of this key; a model that does not load is not tried again."""
+    if key not in _loaded:
+        try:
+            _loaded[key] = loader()
+        except (ImportError, OSError, ValueError):
+            _loaded[key] = None
+    return _loaded[key]
 
 
 def available(loader: Loader | None) -> bool:
@@ -50,13 +64,11 @@ def entity_type(label: Column) -> Column:
 
 def tag(text: Column, loader: Loader) -> Column:
     """What the model finds: array<struct<label,start,end>>; none for blank texts, or if the model does not load."""
+    key = hashlib.sha256(cloudpickle.dumps(loader)).hexdigest()
 
     @F.pandas_udf("array<struct<label:string,start:int,end:int>>")
     def spans(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        try:
-            tagger = loader()
-        except (ImportError, OSError, ValueError):
-            tagger = None
+        tagger = loaded(key, loader)
         for texts in batches:
             yield pd.Series([[{"label": a, "start": b, "end": c} for a, b, c in tagger(x)] if tagger and x and x.strip() else [] for x in texts])
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -25,29 +26,60 @@ def only(found: Column, entities: list[str]) -> Column:
     return F.filter(found, lambda c: c["entity_type"].isin(entities))
 
 
-def resolve(found: Column) -> Column:
-    """Greedy choice: the candidate of highest priority, score and length, leftmost, then first listed, and all that do not overlap it.
+#: Candidates up to which all are compared with one another; of more, runs that overlap are resolved by themselves.
+FEW = 16
 
-    Empty spans go.  The result is in order of (start, end).
-    """
-    none = F.array().cast(f"array<{CANDIDATE}>")
-    # fields in the order of ranking, so that the array's natural order is the ranking
-    ranked = F.array_sort(
-        F.transform(
-            F.filter(found, lambda c: c["end"] > c["start"]),
-            lambda c, i: F.struct((-priority(c["source"])).alias("p"), (-c["score"]).alias("s"), (c["start"] - c["end"]).alias("l"), c["start"].alias("a"), i.alias("i"), c.alias("c")),
-        )
-    )
+
+def _bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is made once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _greedy(ranked: Column) -> Column:
+    """What is chosen of ranked candidates, in order of (start, end)."""
 
     def accept(chosen: Column, item: Column) -> Column:
         c = item["c"]
         clash = F.exists(chosen, lambda x: (c["start"] < x["end"]) & (c["end"] > x["start"]))
         return F.when(clash, chosen).otherwise(F.concat(chosen, F.array(c)))
 
-    chosen = F.aggregate(ranked, none, accept)
+    chosen = F.aggregate(F.array_sort(ranked), F.array().cast(f"array<{CANDIDATE}>"), accept)
     ordered = F.array_sort(F.transform(chosen, lambda c: F.struct(c["start"].alias("a"), c["end"].alias("b"), c.alias("c"))))
+    return F.transform(ordered, lambda x: x["c"])
+
+
+def _by_runs(ranked: Column) -> Column:
+    """The same by runs of candidates that overlap one another, so the work follows the length of runs and not the square of all."""
+    ordered = F.transform(F.array_sort(F.transform(ranked, lambda x: F.struct(x["a"].alias("a"), x.alias("x")))), lambda y: y["x"])
+
+    def firsts(x: Column, ends: Column) -> Column:
+        """Where runs begin: nothing before ends later."""
+        places = F.transform(x, lambda c, i: F.when((i == 0) | (c["a"] >= F.array_max(F.slice(ends, 1, i))), i))
+        return F.filter(places, lambda i: i.isNotNull())
+
+    def chosen(run: Column) -> Column:
+        return F.when(F.size(run) == 1, F.transform(run, lambda y: y["c"])).otherwise(_greedy(run))
+
+    def runs(x: Column, first: Column) -> Column:
+        cut = F.transform(first, lambda b, j: F.slice(x, b + 1, F.coalesce(F.get(first, j + 1), F.size(x)) - b))
+        return F.flatten(F.transform(cut, chosen))
+
+    # everything that is read more than once is made once
+    return _bound(ordered, lambda x: _bound(F.transform(x, lambda c: c["c"]["end"]), lambda ends: _bound(firsts(x, ends), lambda first: runs(x, first))))
+
+
+def resolve(found: Column) -> Column:
+    """Greedy choice: the candidate of highest priority, score and length, leftmost, then first listed, and all that do not overlap it.
+
+    Empty spans go.  The result is in order of (start, end).
+    """
+    # fields in the order of ranking, so that the array's natural order is the ranking
+    ranked = F.transform(
+        F.filter(found, lambda c: c["end"] > c["start"]),
+        lambda c, i: F.struct((-priority(c["source"])).alias("p"), (-c["score"]).alias("s"), (c["start"] - c["end"]).alias("l"), c["start"].alias("a"), i.alias("i"), c.alias("c")),
+    )
     # one candidate overlaps nothing but itself
-    several = F.transform(ordered, lambda x: x["c"])
+    several = _bound(ranked, lambda r: F.when(F.size(r) <= FEW, _greedy(r)).otherwise(_by_runs(r)))
     return F.when(F.size(found) > 1, several).otherwise(F.filter(found, lambda c: c["end"] > c["start"]))
 
 

@@ -12,7 +12,7 @@ from maskwright.functions import text as t
 from maskwright.operators import detect, dictionary, mask, ner, resolve
 from maskwright.schema import CANDIDATE, FINDING, MAX_TEXT
 
-_OWN = ("__norm", "__tagged", "__pairs", "__found", "__chosen")
+_OWN = ("__norm", "__tagged", "__key", "__pairs", "__found", "__chosen")
 
 
 @dataclass(frozen=True)
@@ -45,11 +45,11 @@ class Engine:
             rows = rows.withColumn("__tagged", ner.tag(F.col(text), self.tagger))
             parts.append(ner.candidates(F.col(text), F.col("__tagged")))
         parts.append(detect.detect(F.col("__norm"), rules, self.profile))
-        rows, matched = self._with_terms(rows, text, block)
+        rows, matched = self._with_terms(rows, text)
         if matched is not None:
             parts.append(matched)
         if terms:
-            own = F.transform(F.coalesce(F.col(terms), F.array()), lambda x, i: F.struct(i.cast("long").alias("seq"), x["term"].alias("term"), x["entity_type"].alias("entity_type")))
+            own = F.transform(F.coalesce(F.col(terms), F.array()), lambda x, i: F.struct(F.lit("").alias("key"), i.cast("long").alias("seq"), x["term"].alias("term"), x["entity_type"].alias("entity_type")))
             parts.append(F.when(F.size(F.coalesce(F.col(terms), F.array())) > 0, dictionary.match_pairs(F.col(text), own)).otherwise(F.array().cast(f"array<{CANDIDATE}>")))
         rows = rows.withColumn("__found", F.coalesce(F.concat(*parts), F.array().cast(f"array<{CANDIDATE}>")))
         if enabled:
@@ -63,15 +63,24 @@ class Engine:
         found = F.when(F.col(text).isNotNull(), resolve.findings(F.col(text), F.col("__chosen"), F.col(block).cast("string")))
         return rows.withColumn(out, F.coalesce(found, F.array().cast(f"array<{FINDING}>"))).drop(*_OWN)
 
-    def _with_terms(self, rows: DataFrame, text: str, block: str):
-        if not isinstance(self.dictionary, DataFrame):
-            return rows, dictionary.match_terms(F.col(text), self.dictionary) if self.dictionary else None
-        known = self.dictionary.select("id", "term", "entity_type").orderBy(t.ascii_key(F.col("term")), "id").limit(dictionary.PLAN_TERMS + 1).collect()
-        if len(known) <= dictionary.PLAN_TERMS:
-            return rows, dictionary.match_terms(F.col(text), [(r["term"], r["entity_type"]) for r in known])
-        pairs = dictionary.join_terms(rows, [block], text, self.dictionary).withColumnRenamed("pairs", "__pairs")
-        none = F.array().cast("array<struct<seq:bigint,term:string,entity_type:string>>")
-        return rows.join(pairs, block, "left"), dictionary.match_pairs(F.col(text), F.coalesce("__pairs", none))
+    def _with_terms(self, rows: DataFrame, text: str):
+        """The dictionary's candidates, in its order whatever its size: a small one is part of the plan, a larger one is joined by texts."""
+        if isinstance(self.dictionary, DataFrame):
+            terms = dictionary.listed(self.dictionary)
+            few = [(r["term"], r["entity_type"]) for r in terms.orderBy("key", "seq").limit(dictionary.PLAN_TERMS + 1).collect()]
+        else:
+            few = [(term, entity) for term, entity in self.dictionary if term]
+            terms = None
+        if not few:
+            return rows, None
+        if len(few) <= dictionary.PLAN_TERMS:
+            return rows, dictionary.match_terms(F.col(text), few)
+        if terms is None:
+            terms = rows.sparkSession.createDataFrame([("", i, *pair) for i, pair in enumerate(few)], dictionary.PAIR[len("struct<") : -1])
+        pairs = dictionary.join_terms(rows, text, terms).withColumnsRenamed({"text_key": "__key", "pairs": "__pairs"})
+        none = F.array().cast(f"array<{dictionary.PAIR}>")
+        keyed = rows.withColumn("__key", dictionary.text_key(F.col(text)))
+        return keyed.join(pairs, "__key", "left"), dictionary.match_pairs(F.col(text), F.coalesce("__pairs", none))
 
     def findings(self, df: DataFrame, text: str = "text", block: str = "block_id", keep: Iterable[str] = ()) -> DataFrame:
         """One row per finding, with the columns ``keep`` of its block."""
@@ -79,14 +88,12 @@ class Engine:
         return t.one_row_each(found, list(keep), F.col("__findings"), "f").select(*keep, "f.*")
 
     def mask(self, df: DataFrame, text: str = "text", findings: str = "findings", accepted: str | None = None, mode: str = "character", character: str = mask.DEFAULT_CHARACTER, out: str = "masked") -> DataFrame:
-        """Add ``out``: the text with accepted findings (a column of ids; none given: all) replaced.
+        """Add ``out``: the text with accepted findings (a column of ids; none given: all) replaced, the last first.
 
-        Findings that overlap have not come from an analysis: such rows raise an error.
+        Findings that overlap have not come from an analysis; they are spliced one after another, by the offsets of the original text.
         """
         chosen = F.col(findings) if accepted is None else mask.accepted(F.col(findings), F.col(accepted))
-        rows = df.withColumn("__chosen", F.coalesce(chosen, F.array().cast(f"array<{FINDING}>")))
-        safe = F.when(mask.overlapping(F.col("__chosen")), F.raise_error(F.lit("findings overlap")).cast("string")).otherwise(mask.masked(F.col(text), F.col("__chosen"), mode, character))
-        return rows.withColumn(out, safe).drop("__chosen")
+        return df.withColumn(out, mask.masked(F.col(text), F.coalesce(chosen, F.array().cast(f"array<{FINDING}>")), mode, character))
 
 
 def checked(df: DataFrame, text: str = "text") -> DataFrame:

@@ -4,6 +4,7 @@ import ipaddress
 import json
 import random
 import re
+from email.message import Message
 
 import pytest
 from pyspark.sql import functions as F
@@ -142,6 +143,8 @@ def test_resolution(spark):
     cases = []
     for i in range(1500):
         cases.append((i, [(rng.choice(ENTITY_TYPES), s := rng.randint(0, 20), s + rng.randint(0, 6), rng.choice([0.5, 0.85, 1.0]), rng.choice([*PRIORITY, "other"])) for _ in range(rng.randint(0, 9))]))
+    for i in range(1500, 1800):  # many: resolved by runs
+        cases.append((i, [(rng.choice(ENTITY_TYPES), s := rng.randint(0, 150), s + rng.randint(0, 6), rng.choice([0.5, 0.85, 1.0]), rng.choice([*PRIORITY, "other"])) for _ in range(rng.randint(15, 60))]))
     df = spark.createDataFrame(cases, f"id int, found array<{CANDIDATE}>")
     for r in df.select("id", resolve.resolve(F.col("found")).alias("x")).collect():
         assert [tuple(c) for c in r["x"]] == resolved_plainly(cases[r["id"]][1])
@@ -159,12 +162,25 @@ def test_masks(spark):
         Engine().mask(rows, mode="other")
 
 
+def masked_plainly(text, spans, by):
+    out = text
+    for kind, start, end in sorted(spans, key=lambda s: s[1], reverse=True):
+        if 0 <= start < end <= len(text):
+            out = out[:start] + by(kind, start, end) + out[end:]
+    return out
+
+
 def test_mask_kernel(spark):
     f = "struct<id:string,entity_type:string,start:int,end:int>"
-    spans = [("1", "X", 1, 2), ("2", "PERSON", 3, 5), ("3", "X", -1, 2), ("4", "X", 4, 99), ("5", "X", 5, 5)]
-    df = spark.createDataFrame([("𠮷abcdef", spans, [("1", "X", 0, 3), ("2", "X", 2, 4)])], f"text string, good array<{f}>, bad array<{f}>")
-    r = df.select(mask.by_character(F.col("text"), F.col("good"), "*").alias("c"), mask.by_label(F.col("text"), F.col("good")).alias("l"), mask.overlapping(F.col("bad")).alias("o")).first()
-    assert tuple(r) == ("𠮷*b**ef", "𠮷[X]b[人名]ef", True)
+    rng = random.Random(12)
+    cases = [("𠮷abcdef", [("X", 1, 2), ("PERSON", 3, 5), ("X", -1, 2), ("X", 4, 99), ("X", 5, 5)]), ("𠮷abcdef", [("X", 0, 3), ("X", 2, 4)])]
+    cases += [("".join(rng.choice("ab𠮷") for _ in range(12)), [(rng.choice(["X", "PERSON"]), s := rng.randint(-1, 11), s + rng.randint(-1, 6)) for _ in range(rng.randint(0, 5))]) for _ in range(400)]
+    rows = [(text, [(str(i), *s) for i, s in enumerate(spans)]) for text, spans in cases]
+    df = spark.createDataFrame(rows, f"text string, spans array<{f}>")
+    label = lambda kind, s, e: "[人名]" if kind == "PERSON" else "[X]"
+    for r, (text, spans) in zip(df.select(mask.by_character(F.col("text"), F.col("spans"), "*").alias("c"), mask.by_label(F.col("text"), F.col("spans")).alias("l")).collect(), cases):
+        assert r["c"] == masked_plainly(text, spans, lambda kind, s, e: "*" * (e - s))
+        assert r["l"] == masked_plainly(text, spans, label)
 
 
 def test_segments_and_runs(spark):
@@ -210,6 +226,49 @@ def test_large_dictionary_joins(spark):
     assert {(r["block_id"], r["text"]) for r in engine.findings(df).collect()} == {("a", "TERM0007"), ("a", "term0299"), ("a", "zz")}
 
 
+def matched_plainly(text, terms):
+    """Findings of dictionary terms, (key, id, term, type) each, in the dictionary's order and then resolved."""
+    found_ = []
+    for _, _, term, kind in sorted(terms, key=lambda x: x[:2]):
+        found_ += [(kind, *m.span(), 1.0, "pii-dictionary") for m in re.finditer(re.escape(term), text, re.I)]
+    return [(c[0], c[1], c[2]) for c in resolved_plainly(found_)]
+
+
+@pytest.mark.parametrize("size", [1, 200, 201, 5000])
+@pytest.mark.parametrize("frame", [False, True])
+def test_one_meaning_at_any_size(spark, size, frame):
+    """The same findings whether the dictionary is part of the plan or joined; ties fall to its order; null and repeated block ids."""
+    rng = random.Random(size)
+    letters = ["é", "É", "a", "b", "Σ", "σ", "ς", "İ", "ı", "i", "ſ", "s", "K", "k", "極", "𠮷", "µ", " "]
+    pool = ["éab", "Éab", "a", "ab", "b é", "σ", "İa", "極𠮷", "k", "ſab"]
+    own = [(1, "éab", "PERSON"), (0, "Éab", "CUSTOM"), *((2 + i, t, rng.choice(["PERSON", "CUSTOM", "LOCATION"])) for i, t in enumerate(pool[2:]))][:size]
+    terms = own + [(100 + i, f"unrelated{i}", "CUSTOM") for i in range(size - len(own))]
+    texts = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(300)] + ["x éab y", None, ""]
+    rows = [(None if i % 9 == 0 else str(i // 2), t) for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, "block_id string, text string").repartition(3)
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    if frame:
+        known = spark.createDataFrame(terms, "id long, term string, entity_type string").repartition(2)
+        ordered = [(t.translate(low), i, t, k) for i, t, k in terms]
+    else:
+        known = tuple((t, k) for _, t, k in terms)
+        ordered = [("", i, t, k) for i, (_, t, k) in enumerate(terms)]
+    got = sorted(((r["block_id"], r["text"], [(f["entity_type"], f["start"], f["end"]) for f in r["findings"]]) for r in Engine(entities=("PERSON", "CUSTOM", "LOCATION"), dictionary=known).analyze(df).collect() if r["text"]), key=repr)
+    expected = sorted(((b, t, matched_plainly(t, ordered)) for b, t in rows if t), key=repr)
+    assert [(b, t, [x for x in f if x]) for b, t, f in got] == expected
+
+
+def test_join_of_terms_without_broadcast(spark):
+    """Texts that share a frequent run are dealt to parts; equal texts are filed once."""
+    texts = ["the common run " + str(i % 50) for i in range(400)]
+    df = spark.createDataFrame([(t,) for t in texts], "text string")
+    terms = dictionary.listed(spark.createDataFrame([(i, w, "CUSTOM") for i, w in enumerate(["common", "the", "run 7", "no"])], "id long, term string, entity_type string"))
+    for limit in (0, 1000):
+        rows = dictionary.join_terms(df, "text", terms, limit).collect()
+        assert len(rows) == 50
+        assert {p["term"] for r in rows for p in r["pairs"]} >= {"common", "the", "run 7"}
+
+
 @pytest.mark.parametrize("stored", [False, True])
 def test_dictionary_store(spark, tmp_path, stored):
     path = str(tmp_path / "terms") if stored else None
@@ -357,6 +416,75 @@ def test_gold_set(spark):
 # the rest
 
 
+def test_licence_command(spark, tmp_path, monkeypatch, capsys):
+    """An inventory file, the rejected packages on the error output, and a status of 1 if there are any."""
+    class Package:
+        def __init__(self, name, classifiers=(), **fields):
+            self.version, self.metadata = "1.0", Message()
+            self.metadata["Name"] = name
+            for c in classifiers:
+                self.metadata["Classifier"] = c
+            for k, v in fields.items():
+                self.metadata[k.replace("_", "-")] = v
+
+    good = [Package("one", ["License :: OSI Approved :: MIT License"]), Package("two", License_Expression="Apache-2.0"), Package("certifi", ["License :: OSI Approved :: Mozilla Public License 2.0 (MPL 2.0)"])]
+    for packages, status in ((good, 0), (good + [Package("three", License="GPL-3.0"), Package("four")], 1)):
+        monkeypatch.setattr(licences, "distributions", lambda p=packages: p)
+        assert licences.main(["--output", str(tmp_path / "x.json")]) == status
+        listed = json.loads((tmp_path / "x.json").read_text())
+        assert [x["name"] for x in listed] == sorted(p.metadata["Name"] for p in packages)
+        assert [x["name"] for x in listed if "policy_exception" in x] == ["certifi"]
+        assert capsys.readouterr().err.splitlines() == (["four==1.0: UNKNOWN", "three==1.0: GPL-3.0"] if status else [])
+
+
+# The smoke gold set's texts, entities in order, and dictionary terms.
+SMOKE = [
+    ("連絡先は090-1234-5678、メールはtaro@example.jpです。", [("PHONE_NUMBER", "090-1234-5678"), ("EMAIL_ADDRESS", "taro@example.jp")], []),
+    ("〒100-0001 東京都千代田区千代田1番1号に送付してください。", [("POSTAL_CODE", "〒100-0001"), ("ADDRESS", "東京都千代田区千代田1番1号")], []),
+    ("個人番号は123456789012、普通口座は1234567です。", [("PERSONAL_ID", "123456789012"), ("BANK_ACCOUNT", "1234567")], []),
+    ("カード番号は4111 1111 1111 1111、接続元は192.168.1.20です。", [("CREDIT_CARD", "4111 1111 1111 1111"), ("IP_ADDRESS", "192.168.1.20")], []),
+    ("会議は2026年8月1日、詳細はhttps://example.jp/aです。", [("DATE_TIME", "2026年8月1日"), ("URL", "https://example.jp/a")], []),
+    ("山田太郎は株式会社青空の東京支店に勤務しています。", [("PERSON", "山田太郎"), ("ORGANIZATION", "株式会社青空"), ("LOCATION", "東京")], []),
+    ("注文番号123456789012と商品コード9876543を照合しました。", [], []),
+    ("電話番号は０９０－１２３４－５６７８です。", [("PHONE_NUMBER", "０９０－１２３４－５６７８")], []),
+    ("社内コードネームは月影プロジェクトです。", [("CUSTOM", "月影プロジェクト")], [("月影プロジェクト", "CUSTOM")]),
+    ("送信先はa@example.jp、控えはb@example.jpです。", [("EMAIL_ADDRESS", "a@example.jp"), ("EMAIL_ADDRESS", "b@example.jp")], []),
+]
+
+
+@pytest.mark.parametrize("model", [False, True])
+def test_smoke_set(spark, model):
+    """All but the one sentence that needs a model; with a stand-in for one, all."""
+    tagger = ner.gazetteer({"山田太郎": "Person", "株式会社青空": "Company", "東京支店": "x", "東京": "City"}) if model else None
+    df = spark.createDataFrame([(i, text, terms) for i, (text, _, terms) in enumerate(SMOKE)], "id int, text string, terms array<struct<term:string,entity_type:string>>")
+    got = {r["id"]: [(f["entity_type"], f["text"]) for f in r["findings"]] for r in Engine(tagger=tagger).analyze(df, block="id", terms="terms").collect()}
+    for i, (text, expected, _) in enumerate(SMOKE):
+        if i == 5 and not model:
+            assert set(got[i]) < set(expected)
+        elif i == 1:
+            assert [x for x in got[i] if x[0] != "LOCATION"] == expected
+        else:
+            assert got[i] == expected, text
+
+
+def test_model_loads_once(spark, tmp_path):
+    """However many tasks a worker serves, it loads a model once."""
+    mark = str(tmp_path / "loads")
+
+    def load():
+        import os
+
+        with open(mark, "a") as f:
+            f.write(f"{os.getpid()}\n")
+        return lambda text: [("PER", 0, 2)] if text.startswith("山田") else []
+
+    df = spark.createDataFrame([(str(i), "山田です") for i in range(64)], "block_id string, text string").repartition(16)
+    for _ in range(3):
+        assert Engine(tagger=load).findings(df).count() == 64
+    pids = open(mark).read().split()
+    assert len(pids) == len(set(pids))
+
+
 def test_licences(spark):
     rows = [("MIT", True), ("MIT License", True), ("Apache Software License", True), ("GPL-3.0", False), ("LGPL", False), ("BSD-3-Clause AND MIT-0", True), ("UNKNOWN", False), ("Custom-1.0", False), ("", False)]
     got = spark.createDataFrame(rows, "l string, ok boolean").select("l", "ok", licences.approved(F.col("l")).alias("x")).collect()
