@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 
 from maskwright.functions import text as t
 from maskwright.operators import detect, dictionary, evaluate, licences, manual, mask, resolve
+from maskwright.operators.order import numbered
 from maskwright.plans.engine import Engine, merged, semi_accepted
+from maskwright.schema import CANDIDATE
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -297,7 +299,7 @@ def detect_location_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # dictionary
 
-TERMS = (("password", "CUSTOM"), ("clown", "PERSON"), ("Heit", "CUSTOM"))
+TERMS = (("heit", "CUSTOM"), ("clown", "PERSON"), ("Heit", "CUSTOM"), ("ö", "LOCATION"))
 
 
 @query(" union all ".join(flat_sql(spans_sql(DOCUMENTS, f"(?i:{term})"), entity, 1.0, "pii-dictionary") for term, entity in TERMS))
@@ -305,18 +307,22 @@ def dictionary_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat(documents(spark, sf_dir), dictionary.match_terms(F.col("text"), TERMS))
 
 
+#: More terms than a plan holds: pieces of two to six letters of the words of the driver's names and of the documents' endings.
+MANY_TERMS_SQL = """select row_number() over (order by term) as id, term, case when length(term) % 2 = 0 then 'PERSON' else 'CUSTOM' end as entity_type from (
+  select distinct substr(w, cast(i as int), cast(n as int)) as term from (select lower(p_name) || ' heit tion ement dad password stupid' as w from part) w, (select 1 + 2 * p_partkey as i from part where p_partkey <= 40) a, (select 1 + p_partkey as n from part where p_partkey <= 5) b
+) where length(term) >= 2 and not contains(term, ' ')"""
+
+
 @query(
-    "with terms as (select p_partkey as id, split_part(p_name, ' ', 1) as term from part where p_partkey % 10 = 0), "
-    "firsts as (select min(id) as id, lower(term) as term from terms where length(term) >= 3 group by 2) "
-    "select d.doc_id as id, t.term, len(regexp_extract_all(lower(d.text), t.term)) as hits from documents d join firsts t on contains(lower(d.text), t.term)"
+    f"with terms as ({MANY_TERMS_SQL}) "
+    "select d.doc_id as id, t.term, len(regexp_extract_all(lower(d.text), t.term)) as hits from documents d join terms t on contains(lower(d.text), t.term)"
 )
 def dictionary_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The path of dictionaries that are too large for a plan."""
-    terms = table(spark, sf_dir, "part").where("p_partkey % 10 = 0").select(F.col("p_partkey").alias("id"), F.split("p_name", " ")[0].alias("term"))
-    terms = terms.where(F.length("term") >= 3).groupBy(F.lower("term").alias("term")).agg(F.min("id").alias("id")).select("id", "term", F.lit("CUSTOM").alias("entity_type"))
-    docs = documents(spark, sf_dir)
-    pairs = dictionary.join_terms(docs, ["id"], "text", terms)
-    found = t.one_row_each(docs.join(pairs, "id"), ["id", "text"], dictionary.match_pairs(F.col("text"), F.col("pairs")), "c")
+    terms = built(spark, sf_dir, "part", MANY_TERMS_SQL)
+    docs = documents(spark, sf_dir).withColumn("text_key", dictionary.text_key(F.col("text")))
+    pairs = dictionary.join_terms(docs, "text", dictionary.listed(terms))
+    found = t.one_row_each(docs.join(pairs, "text_key"), ["id", "text"], dictionary.match_pairs(F.col("text"), F.col("pairs")), "c")
     return found.select("id", F.lower(t.piece(F.col("text"), F.col("c.start"), F.col("c.end"))).alias("term")).groupBy("id", "term").agg(F.count("*").alias("hits"))
 
 
@@ -332,23 +338,71 @@ def dictionary_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # resolution, masking, review
 
-RANK_SQL = "case source when 'pii-dictionary' then 5 when 'luhn-rule' then 4 when 'jp-context-rule' then 4 when 'ip-validator' then 4 else 3 end"
+#: Fixed by the rules: who wins where spans overlap.
+RANK_SQL = "case source when 'pii-dictionary' then 5 when 'luhn-rule' then 4 when 'jp-context-rule' then 4 when 'ip-validator' then 4 when 'ginza' then 2 when 'unknown-model' then 1 else 3 end"
+_SPAN_SQL = "struct(entity_type varchar, start_at int, end_at int, score double, source varchar)"
+
+
+def resolved_sql(candidates: str) -> str:
+    """Candidates (id, entity_type, start_at, end_at, score, source, seq) ranked, then taken greedily: (id, entity_type, start_at, end_at, score, source)."""
+    return f"""select id, unnest(chosen, recursive := true) from (
+  select id, list_reduce(ranked, lambda acc, x: case when len(list_filter(acc, lambda a: x[1].start_at < a.end_at and x[1].end_at > a.start_at)) > 0 then acc else list_concat(acc, x) end, cast([] as {_SPAN_SQL}[])) as chosen from (
+    select id, list([struct_pack(entity_type := entity_type, start_at := start_at, end_at := end_at, score := score, source := source)] order by -{RANK_SQL}, -score, start_at - end_at, start_at, seq) as ranked from ({candidates}) where end_at > start_at group by id))"""
+
+
+#: Candidates by keys: all types, sources of every priority and one unknown, equal scores, spans that overlap, touch and are empty.
+CANDIDATE_TYPES = ("PERSON", "ORGANIZATION", "LOCATION", "ADDRESS", "PHONE_NUMBER", "POSTAL_CODE", "EMAIL_ADDRESS", "PERSONAL_ID", "DRIVER_LICENSE", "BANK_ACCOUNT", "CREDIT_CARD", "DATE_TIME", "URL", "IP_ADDRESS", "CUSTOM")
+CANDIDATE_SOURCES = ("pii-dictionary", "luhn-rule", "jp-context-rule", "ip-validator", "local-pattern", "jp-address-rule", "date-rule", "jp-person-context-rule", "ginza", "unknown-model")
+
+
+def _turn(values: tuple, number: str) -> str:
+    return f"case ({number}) % {len(values)} " + " ".join(f"when {i} then {v!r}" for i, v in enumerate(values)) + " end"
+
+
+CANDIDATE_SQL = f"""select l_orderkey as id, l_linenumber as seq, {_turn(CANDIDATE_TYPES, "l_orderkey * 7 + l_linenumber * 4")} as entity_type, cast(p % 26 as int) as start_at, cast(p % 26 + k % 9 as int) as end_at,
+  cast({_turn((0.85, 0.5, 0.85, 1.0), "l_orderkey + k")} as double) as score, {_turn(CANDIDATE_SOURCES, "l_orderkey * 3 + p + l_linenumber * 7")} as source
+  from (select l_orderkey, l_linenumber, min(l_partkey) as p, min(l_suppkey) as k from lineitem group by l_orderkey, l_linenumber)"""
+
+
+def candidate_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, found): the candidates of each order, in order."""
+    rows = built(spark, sf_dir, "lineitem", CANDIDATE_SQL)
+    listed = F.array_sort(F.collect_list(F.struct("seq", "entity_type", "start_at", "end_at", "score", "source")))
+    found = F.transform("found", lambda c: F.struct(c["entity_type"].alias("entity_type"), c["start_at"].alias("start"), c["end_at"].alias("end"), c["score"].alias("score"), c["source"].alias("source"))).cast(f"array<{CANDIDATE}>")
+    return rows.groupBy("id").agg(listed.alias("found")).select("id", found.alias("found"))
+
+
+@query(resolved_sql(CANDIDATE_SQL))
+def resolve_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Overlaps of every priority, ties of score and length, spans that touch or are empty."""
+    rows = t.one_row_each(candidate_rows(spark, sf_dir), ["id"], resolve.resolve(F.col("found")), "c")
+    return rows.select("id", "c.entity_type", F.col("c.start").alias("start_at"), F.col("c.end").alias("end_at"), "c.score", "c.source")
+
+
+@query(
+    f"""select id, list_reduce(list_concat([struct_pack(s := 0, e := 0, r := repeat('abcdefgh', 5))], list(struct_pack(s := start_at, e := end_at, r := repeat('*', end_at - start_at)) order by start_at desc, seq)),
+      lambda a, x: struct_pack(s := 0, e := 0, r := substr(a.r, 1, x.s) || x.r || substr(a.r, x.e + 1))).r as masked
+    from ({CANDIDATE_SQL}) where end_at > start_at group by id"""
+)
+def mask_overlapping(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Spans that overlap are spliced from the last to the first."""
+    rows = candidate_rows(spark, sf_dir).withColumn("text", F.repeat(F.lit("abcdefgh"), F.lit(5)))
+    return rows.where(F.exists("found", lambda c: c["end"] > c["start"])).select("id", mask.by_character(F.col("text"), F.col("found"), "*").alias("masked"))
+
+
+#: Terms that the documents hold: some overlap one another, mail addresses, IP addresses, cards and postal numbers.
+DOCUMENT_TERMS = (("55", "PERSON"), ("mail5", "CUSTOM"), ("heit", "CUSTOM"), ("eit", "ORGANIZATION"))
 ALL_SQL = " union all ".join(
     f"select *, {seq} as seq from ({sql})"
-    for seq, sql in enumerate((email_sql(DOCUMENTS), postal_sql(DOCUMENTS), card_sql(DOCUMENTS), ip_sql(DOCUMENTS), flat_sql(spans_sql(DOCUMENTS, "(?i:password)"), "CUSTOM", 1.0, "pii-dictionary")))
+    for seq, sql in enumerate((email_sql(DOCUMENTS), postal_sql(DOCUMENTS), card_sql(DOCUMENTS), ip_sql(DOCUMENTS), *(flat_sql(spans_sql(DOCUMENTS, f"(?i:{term})"), entity, 1.0, "pii-dictionary") for term, entity in DOCUMENT_TERMS)))
 )
-#: Findings of the documents: candidates ranked, then taken greedily.
-RESOLVED_SQL = f"""select id, unnest(chosen, recursive := true) from (
-  select id, list_reduce(ranked, lambda acc, x: case when len(list_filter(acc, lambda a: x[1].start_at < a.end_at and x[1].end_at > a.start_at)) > 0 then acc else list_concat(acc, x) end, cast([] as struct(entity_type varchar, start_at int, end_at int, span_text varchar, score double, source varchar)[])) as chosen from (
-    select id, list([struct_pack(entity_type := entity_type, start_at := start_at, end_at := end_at, span_text := span_text, score := score, source := source)] order by -{RANK_SQL}, -score, start_at - end_at, start_at, seq) as ranked from ({ALL_SQL}) group by id))"""
-DOCUMENT_TERMS = (("password", "CUSTOM"),)
-#: The types that the documents' SQL twin finds.
-DOCUMENT_TYPES = ("EMAIL_ADDRESS", "POSTAL_CODE", "CREDIT_CARD", "IP_ADDRESS", "CUSTOM")
+#: Findings of the documents.  Rules that find nothing in these tables have no twin: their own queries hold them to sentences they match.
+RESOLVED_SQL = f"select f.*, substr(d.text, f.start_at + 1, f.end_at - f.start_at) as span_text from ({resolved_sql(ALL_SQL)}) f join documents d on d.doc_id = f.id"
 
 
 def analyzed(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(id, text, findings) of the documents; block ids are the documents' ids."""
-    return Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(documents(spark, sf_dir), block="id")
+    return Engine(dictionary=DOCUMENT_TERMS).analyze(documents(spark, sf_dir), block="id")
 
 
 def findings(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -387,10 +441,8 @@ def accepted_semi_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"select row_number() over (order by cast(id as string), start_at, end_at) as place, id, start_at, end_at from ({RESOLVED_SQL})")
 def merge_sort_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = findings(spark, sf_dir).select(F.col("id").alias("doc"), F.col("id").cast("string").alias("block_id"), F.col("start_at").alias("start"), F.col("end_at").alias("end"))
-    ordered = merged(found.where("doc % 2 = 0"), found.where("doc % 2 = 1"))
-    # an order over all findings is the feature; numbering it makes the order part of the result
-    numbered = ordered.selectExpr("cast(row_number() over (order by block_id, start, end) as long) as place", "doc as id", "start as start_at", "end as end_at")
-    return numbered
+    keys = documents(spark, sf_dir).select(F.col("id").cast("string").alias("block_id"))
+    return numbered(merged(found.where("doc % 2 = 0"), found.where("doc % 2 = 1")), keys=keys).selectExpr("place", "doc as id", "start as start_at", "end as end_at")
 
 
 def masked_sql(by: str) -> str:
@@ -405,7 +457,7 @@ def mask_character(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine().mask(analyzed(spark, sf_dir)).select("id", "masked")
 
 
-LABEL_SQL = "'[' || case entity_type when 'EMAIL_ADDRESS' then 'メールアドレス' when 'POSTAL_CODE' then '郵便番号' when 'CREDIT_CARD' then 'クレジットカード' when 'IP_ADDRESS' then 'IPアドレス' else 'ユーザー定義' end || ']'"
+LABEL_SQL = "'[' || case entity_type when 'EMAIL_ADDRESS' then 'メールアドレス' when 'POSTAL_CODE' then '郵便番号' when 'CREDIT_CARD' then 'クレジットカード' when 'IP_ADDRESS' then 'IPアドレス' when 'PERSON' then '人名' when 'ORGANIZATION' then '組織名' else 'ユーザー定義' end || ']'"
 
 
 @query(masked_sql(LABEL_SQL))
@@ -413,10 +465,13 @@ def mask_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     return Engine().mask(analyzed(spark, sf_dir), mode="entity_label").select("id", "masked")
 
 
-@query(f"select f.id, count(*) as marked, count(*) + 1 - count(*) filter (where start_at = 0) - count(*) filter (where end_at = length(text)) as plain, sum(end_at - start_at) as marked_length from ({RESOLVED_SQL}) f join documents d on d.doc_id = f.id where f.id % 5 <> 0 group by f.id")
+@query(
+    f"""select f.id, count(*) as marked, count(*) + 1 - count(*) filter (where start_at = 0) - count(*) filter (where end_at = length(text)) - count(*) filter (where start_at = last_end) as plain, sum(end_at - start_at) as marked_length
+    from (select *, lag(end_at) over (partition by id order by start_at) as last_end from ({RESOLVED_SQL})) f join documents d on d.doc_id = f.id group by f.id"""
+)
 def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = analyzed(spark, sf_dir).where("id % 5 <> 0")
-    # neighbours that touch have no plain segment between them; none do in these documents
+    """Neighbours that touch have no plain segment between them."""
+    rows = analyzed(spark, sf_dir)
     rows = rows.withColumn("segments", mask.segments(F.col("text"), F.col("findings"), F.transform("findings", lambda f: f["id"])))
     counts = F.struct(
         F.expr("cast(size(filter(segments, s -> s.accepted)) as long)").alias("marked"),
@@ -427,19 +482,43 @@ def highlight_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t.one_row_each(rows, ["id"], F.filter(F.array(counts), lambda c: c["marked"] > 0), "c").select("id", "c.*")
 
 
-MANUAL_TERM = "password"
-MANUAL_SQL = f"""select cast(id as string) as block_id, cast(s as int) as start_at, cast(e as int) as end_at, v as span_text from ({spans_sql(DOCUMENTS, MANUAL_TERM)}) o
-  where not exists (select 1 from ({ip_sql(DOCUMENTS)} union all {email_sql(DOCUMENTS)}) x where x.id = o.id and o.s < x.end_at and o.e > x.start_at)"""
+#: A term that the documents hold within findings and outside of them.
+MANUAL_TERM = "23"
+MANUAL_EXISTING_SQL = f"{ip_sql(DOCUMENTS)} union all {email_sql(DOCUMENTS)}"
+MANUAL_SQL = f"""select cast(id as string) as block_id, cast(s as int) as start_at, cast(e as int) as end_at, v as span_text, exists (select 1 from ({MANUAL_EXISTING_SQL}) x where x.id = o.id and o.s < x.end_at and o.e > x.start_at) as taken
+  from ({spans_sql(DOCUMENTS, MANUAL_TERM)}) o"""
 
 
-@query(MANUAL_SQL)
-def manual_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+def manual_input(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     blocks = documents(spark, sf_dir).select(F.col("id").cast("string").alias("block_id"), "text")
-    existing = Engine(entities=("IP_ADDRESS", "EMAIL_ADDRESS")).findings(blocks).select("block_id", "start", "end")
+    return blocks, Engine(entities=("IP_ADDRESS", "EMAIL_ADDRESS")).findings(blocks).select("block_id", "start", "end")
+
+
+@query(f"select block_id, start_at, end_at, span_text from ({MANUAL_SQL}) where not taken")
+def manual_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks, existing = manual_input(spark, sf_dir)
     free = manual.without_overlap(manual.occurrences(blocks, MANUAL_TERM), existing)
     return manual.manual_findings(free, "CUSTOM").select("block_id", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("span_text"))
 
 
+@query(f"select '{MANUAL_TERM}' as term, count(*) filter (where not taken) as added, count(*) filter (where taken) as skipped from ({MANUAL_SQL})")
+def manual_skips(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Selecting one free occurrence with scope ``all``: how many are added and how many overlap findings."""
+    blocks, existing = manual_input(spark, sf_dir)
+    place = manual.without_overlap(manual.occurrences(blocks, MANUAL_TERM), existing).orderBy("block_id", "start").first()
+    added = manual.add(blocks, existing, manual.Selection(place["block_id"], place["start"], place["end"], "CUSTOM", "all"))
+    return added.findings.agg(F.first("text").alias("term"), F.count("*").alias("added")).withColumn("skipped", F.lit(added.skipped).cast("long"))
+
+
+REMOVE_SQL = f"select cast(id as string) || ':' || cast(start_at as string) as id, entity_type, {_turn(('manual-selection', 'local-pattern'), 'start_at')} as source from ({CANDIDATE_SQL})"
+
+
+@query(f"select id, entity_type, source from ({REMOVE_SQL}) where id <> (select min(id) from ({REMOVE_SQL}) where source = 'manual-selection')")
+def manual_remove(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = built(spark, sf_dir, "lineitem", REMOVE_SQL)
+    return manual.remove(found, found.where("source = 'manual-selection'").agg(F.min("id")).first()[0])
+
+
 @query("select 'CUSTOM' as entity_type, 1 as start_at, 1 + length(trim(substr(text, 1, 9))) as end_at, trim(substr(text, 1, 9)) as span_text from (select ' ' || text as text from documents order by doc_id limit 1)")
 def manual_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     (first,) = documents(spark, sf_dir).orderBy("id").limit(1).collect()
@@ -449,10 +528,61 @@ def manual_single(spark: SparkSession, sf_dir: str) -> DataFrame:
     return added.findings.select("entity_type", F.col("start").alias("start_at"), F.col("end").alias("end_at"), F.col("text").alias("span_text"))
 
 
+_BY_ROW = f"""select * from ({ALL_SQL}) where (id % 3 = 0 and entity_type = 'EMAIL_ADDRESS') or (id % 3 = 1 and entity_type in ('IP_ADDRESS', 'CREDIT_CARD')) or (id % 3 = 2 and entity_type = 'PERSON')"""
+
+
+@query(f"select id, entity_type, start_at, end_at from ({resolved_sql(_BY_ROW)})")
+def enabled_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own types; a document without any has the engine's."""
+    docs = documents(spark, sf_dir).withColumn("on", F.when(F.col("id") % 3 == 0, F.array(F.lit("EMAIL_ADDRESS"))).when(F.col("id") % 3 == 1, F.array(F.lit("IP_ADDRESS"), F.lit("CREDIT_CARD"))))
+    rows = Engine(entities=("PERSON",), dictionary=DOCUMENT_TERMS).analyze(docs, block="id", enabled="on")
+    found = t.one_row_each(rows, ["id"], F.col("findings"), "f")
+    return found.select("id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+
+
+_OWN_TERMS = " union all ".join(f"select *, {i} as seq from ({flat_sql(spans_sql(DOCUMENTS, f'(?i:{term})'), entity, 1.0, 'pii-dictionary')}) where id % 2 = {odd}" for i, (odd, term, entity) in enumerate(((0, "heit", "CUSTOM"), (0, "he", "PERSON"), (1, "mail", "PERSON"))))
+
+
+@query(f"select id, entity_type, start_at, end_at from ({resolved_sql(_OWN_TERMS)})")
+def terms_by_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's own dictionary."""
+    pair = "array<struct<term:string,entity_type:string>>"
+    even = F.array(F.struct(F.lit("heit"), F.lit("CUSTOM")), F.struct(F.lit("he"), F.lit("PERSON"))).cast(pair)
+    odd = F.array(F.struct(F.lit("mail"), F.lit("PERSON"))).cast(pair)
+    docs = documents(spark, sf_dir).withColumn("own", F.when(F.col("id") % 2 == 0, even).otherwise(odd))
+    rows = Engine(entities=("PERSON", "CUSTOM")).analyze(docs, block="id", terms="own")
+    # persons by context need Japanese text, of which there is none
+    found = t.one_row_each(rows, ["id"], F.col("findings"), "f")
+    return found.select("id", "f.entity_type", F.col("f.start").alias("start_at"), F.col("f.end").alias("end_at"))
+
+
+@query("select row_number() over (order by lower(term)) as place, term, note from (select c_mktsegment as term, 'n' || cast(min(c_custkey) as string) as note from customer where c_mktsegment <> 'BUILDING' group by 1 union all select 'another', '')")
+def dictionary_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Create, find again, delete and list in order."""
+    store = dictionary.Dictionary(spark)
+    store.upsert(built(spark, sf_dir, "customer", NEW_TERMS_SQL))
+    store.create(" another ", "CUSTOM")
+    (gone,) = store.list().where("term = 'BUILDING'").collect()
+    store.delete(gone["id"])
+    entry, created = store.get_or_create("ANOTHER")
+    if created or entry["term"] != "another":
+        raise AssertionError("a term is known whatever the case of A-Z")
+    return store.list().selectExpr("cast(row_number() over (order by lower(term)) as long) as place", "term", "note")
+
+
+MAIL_TOKEN_SQL = "select c_custkey as id, case c_custkey % 4 when 0 then 'to: ' when 1 then 'a@' when 2 then 'x.y+' else '(' end as before, cast(1000000 + c_custkey as string) as v, case c_custkey % 3 when 0 then '@localhost' when 1 then '、user@b' else '' end as after from customer"
+
+
+@query(f"select id, after = '@localhost' or before = 'a@' as inside, translate(v || '-0', '0123456789-', '０１２３４５６７８９－') as wide from ({MAIL_TOKEN_SQL})")
+def mail_token(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = built(spark, sf_dir, "customer", f"select id, v, before || v || after as text, length(before) as s from ({MAIL_TOKEN_SQL})")
+    return df.select("id", t.in_mail_token(F.col("text"), F.col("s"), F.col("s") + F.length("v")).alias("inside"), t.full_width(F.concat("v", F.lit("-0"))).alias("wide"))
+
+
 @query(f"select source as found_by, entity_type, s.src, s.lang, count(*) as n from ({RESOLVED_SQL}) f join (select doc_id, source as src, lang from documents) s on s.doc_id = f.id group by all")
 def findings_by_type_source(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text", F.col("source").alias("src"), "lang")
-    rows = Engine(entities=DOCUMENT_TYPES, dictionary=DOCUMENT_TERMS).analyze(docs, block="id")
+    rows = Engine(dictionary=DOCUMENT_TERMS).analyze(docs, block="id")
     rows = t.one_row_each(rows, ["src", "lang"], F.col("findings"), "f")
     return rows.groupBy(F.col("f.source").alias("found_by"), "f.entity_type", "src", "lang").agg(F.count("*").alias("n"))
 
