@@ -13,8 +13,15 @@ from pyspark.sql import SparkSession
 _shipped: set[str] = set()
 
 
+#: Rows of a batch for Python; they are texts, so a batch of Spark's 10,000 would be tens of megabytes, several times over.
+BATCH_ROWS = 2_048
+
+
 def ship(spark: SparkSession) -> SparkSession:
-    """Send the package to the executors, once per application; Spark serves the archive from the driver."""
+    """Send the package to the executors, once per application; Spark serves the archive from the driver.  Larger batches for Python become ``BATCH_ROWS``."""
+    batch = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if not 0 < int(spark.conf.get(batch)) <= BATCH_ROWS:
+        spark.conf.set(batch, str(BATCH_ROWS))
     sc = spark.sparkContext
     if sc.applicationId not in _shipped:
         root = Path(__file__).resolve().parent
