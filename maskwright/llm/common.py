@@ -3,10 +3,13 @@
 from __future__ import annotations
 
 import atexit
+import ctypes
+import json
 import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 import pyarrow.compute  # noqa: F401  makes pa.compute known
@@ -15,14 +18,14 @@ from pyspark.sql import functions as F
 
 #: ASCII white space, as the word pattern ``[^\x20\x09-\x0D]+`` has it.
 BLANKS = " \t\n\x0b\x0c\r"
-#: Where the session names no shared folder: the one made for this process.
+#: Where a session names no shared folder: the one made for it, by application.
 _own: dict[str, str] = {}
 #: Paths that this process has written and not removed.
 _made: list[str] = []
 #: Rows that one task numbers, about.
 ROWS_PER_SALT = 200_000
 #: Rows are handed to Python in slices of about this many bytes of text.
-SLICE_BYTES = 16 << 20
+SLICE_BYTES = 8 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,7 +38,8 @@ def shared_dir(spark: SparkSession) -> str:
     An own folder is machine-local and therefore only right for a local master;
     on any other master the warehouse is used.
     """
-    path = spark.conf.get("spark.checkpoint.dir", None) or _own.get("dir")
+    application = spark.sparkContext.applicationId
+    path = spark.conf.get("spark.checkpoint.dir", None) or _own.get(application)
     if path:
         return path.rstrip("/")
     if spark.sparkContext.master.startswith("local[") or spark.sparkContext.master == "local":
@@ -43,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
         atexit.register(shutil.rmtree, path, True)
     else:
         path = spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_work"
-    _own["dir"] = path
+    _own[application] = path
     return path
 
 
@@ -91,6 +95,33 @@ def forget(df: DataFrame) -> None:
         _made.remove(path)
 
 
+def column(name: str) -> Column:
+    """The column of exactly this name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
+def free_names(df: DataFrame, *stems: str) -> list[str]:
+    """A name for each stem that no column of ``df`` has, in any case."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        taken.add(stem.lower())
+        out.append(stem)
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[list[DataFrame]]:
+    """What is stored within this goes at its end, but for the frames that are put into the list: a result may read them."""
+    before, kept = set(_made), []
+    yield kept
+    for path in [p for p in _made if p not in before and p not in {getattr(df, "stored_path", None) for df in kept}]:
+        _remove(spark, path)
+        _made.remove(path)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
@@ -109,11 +140,70 @@ def slices(batch: pa.RecordBatch, column: str, limit: int = SLICE_BYTES) -> Iter
         yield batch.slice(start)
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
+    """Within this, what is run hands Python at most so many rows at once: for rows that are whole texts or sets of hashes."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(min(rows, int(before)) if int(before) > 0 else rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
+def release() -> None:
+    """A worker lives on for other tasks and queries: memory that this task has freed goes back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
+
+
 def words_of(text: str | None) -> list[bytes]:
     """UTF-8 words between ASCII white space (``bytes.split`` knows exactly those six characters)."""
     return text.encode("utf-8", "surrogatepass").split() if text else []
 
 
+def small_table(spark: SparkSession, values: list[dict], schema: str) -> DataFrame:
+    """A table of a few rows made in the JVM, marked for broadcasting."""
+    one = spark.range(1).select(F.explode(F.from_json(F.lit(json.dumps(values)), f"array<struct<{schema}>>")).alias("t"))
+    return F.broadcast(one.select("t.*"))
+
+
+#: The key of a null id: before all others.
+FIRST_KEY = -(2**63)
+
+
+def key_cuts(keys: DataFrame, count: int) -> list[int]:
+    """At most ``count`` - 1 values that cut the longs of the one column into ranges of nearly as many rows; a frequent value is there more than once."""
+    wanted = [i / count for i in range(1, count)]
+    (cuts,) = keys.agg(F.percentile_approx(keys.columns[0], wanted, max(10_000, 20 * count))).first()
+    return cuts or []
+
+
+def range_of(cuts: list[int], key: str, hash_: str) -> Column:
+    """The row's range, by binary search for its key among the cuts; rows of a key that several cuts have are dealt by their hash.
+
+    Ranges follow the order of (key, hash), so a key that many rows have is as many ranges as its share asks for.
+    """
+    if not cuts:
+        return F.lit(0)
+    array = "array(" + ", ".join(f"{c}L" if c > FIRST_KEY else f"cast('{c}' as long)" for c in cuts) + ")"
+
+    def search(test: str) -> str:
+        step = (
+            f"if(a.low < a.high, if(cuts[(a.low + a.high) div 2] {test} `{key}`, named_struct('low', cast((a.low + a.high) div 2 as int) + 1, 'high', a.high), "
+            "named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int))), a)"
+        )
+        return f"aggregate(sequence(1, {len(cuts).bit_length() + 1}), named_struct('low', 0, 'high', {len(cuts)}), (a, s) -> {step}, a -> a.low)"
+
+    both = F.expr(f"transform(array({array}), cuts -> named_struct('a', {search('<')}, 'b', {search('<=')}))[0]")
+    equal = both["b"] - both["a"]
+    part = F.floor((F.col(hash_).cast("double") / F.lit(2.0**64) + 0.5) * (equal + 1)).cast("int")
+    return F.when(equal > 0, both["a"] + F.least(part, equal)).otherwise(both["a"])
+
+
 def spread(*cols: Column, into: int) -> Column:
     """A salt from 0 to ``into`` - 1 that depends on the row's values alone."""
     return F.pmod(F.xxhash64(*cols), F.lit(into)).cast("int")
