@@ -6,14 +6,17 @@ too short are dropped after matching.
 
 The method looks at runs of at least ``LEAST_RUN`` characters of keys (letters, digits and ``+/_=-``).
 Known harmless forms are set aside: digests (hexadecimal runs of the usual digests' lengths), UUIDs,
-dates and numbers.  What is left is tokenised by a tiktoken vocabulary: prose has few tokens, random
-strings many.  Under ``CHARS_PER_TOKEN`` characters a token, the run is a span of kind ``random``, unless a
-base span has it already.  The limit is lower for what may well be made of words: short runs, and identifiers
-(every part between ``_``, ``-``, ``/`` or a change of case is letters, or a short number), of which only the letters
-count if signs separate the parts; it is lowest for single words, which are tested from ``LEAST_WORD`` letters on.
-
-Positions count code points, the end is not included.  Nulls: a null text has no spans.  Repeated
-rows get equal results, other columns pass through, an empty table gives an empty result.
+dates and numbers.  Every other run is tokenised by a tiktoken vocabulary, which knows prose by long tokens and random
+strings by short ones.  A run of fewer characters a token than ``LIMITS`` allows its form and length is a span of kind
+``random``, unless a base span has it already.  Forms differ in how close words come to random strings: mixed runs, identifiers
+(every part between ``_``, ``-``, ``/`` or a change of case is letters, or a short number; if signs separate the parts, only
+their letters count), and single words of one case, which the vocabulary tells apart from random letters from 20 on well and
+below in part.
+
+Positions count code points, the end is not included.  Nulls: a null text has no spans.  Ties: spans of equal start are in
+the order of ``KINDS``.  Texts and runs of any length are scanned whole, in linear time.  Repeated
+rows get equal results, an empty table gives an empty result; other columns pass through, but one that is named like the result
+(``out``) is replaced.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import common
+
 #: Fixed by the rule: kinds in their order and least characters (of the value for assignments).
 KINDS = ("assign", "access", "hex", "random")
 LEAST_VALUE, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
@@ -35,12 +40,13 @@ _assign = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _access = re.compile(r"AKIA[A-Z0-9]{%d,}" % (LEAST_ACCESS - 4)).finditer
 _hex = re.compile(r"[0-9a-f]{%d,}" % LEAST_HEX).finditer
 
-LEAST_RUN = 16
-#: Letters of a single word, and characters of a run that is no short one.
-LEAST_WORD = LONG_RUN = 20
-CHARS_PER_TOKEN = 2.2
-#: Shares of the limit for short runs and identifiers, and for single words.
-SHORT_SHARE, WORD_SHARE = 2.0 / 2.2, 1.8 / 2.2
+LEAST_RUN = 12
+#: By form, the longest first: (characters from which it holds, characters a token that a run must not reach).
+LIMITS = {
+    "mixed": ((20, 2.2), (16, 2.0), (12, 1.7)),
+    "identifier": ((16, 2.0), (12, 1.5)),
+    "word": ((20, 1.9), (16, 1.5)),
+}
 VOCABULARY = "byte_bpe_50k.tiktoken"
 
 _run = re.compile(r"[A-Za-z0-9+/_=-]{%d,}" % LEAST_RUN).finditer
@@ -75,29 +81,35 @@ def known_form(run: str) -> bool:
     return bool(_uuid(run) or _number(run))
 
 
+def form(run: str) -> str:
+    if _word(run.strip("_/=+-")):
+        return "word"
+    return "identifier" if _identifier(run) else "mixed"
+
+
 class Scanner:
-    def __init__(self, rank_path: str, pattern: str, chars_per_token: float = CHARS_PER_TOKEN) -> None:
+    """``limits`` by form as ``LIMITS`` has them."""
+
+    def __init__(self, rank_path: str, pattern: str, limits: dict = LIMITS) -> None:
         import tiktoken
 
         with open(rank_path, "rb") as f:
             ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.encoding = tiktoken.Encoding("scan", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        self.limit = chars_per_token
+        self.limits = limits
+        self.least_word = min(n for n, _ in limits["word"])
 
-    def efficiency(self, run: str) -> float:
-        """Characters per token."""
-        return len(run) / len(self.encoding.encode_ordinary(run))
+    def tokens(self, run: str) -> int:
+        return len(self.encoding.encode_ordinary(run))
 
     def random(self, run: str) -> bool:
         """Whether a run of no known form has more tokens than its form allows."""
-        if _word(run.strip("_/=+-")):
-            return len(run.strip("_/=+-")) >= LEAST_WORD and self.efficiency(run) < self.limit * WORD_SHARE
-        if _identifier(run):
-            if _separated(run) and (parts := _parts(run)):
-                # words between signs, each by itself
-                return sum(map(len, parts)) < self.limit * SHORT_SHARE * sum(len(self.encoding.encode_ordinary(p)) for p in parts)
-            return self.efficiency(run) < self.limit * SHORT_SHARE
-        return self.efficiency(run) < self.limit * (1 if len(run) >= LONG_RUN else SHORT_SHARE)
+        kind = form(run)
+        parts = [run.strip("_/=+-")] if kind == "word" else _parts(run) if kind == "identifier" and _separated(run) else [run]
+        n = len(parts[0]) if kind == "word" else len(run)
+        limit = next((most for least, most in self.limits[kind] if n >= least), 0.0)
+        # words between signs, each by itself
+        return bool(limit and parts) and sum(map(len, parts)) < limit * sum(map(self.tokens, parts))
 
     def spans(self, text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
         """(base spans, all spans), each by start, then kind."""
@@ -107,6 +119,8 @@ class Scanner:
         more = []
         for m in _run(text):
             start, end = m.span()
+            if end - start < self.least_word and m[0].isalpha() and _word(m[0]):
+                continue
             if any(s <= start and end <= e for _, s, e in base) or known_form(m[0]):
                 continue
             if self.random(m[0]):
@@ -130,7 +144,7 @@ _scanners: dict[tuple, Scanner] = {}
 
 
 def scanner(*key) -> Scanner:
-    """The worker's scanner for a rank file, a pattern and a limit."""
+    """The worker's scanner for a rank file and a pattern."""
     if key not in _scanners:
         _scanners[key] = Scanner(*key)
     return _scanners[key]
@@ -144,12 +158,12 @@ def scan(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", out:
 
     @F.arrow_udf("base array<struct<kind:string,start:int,end:int>>, spans array<struct<kind:string,start:int,end:int>>")
     def found(col: pa.Array) -> pa.Array:
-        s = scanner(rank_path, pattern, CHARS_PER_TOKEN)
+        s = scanner(rank_path, pattern)
         both = [s.spans(t.as_py()) for t in col]
         cols = [pa.array([[dict(zip(("kind", "start", "end"), x)) for x in b[i]] for b in both], pa.list_(_SPAN)) for i in (0, 1)]
         return pa.StructArray.from_arrays(cols, names=["base", "spans"])
 
-    return docs.withColumn(out, found(F.col(text)))
+    return docs.withColumn(out, found(common.column(text)))
 
 
 def redact(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", by: str = "[REDACTED]") -> DataFrame:
@@ -157,7 +171,7 @@ def redact(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", by
 
     @F.arrow_udf("string")
     def clean(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        s = scanner(rank_path, pattern, CHARS_PER_TOKEN)
+        s = scanner(rank_path, pattern)
         for col in cols:
             texts = []
             for t in col:
@@ -166,4 +180,4 @@ def redact(docs: DataFrame, rank_path: str, pattern: str, text: str = "text", by
                 texts.append(redacted(t, spans, by) if spans else t)
             yield pa.array(texts, pa.string())
 
-    return docs.withColumn(text, clean(F.col(text)))
+    return docs.withColumn(text, clean(common.column(text)))
