@@ -10,18 +10,20 @@ not only with the overlap of their sets of k-mers.
 
 The permutations are rotations of one hash: permutation b orders elements by (hash - b / ``SKETCHES``) modulo 1,
 so its first elements are the next ones after the point b / ``SKETCHES`` on a ring.  All of a
-text's elements are sorted once, as longs of 39 bits of hash and 24 bits of position, and every
-sketch is read off the sorted array.  Work and memory are in proportion to the text.
+text's elements are sorted once, as longs of 33 bits of hash and 30 bits of position (no string has more words), and every
+sketch is read off the sorted array.  Work and memory are in proportion to the text.  Neighbouring places
+share elements, so they are not independent: the share of equal places is as true on average as that of independent
+permutations, and varies somewhat more.
 
 Neighbours.  ``compare`` needs every document's successor in the order of ids.  Ids are cut into ranges at
-approximate quantiles, several ranges per task; texts are shuffled once, into their
-ranges, and each range gets a copy of the first document of the next one, so windows
+approximate quantiles, several ranges per task, and an id that many rows have (a null, say) into several by a hash of the text;
+texts are shuffled once, into their ranges, and each range gets a copy of the first document of the next one, so windows
 stay within ranges.
 
 Only DataFrame functions are used.  Nulls: a null text is empty; a text without words has the
-fingerprint of no elements; a null id sorts first.  Rows of equal ids are ordered by text.
-The only document is its own successor.  An empty table gives an empty result.  Other columns
-are not read.  Positions beyond 2^24 words are taken in steps, so order is kept roughly there.
+fingerprint of no elements; a null id sorts first.  Ties: rows of equal ids are ordered by a hash of the text, then the text.
+The only document is its own successor.  Texts of any length are read whole.  An empty table gives an empty result.  Other
+columns, whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -34,11 +36,10 @@ from . import common
 K = 5
 L = 2
 SKETCHES = 64
-POSITION_BITS = 24
-HASH_BITS = 39
+POSITION_BITS = 30
+HASH_BITS = 33
 #: Id ranges per shuffle partition.
 RANGES = 4
-_FIRST = -(2**63)
 
 
 def _each(names: list[str], expression: str) -> list[str]:
@@ -60,7 +61,7 @@ def signatures(df: DataFrame, texts: list[str], keep: list[str], k: int = K, l:
     steps = [
         "array_remove(split(coalesce({c}, ''), '[ \\\\x09-\\\\x0D]+'), '')",
         # sorted elements: hash of the k-mer, then position
-        f"sort_array(case when size({{c}}) >= {k} then transform(sequence(0, size({{c}}) - {k}), i -> {pack.format(h=f'xxhash64({word_hash})', i=f'cast(i div (1 + size({{c}}) div {mask}) as long)')}) "
+        f"sort_array(case when size({{c}}) >= {k} then transform(sequence(0, size({{c}}) - {k}), i -> {pack.format(h=f'xxhash64({word_hash})', i='cast(i as long)')}) "
         f"when size({{c}}) > 0 then array({pack.format(h='xxhash64(concat_ws(chr(32), {c}))', i='0L')}) else cast(array() as array<long>) end)",
     ]
     rows = df
@@ -110,29 +111,16 @@ def likeness(a: str, b: str) -> Column:
 
 def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how: int) -> DataFrame:
     """(id, signature, fingerprint) of every text."""
-    rows = signatures(docs.select(F.col(id_col).alias("__id"), F.col(text).cast("string").alias("__text")), ["__text"], ["__id"], **how)
+    rows = signatures(docs.select(common.column(id_col).alias("__id"), common.column(text).cast("string").alias("__text")), ["__text"], ["__id"], **how)
     return rows.select(F.col("__id").alias(id_col), F.col("__text").alias("signature"), hexadecimal("__text").alias("fingerprint"))
 
 
-def _ranges(rows: DataFrame, count: int) -> list[int]:
-    """At most ``count`` - 1 ids that cut the ids of ``rows`` into ranges of nearly as many rows."""
-    wanted = [i / count for i in range(1, count)]
-    (cuts,) = rows.agg(F.percentile_approx("__key", wanted, max(10_000, 20 * count))).first()
-    return sorted(set(cuts or []))
-
-
-def _range_of(cuts: list[int]) -> Column:
-    """How many cuts are at or below the row's id, by binary search."""
-    if not cuts:
-        return F.lit(0)
-    array = "array(" + ", ".join(f"{c}L" if c > _FIRST else f"cast('{c}' as long)" for c in cuts) + ")"
-    steps = len(cuts).bit_length()
-    search = (
-        f"aggregate(sequence(1, {steps}), named_struct('low', 0, 'high', {len(cuts)}), (a, s) -> if(a.low < a.high, "
-        "if(cuts[(a.low + a.high) div 2] <= __key, named_struct('low', cast((a.low + a.high) div 2 as int) + 1, 'high', a.high), "
-        "named_struct('low', a.low, 'high', cast((a.low + a.high) div 2 as int))), a), a -> a.low)"
-    )
-    return F.expr(f"transform(array({array}), cuts -> {search})[0]")
+def ranged(docs: DataFrame, text: str = "text", id_col: str = "doc_id") -> DataFrame:
+    """(__id, __key, __hash, __text, __range): ranges follow the order of key and hash."""
+    key, body = F.coalesce(common.column(id_col).cast("long"), F.lit(common.FIRST_KEY)), F.coalesce(common.column(text).cast("string"), F.lit(""))
+    rows = docs.select(common.column(id_col).cast("long").alias("__id"), key.alias("__key"), F.xxhash64(body).alias("__hash"), body.alias("__text"))
+    cuts = common.key_cuts(rows.select("__key"), RANGES * common.shuffle_partitions(docs.sparkSession))
+    return rows.withColumn("__range", common.range_of(cuts, "__key", "__hash"))
 
 
 def compare(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how: int) -> DataFrame:
@@ -142,22 +130,24 @@ def compare(docs: DataFrame, text: str = "text", id_col: str = "doc_id", **how:
     ones of the successor, or all it has; after the last document comes the first.
     """
     spark = docs.sparkSession
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.coalesce(F.col(id_col).cast("long"), F.lit(_FIRST)).alias("__key"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("__text"))
-    cuts = _ranges(rows.select("__key"), RANGES * common.shuffle_partitions(spark))
-    ranged = rows.withColumn("__range", _range_of(cuts))
-    heads = sorted(tuple(r) for r in ranged.groupBy("__range").agg(F.min("__key")).collect())  # a row per range
-    copies = [(key, heads[i - 1][0]) for i, (_, key) in enumerate(heads)]
-    next_heads = spark.createDataFrame(copies, "__key long, __to int")
-    guests = rows.join(F.broadcast(next_heads), "__key").groupBy("__key", "__to").agg(F.min("__text").alias("__text"))
-    every = ranged.select("__range", "__id", "__key", "__text", F.lit(0).alias("__guest")).union(guests.select(F.col("__to"), F.lit(None).cast("long"), "__key", "__text", F.lit(1)))
-    over = "over (partition by __range order by __guest, __key, __text)"
-    paired = every.selectExpr("__range", "__id", "__key", "__guest", "__text", f"lead(__text) {over} as __next")
+    rows = ranged(docs, text, id_col)
+    firsts = rows.groupBy("__range").agg(F.min(F.struct("__key", "__hash")).alias("f")).select("__range", "f.*")
+    heads = sorted(tuple(r) for r in firsts.collect())  # a row per range
+    copies = [{"__key": key, "__hash": hash_, "__to": heads[i - 1][0]} for i, (_, key, hash_) in enumerate(heads)]
+    next_heads = common.small_table(spark, copies, "__key:bigint,__hash:bigint,__to:int")
+    guests = rows.join(next_heads, ["__key", "__hash"]).groupBy("__key", "__hash", "__to").agg(F.min("__text").alias("__text"))
+    own = rows.select("__range", "__id", "__key", "__hash", "__text", F.lit(0).alias("__guest"))
+    every = own.union(guests.select(F.col("__to"), F.lit(None).cast("long"), "__key", "__hash", "__text", F.lit(1)))
+    over = "over (partition by __range order by __guest, __key, __hash, __text)"
+    paired = every.selectExpr("__range", "__id", "__guest", "__text", f"row_number() {over} as __place", f"lead(__text) {over} as __next")
+    keep = ["__range", "__id", "__guest", "__place"]
     edited = paired.selectExpr(
-        "__range", "__id", "__key", "__guest", "length(__text) as n_chars",
+        *keep, "length(__text) as n_chars",
         "concat(left(__text, length(__text) - length(__text) div 4), left(coalesce(__next, ''), cast(length(__text) div 4 as int))) as __edited", "__text",
-    ).selectExpr("__range", "__id", "__key", "__guest", "cast(n_chars as long) as n_chars", "sha2(__edited, 256) as edited_sha256", "__text", "__edited")
-    signed = signatures(edited, ["__text", "__edited"], ["__range", "__id", "__key", "__guest", "n_chars", "edited_sha256"], **how)
-    led = signed.selectExpr("*", "lead(__text) over (partition by __range order by __guest, __key) as __next").where("__guest = 0")
+    ).selectExpr(*keep, "cast(n_chars as long) as n_chars", "sha2(__edited, 256) as edited_sha256", "__text", "__edited")
+    signed = signatures(edited, ["__text", "__edited"], [*keep, "n_chars", "edited_sha256"], **how)
+    # by place, so the successor is the same row as above whatever is equal
+    led = signed.selectExpr("*", "lead(__text) over (partition by __range order by __place) as __next").where("__guest = 0")
     return led.select(
         F.col("__id").alias(id_col), "n_chars", "edited_sha256", hexadecimal("__text").alias("fingerprint"), hexadecimal("__edited").alias("edited_fingerprint"),
         likeness("__text", "__edited").alias("near_edited"), likeness("__text", "__next").alias("near_next"),
