@@ -14,11 +14,14 @@ mean stood for ``EVIDENCE`` independent words (fewer if the text has fewer).
 
 The model is fitted on a bounded sample of labelled rows: about ``docs_per_lang`` texts
 of each language, those of smallest hash of id and text, so hot languages do not
-crowd out rare ones.  Its size grows with the number of languages, not with the corpus.
+crowd out rare ones.  Its size is bounded over all languages: beyond ``FULL_LANGUAGES`` of them each has fewer words
+and n-grams, down to ``LEAST_SHARE`` of them.
 
 Nulls: a text that is null or has no letter gets ``und`` and score 0; a row of null
 language or text is never learned from.  No labelled row at all: every text gets ``und``.
-Words of any length and texts of any size are scored whole.  Other columns pass through.
+Ties: of equal means the first language by name wins; of equally frequent n-grams the first by text are kept.
+Words of any length are one word and texts of any size are scored whole.  Repeated rows get equal results.  An empty
+table gives an empty result.  Other columns pass through, but one that is named like the result (``out``) is replaced.
 """
 
 from __future__ import annotations
@@ -47,24 +50,24 @@ PENALTY = -16.0
 EVIDENCE = 8
 UNDETERMINED = "und"
 #: Words that a worker remembers the scores of.
-REMEMBERED = 200_000
-#: A longer run of letters is cut for scoring into parts of this length.
+REMEMBERED = 100_000
+#: A longer word is scored anew each time.
 LONGEST = 64
+#: Up to so many languages each has all of its ``WORDS`` and ``GRAMS``, beyond it a part.
+FULL_LANGUAGES = 16
+LEAST_SHARE = 0.02
 
 _letters = re.compile(r"[^\W\d_]+").findall
 
 
 def words_in(text: str | None) -> list[str]:
-    words = _letters(text.lower()) if text else []
-    if words and max(map(len, words)) > LONGEST:
-        words = [w[i : i + LONGEST] for w in words for i in range(0, len(w), LONGEST)]
-    return words
+    return _letters(text.lower()) if text else []
 
 
-def grams_of(word: str, n: int) -> list[str]:
+def grams_of(word: str, n: int) -> Iterator[str]:
     """n-grams of a word with a blank on either side; a blank by itself is none."""
     padded = f" {word} " if n > 1 else word
-    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+    return (padded[i : i + n] for i in range(len(padded) - n + 1))
 
 
 class Model:
@@ -93,9 +96,10 @@ class Model:
             return self.rows[found]
         for n in range(MAX_GRAM, 0, -1):
             table = self.tables[n]
-            at = [r for g in grams_of(word, n) if (r := table.get(g)) is not None]
+            at = Counter(r for g in grams_of(word, n) if (r := table.get(g)) is not None)
             if at:
-                return self.rows[at].mean(axis=0)
+                times = np.fromiter(at.values(), dtype=float, count=len(at))
+                return times @ self.rows[list(at)] / times.sum()
         return np.full(len(self.languages), PENALTY)
 
 
@@ -110,6 +114,13 @@ class Scorer:
         self.place: dict[str, int] = {}
         self.scores = np.zeros((1024, len(self.model.languages)))
 
+    def _add(self, words: set[str]) -> None:
+        for w in words:
+            at = self.place[w] = len(self.place)
+            if at == len(self.scores):
+                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
+            self.scores[at] = self.model.word_scores(w)
+
     def predict(self, text: str | None) -> tuple[str, float]:
         words = words_in(text)
         if not words or not self.model.languages:
@@ -118,14 +129,13 @@ class Scorer:
             return UNDETERMINED, 0.0  # signs of numbers only, such as fractions
         if len(self.place) > REMEMBERED:
             self._clear()
-        place = self.place
-        for w in set(words).difference(place):
-            at = place[w] = len(place)
-            if at == len(self.scores):
-                self.scores = np.concatenate([self.scores, np.zeros_like(self.scores)])
-            self.scores[at] = self.model.word_scores(w)
-        at = np.fromiter(map(place.__getitem__, words), dtype=np.int64, count=len(words))
-        mean = self.scores[at].mean(axis=0)
+        short = [w for w in words if len(w) <= LONGEST] if max(map(len, words)) > LONGEST else words
+        self._add(set(short).difference(self.place))
+        at = np.fromiter(map(self.place.__getitem__, short), dtype=np.int64, count=len(short))
+        total = self.scores[at].sum(axis=0)
+        if len(short) < len(words):
+            total += sum(self.model.word_scores(w) for w in words if len(w) > LONGEST)
+        mean = total / len(words)
         best = int(np.argmax(np.round(mean, 9)))
         return self.model.languages[best], float(1 / np.exp((mean - mean[best]) * min(EVIDENCE, len(words))).sum())
 
@@ -154,25 +164,26 @@ def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: s
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(language, Counter()).update(words_in(t))
         for language, own in words.items():
-            grams: list[Counter] = [own] + [Counter() for _ in range(MAX_GRAM)]
-            for w, k in own.items():
-                for n in range(1, MAX_GRAM + 1):
+            for n in range(MAX_GRAM + 1):  # one length at a time: the n-grams of all would be many times the words
+                counter = own if n == 0 else Counter()
+                for w, k in own.items() if n else ():
                     for g in grams_of(w, n):
-                        grams[n][g] += k
-            for n, counter in enumerate(grams):
-                total = sum(counter.values())
+                        counter[g] += k
                 keys = list(counter)
                 for at in range(0, len(keys), 50_000):
                     part = keys[at : at + 50_000]
                     yield pa.RecordBatch.from_arrays([pa.array([language] * len(part)), pa.array([n] * len(part), pa.int32()), pa.array(part), pa.array([counter[k] for k in part], pa.int64())], names=["lang", "n", "gram", "count"])
+        common.release()
 
     sample = sampled(labelled, text, lang, id_col, docs_per_lang)
     counts = sample.mapInArrow(count, "lang string, n int, gram string, count long").groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
     kept = Window.partitionBy("lang", "n").orderBy(F.desc("count"), "gram")
     total = Window.partitionBy("lang", "n")
     ranked = counts.withColumn("total", F.sum("count").over(total)).withColumn("rank", F.row_number().over(kept))
-    rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, WORDS).otherwise(GRAMS)).select("lang", "n", "gram", "count", "total")
-    return Model.fit([tuple(r) for r in rows.collect()])  # at most WORDS + MAX_GRAM * GRAMS rows a language
+    languages = max(1, sample.select("lang").distinct().count())
+    share = max(LEAST_SHARE, min(1.0, FULL_LANGUAGES / languages))
+    rows = ranked.where(F.col("rank") <= F.when(F.col("n") == 0, int(WORDS * share)).otherwise(int(GRAMS * share))).select("lang", "n", "gram", "count", "total")
+    return Model.fit([tuple(r) for r in rows.collect()])  # FULL_LANGUAGES * (WORDS + MAX_GRAM * GRAMS) rows for up to 800 languages
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "language") -> DataFrame:
@@ -185,6 +196,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
         for col in cols:
             found = [scorer.predict(t.as_py()) for t in col]
             yield pa.StructArray.from_arrays([pa.array([f[0] for f in found], pa.string()), pa.array([f[1] for f in found], pa.float64())], names=["lang_pred", "score"])
+        del scorer
+        common.release()
 
     return docs.withColumn(out, scored(F.col(text)))
 
