@@ -9,18 +9,19 @@ How links are found, exactly and without comparing everything with everything:
 
 1. Equal fingerprints are collapsed first, with partial sums, so thousands of
    copies count once.
-2. The 64 bits are cut into B blocks.  Fingerprints that differ in r bits agree
-   on B - r whole blocks at least, so each one is filed under its bits in every
-   choice of B - r blocks.  B grows with the number of fingerprints, which keeps
-   a file short whatever the corpus's size.
-3. In a file, every fingerprint's distances to the pivots (reference
-   fingerprints) are computed once.  By the triangle inequality two fingerprints
-   whose distances to any pivot differ by more than r cannot link: such pairs go.
-   What is left is verified by the real distance.
-4. Files of more than ``file_limit`` members (dense groups) are not compared at
-   all: two fingerprints differ in at most 2 bits exactly when some 64-bit value
-   is within 1 bit of both, so these members are filed under all 65 such values,
-   and each file, of 65 members at most, is a star.  No pair is lost.
+2. The table of distances.  The pivots (reference fingerprints) are the one
+   without ones, one for each of 32 cells of two bits, whose ones are that cell,
+   and 31 far from one another.  Half of the distance to the first less that to a
+   cell's pivot, plus one, is a coordinate of 0, 1 or 2 that depends on
+   the bits of that cell alone, so a differing bit moves one coordinate of the 32.
+3. Files.  The coordinates are cut into B bands.  Fingerprints that differ in r
+   bits have all coordinates equal in B - r bands at least, so each one is filed under
+   its coordinates in every choice of B - r bands.  B grows with the number of
+   fingerprints, which keeps a file short whatever the corpus's size; the members of a
+   file that is longer than ``file_limit`` all the same are filed again in finer bands.
+4. In a file, two fingerprints whose distances to any pivot differ by more than r
+   cannot link (triangle inequality): such pairs go by the maximum difference of
+   their coordinates.  What is left is verified by the real distance.  Every file is compared whole.
 
 ``deduplicated`` adds a second kind of link.  Few changed words already turn more than two bits, so texts that
 share at least ``SIMILAR`` of their five-word shingles are linked too.  Texts are filed under their first shingles in an order
@@ -31,8 +32,9 @@ Nulls and blanks: a null or blank text has no shingle, its fingerprint is zero,
 and it links like any other.  A text with fewer words than a shingle has one
 shingle, its whole sequence.  Rows with the same id and text stay rows of their own;
 a null id takes part, but is nobody's smallest id unless all ids of its
-component are null.  An empty table gives an empty result.  Other columns of the
-input are neither read nor returned.
+component are null; of equal smallest ids (ties) either may stand for the group, as rows of one id and hash are equal.  Texts are
+read whole, whatever their length.  An empty table gives an empty result.  ``classes`` neither reads nor returns other
+columns of the input; ``deduplicated`` returns them as they are, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,9 +52,12 @@ from pyspark.sql import functions as F
 from . import common
 
 SEED = 42
-#: Reference fingerprints; their number is the width of the distance table.
-PIVOTS = 32
+#: Bits of a cell, and pivots besides the first and those of cells: 64 in all, the width of the distance table.
+CELL, FAR_PIVOTS = 2, 31
+CELLS = 64 // CELL
+#: Files of more members are filed again in ``FINE`` bands.
 FILE_LIMIT = 1024
+FINE = 16
 #: Rows of a file that are compared at once.
 COMPARE_ROWS = 1 << 16
 
@@ -94,9 +99,10 @@ def fingerprints(docs: DataFrame, text: str = "text", id_col: str = "doc_id", si
     return rows.mapInArrow(run, "__id long, fp long").withColumnRenamed("__id", id_col)
 
 
-def pivots(count: int = PIVOTS) -> np.ndarray:
-    """``count`` fixed reference fingerprints, far from one another."""
-    return np.array([xxhash.xxh64_intdigest(b"pivot %d" % i, seed=SEED) for i in range(count)], dtype=np.uint64)
+def pivots() -> np.ndarray:
+    """The reference fingerprints: the one without ones, the cells', and fixed ones far from one another."""
+    cells = [((1 << CELL) - 1) << (CELL * i) for i in range(CELLS)]
+    return np.array([0, *cells, *(xxhash.xxh64_intdigest(b"pivot %d" % i, seed=SEED) for i in range(FAR_PIVOTS))], dtype=np.uint64)
 
 
 def distance_table(values: np.ndarray, refs: np.ndarray) -> np.ndarray:
@@ -104,14 +110,28 @@ def distance_table(values: np.ndarray, refs: np.ndarray) -> np.ndarray:
     return np.stack([np.bitwise_count(values ^ r) for r in refs]).astype(np.int8)
 
 
-def _close(table: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
-    """Which pairs (a, b) link: pivots discard first, the distance itself decides."""
+def coordinates(table: np.ndarray) -> np.ndarray:
+    """Per fingerprint the coordinates of its cells, ``CELL`` bits each, from its distances to the pivots."""
+    out = np.zeros(table.shape[1], dtype=np.uint64)
+    for i in range(CELLS):
+        out |= ((table[0] - table[1 + i] + CELL) // 2).astype(np.uint64) << np.uint64(CELL * i)
+    return out
+
+
+def _left_by_pivots(table: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which pairs (a, b) have no coordinate that differs by more than ``max_bits``."""
     at = np.arange(len(a))
-    for row in table:
+    for row in table[::-1]:  # those far from one another tell most
         if not len(at):
             return at
         at = at[np.abs(row[a[at]] - row[b[at]]) <= max_bits]
-    return at[np.bitwise_count(values[a[at]] ^ values[b[at]]) <= max_bits]
+    return at
+
+
+def _close(table: np.ndarray, values: np.ndarray, a: np.ndarray, b: np.ndarray, max_bits: int) -> tuple[np.ndarray, int]:
+    """(which pairs (a, b) link, how many pivots have left): pivots discard, the distance itself decides."""
+    at = _left_by_pivots(table, a, b, max_bits)
+    return at[np.bitwise_count(values[a[at]] ^ values[b[at]]) <= max_bits], len(at)
 
 
 def _smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -129,55 +149,63 @@ def _smallest_reached(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return label
 
 
-def _links_in(keys: np.ndarray, values: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links that join all members of a file that reach one another; rows come sorted by key."""
+def _links_in(keys: np.ndarray, values: np.ndarray, refs: np.ndarray, max_bits: int) -> tuple[np.ndarray, np.ndarray, tuple[int, int, int]]:
+    """Links that join all members of a file that reach one another, and (pairs, left by pivots, linked); rows come sorted by key."""
     n = len(keys)
     table = distance_table(values, refs)
     ends = np.searchsorted(keys, keys, side="right")
     found_a, found_b = [], []
+    pairs = kept = 0
     shift, left = 1, np.flatnonzero(ends - np.arange(n) > 1)
     while len(left):
-        hit = left[_close(table, values, left, left + shift, max_bits)]
-        found_a.append(hit)
-        found_b.append(hit + shift)
+        close, few = _close(table, values, left, left + shift, max_bits)
+        pairs, kept = pairs + len(left), kept + few
+        found_a.append(left[close])
+        found_b.append(left[close] + shift)
         shift += 1
         left = left[left + shift < ends[left]]
     if not found_a:
-        return values[:0], values[:0]
-    label = _smallest_reached(n, np.concatenate(found_a), np.concatenate(found_b))
+        return values[:0], values[:0], (0, 0, 0)
+    a, b = np.concatenate(found_a), np.concatenate(found_b)
+    label = _smallest_reached(n, a, b)
     moved = np.flatnonzero(label != np.arange(n))
-    return values[moved], values[label[moved]]
+    return values[moved], values[label[moved]], (pairs, kept, len(a))
 
 
-def block_masks(blocks: int, max_bits: int) -> list[int]:
-    """One mask for each choice of ``blocks - max_bits`` of the blocks, as signed longs."""
-    edge = [64 * i // blocks for i in range(blocks + 1)]
-    one = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(blocks)]
-    masks = [sum(c) for c in combinations(one, blocks - max_bits)]
+def band_masks(bands: int, max_bits: int) -> list[int]:
+    """One mask of coordinates for each choice of ``bands - max_bits`` of the bands, as signed longs."""
+    edge = [CELLS * i // bands * CELL for i in range(bands + 1)]
+    one = [((1 << edge[i + 1]) - 1) ^ ((1 << edge[i]) - 1) for i in range(bands)]
+    masks = [sum(c) for c in combinations(one, bands - max_bits)]
     return [m - (1 << 64) if m >= 1 << 63 else m for m in masks]
 
 
-def blocks_for(count: int, max_bits: int) -> int:
-    """As few blocks as keep the mean file under 8 members for ``count`` spread-out fingerprints."""
-    blocks = max_bits + 1
-    while blocks < max_bits + 6 and count > 8 << (64 * (blocks - max_bits) // blocks):
-        blocks += 1
-    return blocks
+def bands_for(count: int, max_bits: int) -> int:
+    """As few bands as keep the mean file under 8 members for ``count`` spread-out fingerprints; a coordinate has 1.5 bits."""
+    bands = max_bits + 1
+    while bands < max_bits + 6 and count > 8 << (3 * CELLS * (bands - max_bits) // bands // 2):
+        bands += 1
+    return bands
 
 
-def links(distinct: DataFrame, max_bits: int = 2, blocks: int | None = None, file_limit: int = FILE_LIMIT) -> DataFrame:
-    """(a, b): links among the distinct longs of column ``fp`` that connect every component."""
-    if not 1 <= max_bits <= 2:
-        raise ValueError("max_bits is 1 or 2")
-    spark = distinct.sparkSession
-    blocks = blocks or blocks_for(distinct.count(), max_bits)
-    masks = block_masks(blocks, max_bits)
-    filed = distinct.select(
-        "fp",
-        F.explode(F.array(*(F.struct(F.lit(i).alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(masks)))).alias("k"),
-    ).select("k.c", "k.m", "fp")
+def _filed_by_coordinates(distinct: DataFrame, masks: list[int]) -> DataFrame:
+    """(c, m, fp, n): the files that have more than one member."""
+    refs = pivots()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = batch.column(0).to_numpy(zero_copy_only=False).astype(np.int64)
+            placed = coordinates(distance_table(values.view(np.uint64), refs))
+            yield pa.RecordBatch.from_arrays([pa.array(values), pa.array(placed.view(np.int64))], names=["fp", "at"])
+
+    keys = F.array(*(F.struct(F.lit(i).cast("long").alias("c"), F.col("at").bitwiseAND(F.lit(m)).alias("m")) for i, m in enumerate(masks)))
+    filed = distinct.select("fp").mapInArrow(run, "fp long, at long").select("fp", F.explode(keys).alias("k")).select("k.c", "k.m", "fp")
     sizes = filed.groupBy("c", "m").agg(F.count("*").alias("n")).where("n > 1")
-    sized = common.stored(filed.join(sizes, ["c", "m"]), "simhash-files")
+    return common.stored(filed.join(sizes, ["c", "m"]), "simhash-files")
+
+
+def _compared(files: DataFrame, max_bits: int, report: bool = False) -> DataFrame:
+    """(a, b): links within files; or with ``report`` (pairs, kept, linked) of every run of files."""
     refs = pivots()
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -187,7 +215,9 @@ def links(distinct: DataFrame, max_bits: int = 2, blocks: int | None = None, fil
         def links_of(rows: np.ndarray) -> pa.RecordBatch:
             _, keys = np.unique(rows[:, :2], axis=0, return_inverse=True)
             order = np.argsort(keys, kind="stable")
-            a, b = _links_in(keys[order], rows[order, 2].view(np.uint64), refs, max_bits)
+            a, b, counts = _links_in(keys[order], rows[order, 2].view(np.uint64), refs, max_bits)
+            if report:
+                return pa.RecordBatch.from_arrays([pa.array([c], pa.int64()) for c in counts], names=["pairs", "kept", "linked"])
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
         for batch in batches:
@@ -195,37 +225,34 @@ def links(distinct: DataFrame, max_bits: int = 2, blocks: int | None = None, fil
                 continue
             held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(3)], axis=1))
             size += batch.num_rows
-            if size < COMPARE_ROWS:
+            if size < COMPARE_ROWS or (held[0][0, :2] == held[-1][-1, :2]).all():
                 continue
             rows = np.concatenate(held)
             # the last file may go on in the next batch
             cut = int(np.flatnonzero((rows[:, :2] == rows[-1, :2]).all(axis=1))[0])
-            if cut:
-                yield links_of(np.ascontiguousarray(rows[:cut]))
+            yield links_of(np.ascontiguousarray(rows[:cut]))
             held, size = [rows[cut:]], len(rows) - cut
         if size:
             yield links_of(np.ascontiguousarray(np.concatenate(held)))
 
-    by_pivots = (
-        sized.where(F.col("n") <= file_limit)
-        .select(F.col("c").cast("long").alias("c"), "m", "fp")
-        .repartition(common.shuffle_partitions(spark), "c", "m")
-        .sortWithinPartitions("c", "m")
-        .mapInArrow(sweep, "a long, b long")
-    )
-    dense = sized.where(F.col("n") > file_limit).select("fp").distinct()
-    return by_pivots.union(_links_by_neighbours(dense, max_bits)).distinct()
+    dealt = files.select("c", "m", "fp").repartition(common.shuffle_partitions(files.sparkSession), "c", "m").sortWithinPartitions("c", "m")
+    return dealt.mapInArrow(sweep, "pairs long, kept long, linked long" if report else "a long, b long")
 
 
-def _links_by_neighbours(dense: DataFrame, max_bits: int) -> DataFrame:
-    """The exact way for dense files, by values within one bit of both."""
-    flips = [F.col("fp")] * (max_bits == 2)
-    for i in range(64):
-        bit = (1 << i) - (1 << 64) * (i == 63)
-        flips.append(F.col("fp").bitwiseXOR(F.lit(bit)) if max_bits == 2 else F.struct(F.lit(i).alias("i"), F.col("fp").bitwiseOR(F.lit(bit)).alias("v")))
-    filed = dense.select("fp", F.explode(F.array(*flips)).alias("z"))
-    low = filed.groupBy("z").agg(F.min("fp").alias("b"), F.count("*").alias("n")).where("n > 1").select("z", "b")
-    return filed.join(low, "z").where("fp <> b").select(F.col("fp").alias("a"), "b")
+def links(distinct: DataFrame, max_bits: int = 2, bands: int | None = None, file_limit: int = FILE_LIMIT, report: bool = False) -> DataFrame:
+    """(a, b): links among the distinct longs of column ``fp`` that connect every component.
+
+    With ``report`` instead (pairs, kept, linked): how many pairs the files have, how many of them the pivots leave and how many link.
+    """
+    if not 1 <= max_bits <= 2:
+        raise ValueError("max_bits is 1 or 2")
+    files = _filed_by_coordinates(distinct, band_masks(bands or bands_for(distinct.count(), max_bits), max_bits))
+    found = _compared(files.where(F.col("n") <= file_limit), max_bits, report)
+    dense = common.stored(files.where(F.col("n") > file_limit).select("fp").distinct(), "simhash-dense")
+    if not dense.isEmpty():
+        finer = _filed_by_coordinates(dense, band_masks(FINE, max_bits))
+        found = found.union(_compared(finer, max_bits, report))
+    return found if report else found.distinct()
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", max_rounds: int = 64) -> DataFrame:
@@ -277,16 +304,17 @@ def grouped(fps: DataFrame, max_bits: int = 2, more: Callable[[DataFrame], DataF
 #: Words of a shingle and share of common shingles from which texts count as similar.
 SIMILAR_WORDS = 5
 SIMILAR = 0.8
-#: Smallest shingle hashes of a sketch.
-SKETCH = 192
-#: Buckets in which a text's shingles are counted.
-BUCKETS = 128
 #: Texts from which common shingles are learned, about, and the shingles that are held as common, at most: both decide how much
 #: work the search has, not what it finds.
 COMMON_TEXTS = 8192
 COMMON = 1 << 16
+#: Pairs, or rows to drop, up to which they are broadcast rather than joined by a shuffle of the texts.
+BROADCAST_ROWS = 250_000
+#: 64-bit words of the sketches that are compared in files.
+WORDS = 8
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
+_LOW = np.int64(0xFFFFFFFF)
 
 
 def shingle_hashes(text: str | None, size: int = SIMILAR_WORDS) -> np.ndarray:
@@ -304,27 +332,28 @@ def shingle_hashes(text: str | None, size: int = SIMILAR_WORDS) -> np.ndarray:
     return np.unique(mixed ^ (mixed >> np.uint64(29)))
 
 
-def sketch(text: str | None, size: int = SIMILAR_WORDS, count: int | None = SKETCH) -> bytes:
-    """The ``count`` smallest hashes of a text's distinct shingles, or all of them, as bytes."""
-    return shingle_hashes(text, size)[:count].tobytes()
-
-
-def likeness(a: bytes, b: bytes, count: int | None = SKETCH) -> float:
-    """The share of common shingles: exact for sketches of all shingles, else estimated from the smallest of both."""
-    x, y = np.frombuffer(a, dtype=np.uint64), np.frombuffer(b, dtype=np.uint64)
+def likeness(x: np.ndarray, y: np.ndarray) -> float:
+    """The share of common shingles of two texts' hashes."""
     if not len(x) or not len(y):
         return float(len(x) == len(y))
-    both = np.union1d(x, y)
-    if len(x) == count or len(y) == count:
-        # beyond the largest hash that both sketches reach, one of them knows nothing
-        edge = min(v[-1] for v in (x, y) if len(v) == count)
-        both = both[both <= edge]
-    return float(np.isin(both, x, assume_unique=True).astype(bool)[np.isin(both, y, assume_unique=True)].sum() / len(both))
+    both = len(np.intersect1d(x, y, assume_unique=True))
+    return both / (len(x) + len(y) - both)
+
 
+def odd_sketch(hashes: np.ndarray, bits: int | None = None) -> np.ndarray:
+    """One bit per bucket, set where an odd number of the hashes fall, as 64-bit words; by default about as many bits as hashes.
 
-def bucket_counts(hashes: np.ndarray) -> bytes:
-    """How many of the hashes are in each bucket, 255 at most: these counts differ by no more than the sets do."""
-    return np.minimum(np.bincount((hashes % np.uint64(BUCKETS)).astype(np.int64), minlength=BUCKETS), 255).astype(np.uint8).tobytes()
+    A hash that one of two sets has alone turns one bit at most, so sketches differ in no more bits than sets in hashes.
+    """
+    bits = bits or max(64, 1 << max(0, len(hashes) - 1).bit_length())
+    odd = np.bincount((hashes & np.uint64(bits - 1)).astype(np.int64), minlength=bits) & 1
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view(np.uint64)
+
+
+def least_difference(x: np.ndarray, y: np.ndarray) -> int:
+    """So many hashes at least are in one of two sets alone, by their sketches; the longer one is folded first."""
+    x, y = sorted((x, y), key=len)
+    return int(np.bitwise_count(np.bitwise_xor.reduce(y.reshape(-1, len(x)), axis=0) ^ x).sum())
 
 
 def least_common(n: np.ndarray | int, m: np.ndarray | int, similar: float) -> np.ndarray | float:
@@ -338,6 +367,8 @@ def prefix(hashes: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray, simil
     ``common_ones`` is sorted, and ``ranks`` has the place of each of them in the order.
     """
     n = len(hashes)
+    if not n:
+        return hashes
     length = n - int(np.ceil(similar * n - 1e-6)) + 1
     if len(common_ones):
         at = np.minimum(np.searchsorted(common_ones, hashes), len(common_ones) - 1)
@@ -345,27 +376,33 @@ def prefix(hashes: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray, simil
     return hashes[:length]
 
 
-def pairs_in(keys: np.ndarray, node: np.ndarray, n: np.ndarray, at: np.ndarray, group: np.ndarray, similar: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a file's members of different groups that may be similar; rows come sorted by key, then n.
+def pairs_in(keys: np.ndarray, node: np.ndarray, place: np.ndarray, group: np.ndarray, sketches: np.ndarray, similar: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Pairs of a file's members of different groups that may be similar; rows come sorted by key, then place.
 
-    A pair's first common shingle is the first for both: so many shingles as the shorter rest has can be
-    common, and in that file a similar pair passes.  ``reach`` is how far apart members of a pair may be.
+    ``place`` has a text's number of shingles in its upper half and the shingle's place in the lower one.  A pair's
+    first common shingle is the first for both: so many shingles as the shorter rest has can be common, and in that
+    file a similar pair passes, as it does by its sketches (a row of words each).  ``reach`` is how far apart members of a pair may be.
     """
+    n, at = place >> 32, place & _LOW
     ends = np.searchsorted(keys, keys, side="right")
     shift, left = 1, np.flatnonzero(ends - np.arange(len(keys)) > 1)
     while len(left) and (reach is None or shift <= reach):
         other = left + shift
         near = n[left] >= similar * n[other] - 1e-6
         left, other = left[near], other[near]  # members further on are no shorter
-        hit = (group[left] != group[other]) & (np.minimum(n[left] - at[left], n[other] - at[other]) >= least_common(n[left], n[other], similar))
+        least = least_common(n[left], n[other], similar)
+        hit = np.flatnonzero((group[left] != group[other]) & (np.minimum(n[left] - at[left], n[other] - at[other]) >= least))
+        a, b = left[hit], other[hit]
+        apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
+        hit = apart <= n[a] + n[b] - 2 * least[hit]
         if hit.any():
-            yield node[left[hit]], node[other[hit]]
+            yield node[a[hit]], node[b[hit]]
         shift += 1
         left = left[left + shift < ends[left]]
 
 
-def _by_file(rows: DataFrame, columns: list[str], order: list[str], work, schema: str) -> DataFrame:
-    """``work`` gets the longs of whole files, sorted by ``columns[0]`` and ``order``, as the columns of an array."""
+def _by_file(rows: DataFrame, columns: list[str], work, schema: str, more: list[str] = ()) -> DataFrame:
+    """``work`` gets the longs of whole files, sorted by ``columns`` in turn, and ``more``, as the columns of an array."""
 
     def sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -373,7 +410,7 @@ def _by_file(rows: DataFrame, columns: list[str], order: list[str], work, schema
         for batch in batches:
             if not batch.num_rows:
                 continue
-            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(len(columns))], axis=1))
+            held.append(np.stack([batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in range(batch.num_columns)], axis=1))
             size += batch.num_rows
             if size < COMPARE_ROWS or held[0][0, 0] == held[-1][-1, 0]:
                 continue
@@ -384,24 +421,25 @@ def _by_file(rows: DataFrame, columns: list[str], order: list[str], work, schema
             held, size = [ready[cut:]], len(ready) - cut
         if size:
             yield from work(np.concatenate(held))
+        common.release()
 
-    dealt = rows.select(*columns).repartition(common.shuffle_partitions(rows.sparkSession), columns[0])
-    return dealt.sortWithinPartitions(columns[0], *order).mapInArrow(sweep, schema)
+    dealt = rows.select(*columns, *more).repartition(common.shuffle_partitions(rows.sparkSession), columns[0])
+    return dealt.sortWithinPartitions(*columns).mapInArrow(sweep, schema)
 
 
 def _batch(schema: str, *columns: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c).astype(np.int64)) for c in columns], names=[c.split()[0] for c in schema.split(", ")])
 
 
-def common_shingles(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
-    """Shingles that several of about ``COMMON_TEXTS`` texts have, sorted, and their ranks by frequency."""
+def common_shingles(rows: DataFrame, count: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles that several of about ``COMMON_TEXTS`` of the ``count`` rows (row, text) have, sorted, and their ranks by frequency."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for t in batch.column(0):
                 yield pa.RecordBatch.from_arrays([pa.array(shingle_hashes(t.as_py()).view(np.int64))], names=["shingle"])
 
-    some = texts.where(F.xxhash64("node") <= common.hash_share(min(1.0, COMMON_TEXTS / max(1, count)))).select("text")
+    some = rows.where(F.xxhash64("row") <= common.hash_share(min(1.0, COMMON_TEXTS / max(1, count)))).select("text")
     counts = some.mapInArrow(run, "shingle long").groupBy("shingle").agg(F.count("*").alias("n")).where("n > 2").orderBy(F.desc("n"), "shingle").limit(COMMON)
     found = counts.collect()  # at most COMMON rows
     values = np.array([r["shingle"] for r in found], dtype=np.int64).view(np.uint64)
@@ -410,105 +448,147 @@ def common_shingles(texts: DataFrame, count: int) -> tuple[np.ndarray, np.ndarra
     return values[order], ranks[order].copy()
 
 
-def filed(texts: DataFrame, count: int, similar: float) -> DataFrame:
-    """(shingle, node, n, at): the files of the texts' first shingles that have more than one text."""
-    spark = texts.sparkSession
-    shared = spark.sparkContext.broadcast(common_shingles(texts, count))
+_FILE = "shingle long, place long, node long"
+
+
+def filed(read: DataFrame) -> DataFrame:
+    """(shingle, place, node): the files of the first shingles of ``read`` (node, n, prefix) that have more than one text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for node, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                hashes = shingle_hashes(text.as_py())
-                first = prefix(hashes, *shared.value, similar)
-                yield _batch(ROW, first.view(np.int64), np.full(len(first), node), np.full(len(first), len(hashes)), np.arange(len(first)))
+            node, at = np.unique(batch.column(0).to_numpy(zero_copy_only=False), return_index=True)
+            firsts = [np.frombuffer(batch.column(2)[i].as_py(), dtype=np.int64) for i in at.tolist()]
+            sizes = np.array(list(map(len, firsts)), dtype=np.int64)
+            if not sizes.sum():
+                continue
+            own = np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes)
+            n = batch.column(1).to_numpy(zero_copy_only=False)[at].astype(np.int64)
+            yield _batch(_FILE, np.concatenate(firsts), np.repeat(n << 32, sizes) | own, np.repeat(node, sizes))
 
     def several(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        # a row that the table repeats is one member
-        rows = rows[np.concatenate([[True], np.any(rows[1:, :2] != rows[:-1, :2], axis=1)])]
+        # a text that the table repeats is one member
+        rows = rows[np.concatenate([[True], np.any(rows[1:] != rows[:-1], axis=1)])]
         same = rows[1:, 0] == rows[:-1, 0]
         kept = rows[np.concatenate([[False], same]) | np.concatenate([same, [False]])]
         if len(kept):
-            yield _batch(ROW, *kept.T)
+            yield _batch(_FILE, *kept.T)
+
+    return common.stored(_by_file(read.select("node", "n", "prefix").mapInArrow(run, _FILE), ["shingle", "place", "node"], several, _FILE), "simhash-shingles")
+
 
-    ROW = "shingle long, node long, n long, at long"
-    rows = texts.select("node", "text").mapInArrow(run, ROW)
-    return common.stored(_by_file(rows, ["shingle", "node", "n", "at"], ["n", "node"], several, ROW), "simhash-shingles")
+_PAIR = "a long, b long"
 
 
-def candidates(files: DataFrame, group: str, similar: float, reach: int | None = None) -> DataFrame:
-    """(a, b): pairs of nodes of different groups that may be similar, each once."""
-    PAIR = "a long, b long"
+def candidates(files: DataFrame, nodes: DataFrame, group: str, similar: float, reach: int | None = None) -> DataFrame:
+    """(a, b): pairs of nodes of different groups that may be similar, each once.
+
+    ``nodes`` (node, the group, odd) has the sketch of each node; a pair leaves its file only if their sketches allow it.
+    """
+    sketch = [f"w{i}" for i in range(WORDS)]
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        for a, b in pairs_in(rows[:, 0], rows[:, 1], rows[:, 2], rows[:, 3], rows[:, 4], similar, reach):
+        sketches = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)  # of signed numbers, the bits of their amounts would count
+        for a, b in pairs_in(rows[:, 0], rows[:, 2], rows[:, 1], rows[:, 3], sketches, similar, reach):
             held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
             size += len(a)
             if size >= 1 << 20:
                 held = [np.unique(np.concatenate(held, axis=1), axis=1)]
                 size = held[0].shape[1]
                 if size >= 1 << 19:
-                    yield _batch(PAIR, *held[0])
+                    yield _batch(_PAIR, *held[0])
                     held, size = [], 0
         if size:
-            yield _batch(PAIR, *np.unique(np.concatenate(held, axis=1), axis=1))
+            yield _batch(_PAIR, *np.unique(np.concatenate(held, axis=1), axis=1))
 
-    rows = files.withColumn("__group", F.col(group))
-    return _by_file(rows, ["shingle", "node", "n", "at", "__group"], ["n", "node"], work, PAIR).distinct()
+    rows = files.join(nodes.select("node", F.col(group).alias("group"), *(F.col("odd")[i].alias(w) for i, w in enumerate(sketch))), "node")
+    return _by_file(rows, ["shingle", "place", "node", "group"], work, _PAIR, sketch).distinct()
 
 
-def verified(pairs: DataFrame, nodes: DataFrame, texts: DataFrame, similar: float) -> DataFrame:
+def _where_both(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, of_text: Callable[[str | None], bytes], decide: Callable[[bytes, bytes], bool], broadcast_rows: int) -> DataFrame:
+    """The pairs (a, b) for which ``decide`` is true of what ``of_text`` makes of both texts.
+
+    ``pairs`` is stored; ``nodes`` (node, row) says which of the ``rows`` (row, text) has a node's text.  Up to
+    ``broadcast_rows`` pairs are broadcast, so that only their own texts' results are shuffled; more of them are joined.
+    """
+    hint = F.broadcast if pairs.count() <= broadcast_rows else lambda df: df
+    ends = pairs.select(F.explode(F.array("a", "b")).alias("node"), "a", "b")
+    asked = ends.select("node").distinct().join(nodes.select("node", "row"), "node")
+
+    def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in common.slices(batch, "text", 1 << 20):
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([of_text(t.as_py()) for t in part.column(1)], pa.binary())], names=["node", "made"])
+        common.release()
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        before: tuple = (None, None, None, b"")
+        for batch in batches:
+            found = []
+            for a, b, node, made in zip(*(batch.column(i).to_pylist() for i in range(3)), batch.column(3)):
+                made = made.as_py()
+                # a row that the table repeats is there twice
+                if before[:2] == (a, b) and before[2] != node and decide(before[3], made):
+                    found.append((a, b))
+                before = a, b, node, made
+            yield _batch(_PAIR, *np.array(found, dtype=np.int64).reshape(-1, 2).T)
+        common.release()
+
+    texts = rows.join(hint(asked), "row").select("node", "text").mapInArrow(make, "node long, made binary")
+    met = texts.join(hint(ends), "node").select("a", "b", "node", "made")
+    dealt = met.repartition(common.shuffle_partitions(pairs.sparkSession), "a", "b").sortWithinPartitions("a", "b", "node")
+    return dealt.mapInArrow(meet, _PAIR).distinct()
+
+
+def verified(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, similar: float, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """The pairs (a, b) whose texts share at least ``similar`` of all their shingles.
 
-    ``nodes`` (node, counts) has the counts of the buckets, which set pairs aside that cannot be similar; ``texts``
-    (node, text) has the texts, perhaps more than once.
+    Sketches of as many bits as shingles set pairs aside that cannot be similar; all shingles decide on the others.
     """
 
-    @F.arrow_udf("boolean")
-    def possible(x: pa.Array, y: pa.Array, n: pa.Array, m: pa.Array) -> pa.Array:
-        a, b = (np.frombuffer(b"".join(c.to_pylist()), dtype=np.uint8).reshape(-1, BUCKETS).astype(np.int64) for c in (x, y))
-        n, m = (c.to_numpy(zero_copy_only=False).astype(np.int64) for c in (n, m))
-        # what is not common to both is at least the difference of the counts
-        return pa.array((n + m - np.abs(a - b).sum(axis=1)) / 2 >= least_common(n, m, similar))
+    def sketch(text: str | None) -> bytes:
+        hashes = shingle_hashes(text)
+        return len(hashes).to_bytes(8, "little") + odd_sketch(hashes).tobytes()
 
-    @F.arrow_udf("double")
-    def share(x: pa.Array, y: pa.Array) -> pa.Array:
-        return pa.array([likeness(i.as_py(), j.as_py(), None) for i, j in zip(x, y)], pa.float64())
+    def possible(x: bytes, y: bytes) -> bool:
+        n, m = (int.from_bytes(v[:8], "little") for v in (x, y))
+        apart = least_difference(*(np.frombuffer(v, dtype=np.uint64, offset=8) for v in (x, y)))
+        return (n + m - apart) / 2 >= least_common(n, m, similar)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for part in common.slices(batch, "text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([sketch(t.as_py(), count=None) for t in part.column(1)], pa.binary())], names=["node", "shingles"])
+    def share(x: bytes, y: bytes) -> bool:
+        return likeness(np.frombuffer(x, dtype=np.uint64), np.frombuffer(y, dtype=np.uint64)) >= similar
 
-    side = lambda df, name, **to: df.select(F.col("node").alias(name), *(F.col(k).alias(v) for k, v in to.items()))
-    bounded = pairs.join(side(nodes, "a", counts="x", n="n"), "a").join(side(nodes, "b", counts="y", n="m"), "b").where(possible("x", "y", "n", "m")).select("a", "b")
-    bounded = common.stored(bounded, "simhash-pairs")
-    asked = bounded.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    whole = common.stored(texts.join(asked, "node", "left_semi").groupBy("node").agg(F.first("text").alias("text")).mapInArrow(run, "node long, shingles binary"), "simhash-whole")
-    return bounded.join(side(whole, "a", shingles="x"), "a").join(side(whole, "b", shingles="y"), "b").where(share("x", "y") >= similar).select("a", "b")
+    pairs = common.stored(pairs, "simhash-pairs")
+    left = common.stored(_where_both(pairs, nodes, rows, sketch, possible, broadcast_rows), "simhash-possible")
+    found = common.stored(_where_both(left, nodes, rows, lambda t: shingle_hashes(t).tobytes(), share, broadcast_rows), "simhash-verified")
+    common.forget(pairs)
+    common.forget(left)
+    return found
 
 
-def similar_links(nodes: DataFrame, texts: DataFrame, near: DataFrame, similar: float = SIMILAR) -> DataFrame:
+def similar_links(read: DataFrame, nodes: DataFrame, rows: DataFrame, near: DataFrame, similar: float = SIMILAR, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(a, b): links of fingerprints that join all texts which share at least ``similar`` of their shingles.
 
-    ``nodes`` (node, fp, n, counts) has one row per distinct set of shingles, ``texts`` (node, text) their texts, ``near`` (a, b)
-    other links of fingerprints.  Texts are filed under their first shingles, rare ones first, where any two
-    similar texts meet.  Neighbours in a file are verified first; then all pairs are that no link joins yet.
+    ``read`` (node, n, prefix) has the first shingles of every text, ``nodes`` (node, row, fp, odd) one row per distinct set of
+    shingles with its sketch, ``rows`` (row, text) the texts, ``near`` (a, b) other links of fingerprints.  Texts are filed under
+    their first shingles, rare ones first, where any two similar texts meet.  Neighbours in a file are verified
+    first; then all pairs are that no link joins yet.
     """
-    count = nodes.count()
-    files = filed(texts, count, similar)
+    files = filed(read)
     fps = nodes.select("node", "fp")
 
     def of_fps(pairs: DataFrame) -> DataFrame:
         by = lambda name: fps.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
         return pairs.join(by("a"), "a").join(by("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
-    first = common.stored(of_fps(verified(candidates(files, "node", similar, 1), nodes, texts, similar)), "simhash-neighbours")
+    first = common.stored(of_fps(verified(candidates(files, nodes, "node", similar, 1), nodes, rows, similar, broadcast_rows)), "simhash-neighbours")
     linked = components(near.union(first)).withColumnRenamed("node", "fp")
-    roots = fps.join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"))
-    rest = candidates(files.join(roots, "node"), "root", similar)
-    return common.stored(first.union(of_fps(verified(rest, nodes, texts, similar))), "simhash-similar")
+    roots = nodes.select("node", "fp", "odd").join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "odd")
+    rest = candidates(files, roots, "root", similar)
+    found = common.stored(first.union(of_fps(verified(rest, nodes, rows, similar, broadcast_rows))), "simhash-similar")
+    common.forget(files)
+    return found
 
 
 def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, **how: int) -> DataFrame:
@@ -517,9 +597,11 @@ def classes(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: i
     The smallest id of a class comes from partial minima, and rows get it by a join in which
     the other side has one row per fingerprint, so a hot fingerprint can be split.
     """
-    fps = common.stored(fingerprints(docs, text, id_col, size), "simhash")
-    low = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
-    named = common.stored(low.join(grouped(fps, max_bits, **how), "fp"), "simhash-classes")
+    with common.scratch(docs.sparkSession) as kept:
+        fps = common.stored(fingerprints(docs, text, id_col, size), "simhash")
+        low = fps.groupBy("fp").agg(F.min(id_col).alias("low"))
+        named = common.stored(low.join(grouped(fps, max_bits, **how), "fp"), "simhash-classes")
+        kept += [fps, named]
     roots = named.groupBy("root").agg(F.min("low").alias("component_id"))
     return fps.join(named.join(roots, "root").select("fp", "component_id"), "fp").select(id_col, "fp", "component_id")
 
@@ -528,47 +610,68 @@ def hex_fingerprint(fp: str = "fp"):
     return F.lower(F.lpad(F.hex(fp), 16, "0"))
 
 
-def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, similar: float | None = SIMILAR, **how: int) -> DataFrame:
+def deduplicated(docs: DataFrame, text: str = "text", id_col: str = "doc_id", size: int = 3, max_bits: int = 2, similar: float | None = SIMILAR, broadcast_rows: int = BROADCAST_ROWS, **how: int) -> DataFrame:
     """One row of each group: that of its smallest id, null ids last; of equal rows, one.
 
     Groups are joined by fingerprints that differ in at most ``max_bits`` bits, all of which are found, and unless
     ``similar`` is None by texts that share that much of their five-word shingles, all of which are found too.
-    A row is known by its id and a hash of all its values, so ids need not be unique.
+    A row is known by its id and a hash of all its values, so ids need not be unique.  The texts are read once for
+    fingerprints and first shingles, and those of candidate pairs again; what is shuffled of them are hashes.
     """
+    with common.small_batches(docs.sparkSession), common.scratch(docs.sparkSession) as kept:
+        return _deduplicated(kept, docs, text, id_col, size, max_bits, similar, broadcast_rows, **how)
+
+
+def _deduplicated(stored: list[DataFrame], docs: DataFrame, text: str, id_col: str, size: int, max_bits: int, similar: float | None, broadcast_rows: int, **how: int) -> DataFrame:
+    """What is returned reads ``docs`` and the two frames that are put into ``stored``, without Python."""
+    spark = docs.sparkSession
+    columns = [common.column(c) for c in docs.columns]
+    row, key = F.xxhash64(*columns), F.coalesce(common.column(id_col).cast("long"), F.lit(-(2**63)))
+    rows = docs.select(common.column(id_col).cast("long").alias("id"), row.alias("row"), common.column(text).cast("string").alias("text"))
+    shared = spark.sparkContext.broadcast(common_shingles(rows, docs.count()) if similar is not None else None)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [t.as_py() for t in batch.column(2)]
-            values = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64)
-            sets = [shingle_hashes(t) if similar is not None else values[:0] for t in texts]
-            nodes = np.array([_hash(x.tobytes()) for x in sets], dtype=np.uint64)
-            columns = [batch.column(0), batch.column(1), pa.array(values.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(list(map(bucket_counts, sets)), pa.binary())]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "row", "fp", "node", "n", "counts"])
-
-    row = F.xxhash64(*docs.columns)
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), row.alias("row"), F.col(text).alias("__text"))
-    fps = common.stored(rows.mapInArrow(run, "id long, row long, fp long, node long, n long, counts binary"), "simhash")
+            for part in common.slices(batch, "text", 4 << 20):
+                texts = part.column(2).to_pylist()
+                values = np.array([fingerprint(t, size) for t in texts], dtype=np.uint64)
+                sets = [shingle_hashes(t) if similar is not None else values[:0] for t in texts]
+                nodes = np.array([_hash(x.tobytes()) for x in sets], dtype=np.uint64)
+                firsts = [prefix(x, *shared.value, similar).tobytes() if similar is not None else b"" for x in sets]
+                odd = [odd_sketch(x, 64 * WORDS).view(np.int64).tolist() for x in sets]
+                found = [pa.array(values.view(np.int64)), pa.array(nodes.view(np.int64)), pa.array(list(map(len, sets)), pa.int64()), pa.array(firsts, pa.binary()), pa.array(odd, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), *found], names=["id", "row", "fp", "node", "n", "prefix", "odd"])
+        common.release()
+
+    read = common.stored(rows.mapInArrow(run, "id long, row long, fp long, node long, n long, prefix binary, odd array<long>"), "simhash-read")
+    fps = common.stored(read.select("id", "row", "fp", "node", "n"), "simhash")
     more = None
     if similar is not None:
         some = fps.where("n > 0")
-        nodes = common.stored(some.groupBy("node").agg(F.min(F.struct("row", "fp", "n", "counts")).alias("s")).select("node", "s.*"), "simhash-nodes")
-        texts = docs.select(row.alias("row"), F.col(text).alias("text")).join(nodes.select("row", "node"), "row").select("node", "text")
+        own = read.where("n > 0").groupBy("node").agg(F.min(F.struct("row", "fp")).alias("s"), F.first("odd").alias("odd"))
+        nodes = common.stored(own.select("node", "s.*", "odd"), "simhash-nodes")
         # equal sets of shingles may have several fingerprints
         equal = some.select("node", F.col("fp").alias("a")).distinct().join(nodes.select("node", F.col("fp").alias("b")), "node").where("a <> b").select("a", "b")
 
         def more(edges: DataFrame) -> DataFrame:
             near = edges.union(equal)
-            return near.union(similar_links(nodes, texts, near, similar))
+            return near.union(similar_links(read.where("n > 0"), nodes, rows.select("row", "text"), near, similar, broadcast_rows))
 
+    classes_ = common.stored(grouped(fps.select("fp"), max_bits, more, **how), "simhash-groups")
+    common.forget(read)
     order = F.struct(F.col("id").isNull().alias("none"), "id", "row")
     low = fps.groupBy("fp").agg(F.min(order).alias("low"))
-    roots = low.join(grouped(fps.select("fp"), max_bits, more, **how), "fp").groupBy("root").agg(F.min("low").alias("low")).select("low.id", "low.row")
-    kept = roots.select(F.col("id").alias("__id"), F.col("row").alias("__row"))
-    found = docs.withColumn("__row", row).join(kept, ["__row"]).where(F.col("__id").eqNullSafe(F.col(id_col).cast("long"))).select(*docs.columns)
+    roots = low.join(classes_, "fp").groupBy("root").agg(F.min("low").alias("low"))
+    named = classes_.join(roots, "root").select("fp", F.col("low.id").alias("low_id"), F.col("low.row").alias("low_row"))
+    gone = fps.join(named, "fp").where(~(F.col("id").eqNullSafe(F.col("low_id")) & (F.col("row") == F.col("low_row"))))
+    dropped_row, dropped_id = common.free_names(docs, "row", "id")
+    dropped = common.stored(gone.select(F.col("row").alias(dropped_row), F.coalesce("id", F.lit(-(2**63))).alias(dropped_id)).distinct(), "simhash-dropped")
+    hint = F.broadcast if dropped.count() <= broadcast_rows else lambda df: df
+    found = docs.join(hint(dropped), (row == F.col(dropped_row)) & (key == F.col(dropped_id)), "left_anti")
     # equal rows, if any, are all still there; a row that occurs once needs no comparison
-    copies = common.stored(fps.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select("row").distinct().withColumnRenamed("row", "__row"), "simhash-copies")
+    copies = common.stored(fps.groupBy("id", "row").agg(F.count("*").alias("n")).where("n > 1").select(F.col("row").alias(dropped_row)).distinct(), "simhash-copies")
+    stored += [dropped, copies]
     if copies.isEmpty():
         return found
-    again = found.withColumn("__row", row).join(copies, "__row", "left_semi").select(*docs.columns)
-    alone = found.withColumn("__row", row).join(copies, "__row", "left_anti").select(*docs.columns)
-    return alone.union(again.dropDuplicates())
+    again = found.join(copies, row == F.col(dropped_row), "left_semi")
+    return found.join(copies, row == F.col(dropped_row), "left_anti").union(again.dropDuplicates())
