@@ -11,6 +11,11 @@ the next stage's ``docs``.  All stages but the last return the columns they were
 5. packing: one row per piece of a document, with its sequence and its place there
 
 A stage learns from what its predecessor kept; labels are read from ``sf_dir``.
+
+Nulls: a null or blank text goes at the first stage, as does one without letters; a null id is kept like any other, and is the smallest of
+its group only if all are null.  Ties: of rows of equal id that are near-duplicates, the one of smallest hash of all values stays;
+of equal rows one.  Texts of any length are read whole.  Empty tables give an empty result.  Other columns, whatever
+their names, are kept as they are up to the last stage, which does not read them; ``n_chars``, if there, follows the text.
 """
 
 from __future__ import annotations
@@ -27,16 +32,18 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts whose language is determined with a score of at least ``LEAST_LANGUAGE_SCORE``."""
     ship(spark)
     model = langid.train(docs)
-    found = langid.predict(docs, model, out="__language")
-    keep = (F.col("__language.lang_pred") != langid.UNDETERMINED) & (F.col("__language.score") >= LEAST_LANGUAGE_SCORE)
-    return found.where(keep).select(*docs.columns)
+    (out,) = common.free_names(docs, "language")
+    found = langid.predict(docs, model, out=out)
+    keep = (F.col(f"{out}.lang_pred") != langid.UNDETERMINED) & (F.col(f"{out}.score") >= LEAST_LANGUAGE_SCORE)
+    return found.where(keep).drop(out)
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep texts that the rules and the ratio keep."""
     ship(spark)
     table = quality.fit(docs, common.table(spark, sf_dir, "labels"))
-    return quality.judge(docs, table, out="__judged").where("__judged.kept").select(*docs.columns)
+    (out,) = common.free_names(docs, "judged")
+    return quality.judge(docs, table, out=out).where(F.col(f"{out}.kept")).drop(out)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +58,7 @@ def secret_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     clean = secrets.redact(docs, tokens.vocabulary(secrets.VOCABULARY), split_pattern())
     if "n_chars" in docs.columns:
         clean = clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return clean.select(*docs.columns)
+    return clean
 
 
 def best_fit(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -68,12 +75,16 @@ STAGES = [
     ("best-fit packing", best_fit),
 ]
 
-#: No stage can be stated in SQL; tests hold the pipeline against a brute-force version.
+#: No stage can be stated in SQL; tests hold every stage against a brute-force version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = common.table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        with common.scratch(spark) as kept:
+            found = common.stored(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+            kept.append(found)
+        common.forget(docs)
+        docs = found
     return STAGES[-1][1](spark, docs, sf_dir)
