@@ -32,7 +32,7 @@ from . import common
 from .tokens import byte_characters
 
 MULTI_BPE = "byte_bpe_multi_50k.tiktoken"
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: Texts are split into pre-tokens, each an object, for about so many bytes at a time.
 SLICE_BYTES = 8 << 20
 LONGEST = 64

@@ -48,6 +48,7 @@ def pieces(docs: DataFrame, vocab: str, capacity: int = CAPACITY, text: str = "t
                         own = data[at : at + 4 * capacity]
                         rows.append((name, piece, at // 4, len(own) // 4, zlib.crc32(own)))
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()))], names=["__id", "piece", "start", "length", "ids_crc32"])
+        common.release()
 
     rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
     return rows.mapInArrow(run, "__id long, piece int, start long, length long, ids_crc32 long").withColumnRenamed("__id", id_col)

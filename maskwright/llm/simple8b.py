@@ -23,11 +23,13 @@ Files are rows (shard, block, first_id, n_ids, doc_ids, payload) of a Parquet
 folder, written by Spark's committer: an executor lost while writing leaves no
 half block behind, and readers need no file system but Spark's.  Shards are ranges of
 document ids in order, blocks count from 0 in a shard, ``first_id`` is the
-number of ids before the block in its shard.
+number of ids before the block in its shard.  An id that many rows have (a null, say) is several
+shards, by a hash of the text.
 
 Nulls: a null text has no ids but the end id; a null document id sorts first and is
-kept.  Repeated documents are kept, each with its own ids.  Empty tables give an
-empty folder.  Other columns are neither read nor kept.
+kept.  Ties: documents of equal ids are in the order of a hash of their texts.  Repeated documents are kept, each with its own
+ids.  Texts of any length are encoded whole.  Empty tables give an empty folder.  Other columns, whatever their names, are
+neither read nor kept.
 """
 
 from __future__ import annotations
@@ -177,19 +179,40 @@ class Block:
         return unpack(words, self.escapes, end - base)[start - base :]
 
 
+#: Shards per shuffle partition.
+SHARDS = 4
+
+
+def _narrow(data: bytes) -> bytes:
+    """Ids as little-endian unsigned 16-bit integers where all fit, else as 32-bit ones; the first byte is the width."""
+    ids = np.frombuffer(data, dtype="<u4")
+    return b"\x02" + ids.astype("<u2").tobytes() if not len(ids) or ids.max() < 1 << 16 else b"\x04" + data
+
+
+def _widened(data: bytes) -> np.ndarray:
+    return np.frombuffer(data, dtype="<u2" if data[0] == 2 else "<u4", offset=1)
+
+
 def write_ids(docs: DataFrame, path: str, vocab: str, text: str = "text", id_col: str = "doc_id", end: int | None = tokens.END_ID) -> None:
     """Encode every whole text and write the files to the folder ``path``.
 
-    Only the texts are shuffled, once, into ranges of ids; encoding, packing and
-    writing follow in the same task, a block at a time.
+    Texts are encoded where they are read; their ids alone are shuffled, once, into ranges of document ids, where
+    packing and writing follow in the same task, a block at a time.
     """
     spark = docs.sparkSession
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.word_encoder(vocab)
+        for batch in batches:
+            for part in common.slices(batch, "text"):
+                ids = list(map(_narrow, encoder.encode(part.column(2), end)))
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["id", "hash", "ids"])
+        common.release()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         names: list[int | None] = []
-        size = block = first = 0
+        size = block = first = shard = 0
 
         def done() -> pa.RecordBatch:
             return pa.RecordBatch.from_arrays(
@@ -197,24 +220,27 @@ def write_ids(docs: DataFrame, path: str, vocab: str, text: str = "text", id_col
                 names=["shard", "block", "first_id", "n_ids", "doc_ids", "payload"],
             )
 
-        shard = 0
         for batch in batches:
-            for part in common.slices(batch, "__text"):
-                shard = part.column(2)[0].as_py()
-                for name, data in zip(part.column(0).to_pylist(), encoder.encode(part.column(1), end)):
-                    ids = np.frombuffer(data, dtype="<u4")
-                    if held and size + len(ids) > BLOCK_IDS:
-                        yield done()
-                        block, first, size, held, names = block + 1, first + size, 0, [], []
-                    held.append(ids)
-                    names.append(name)
-                    size += len(ids)
+            for own, name, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                ids = _widened(data.as_py())
+                if held and (own != shard or size + len(ids) > BLOCK_IDS):
+                    yield done()
+                    block, first, size, held, names = block + 1, first + size, 0, [], []
+                if own != shard:
+                    shard, block, first = own, 0, 0
+                held.append(ids)
+                names.append(name)
+                size += len(ids)
         if held:
             yield done()
 
-    rows = docs.select(F.col(id_col).cast("long").alias("__id"), F.col(text).alias("__text"))
-    ranged = rows.repartitionByRange(common.shuffle_partitions(spark), "__id").sortWithinPartitions("__id", "__text")
-    files = ranged.withColumn("__shard", F.spark_partition_id()).mapInArrow(run, "shard int, block long, first_id long, n_ids long, doc_ids array<long>, payload binary")
+    key = F.coalesce(common.column(id_col).cast("long"), F.lit(common.FIRST_KEY))
+    cuts = common.key_cuts(docs.select(key.alias("key")), SHARDS * common.shuffle_partitions(spark))
+    body = common.column(text).cast("string")
+    rows = docs.select(common.column(id_col).cast("long").alias("id"), F.xxhash64(body).alias("hash"), body.alias("text"))
+    encoded = rows.mapInArrow(encode, "id long, hash long, ids binary").withColumn("key", F.coalesce("id", F.lit(common.FIRST_KEY)))
+    dealt = encoded.withColumn("shard", common.range_of(cuts, "key", "hash")).repartition(common.shuffle_partitions(spark), "shard")
+    files = dealt.sortWithinPartitions("shard", "key", "hash").select("shard", "id", "ids").mapInArrow(run, "shard int, block long, first_id long, n_ids long, doc_ids array<long>, payload binary")
     files.write.option("compression", "uncompressed").parquet(path)
 
 

@@ -27,7 +27,7 @@ def byte_characters() -> list[str]:
 
 
 #: Chunks that a worker remembers; beyond it, those not met again since are forgotten at the next turn.
-REMEMBERED = 300_000
+REMEMBERED = 150_000
 #: A longer chunk is encoded, but not remembered.
 LONGEST = 64
 #: A control character, which is a token by itself between blanks.
