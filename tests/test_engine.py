@@ -234,8 +234,7 @@ def matched_plainly(text, terms):
     return [(c[0], c[1], c[2]) for c in resolved_plainly(found_)]
 
 
-@pytest.mark.parametrize("size", [1, 200, 201, 5000])
-@pytest.mark.parametrize("frame", [False, True])
+@pytest.mark.parametrize(("size", "frame"), [(1, True), (200, True), (201, True), (5000, True), (200, False), (201, False)])
 def test_one_meaning_at_any_size(spark, size, frame):
     """The same findings whether the dictionary is part of the plan or joined; ties fall to its order; null and repeated block ids."""
     rng = random.Random(size)
