@@ -40,7 +40,7 @@ columns of the input; ``deduplicated`` returns them as they are, whatever their
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
-from functools import partial
+from functools import partial, reduce
 from itertools import combinations
 
 import numpy as np
@@ -312,6 +312,8 @@ COMMON = 1 << 16
 BROADCAST_ROWS = 250_000
 #: 64-bit words of the sketches that are compared in files.
 WORDS = 8
+#: Rounds in which texts are linked to neighbours before all pairs are looked at, files in which a text has neighbours in each, and how far away they may be.
+ROUNDS, NEIGHBOURS, REACH = 2, 2, 64
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.int64(0xFFFFFFFF)
@@ -572,21 +574,30 @@ def similar_links(read: DataFrame, nodes: DataFrame, rows: DataFrame, near: Data
 
     ``read`` (node, n, prefix) has the first shingles of every text, ``nodes`` (node, row, fp, odd) one row per distinct set of
     shingles with its sketch, ``rows`` (row, text) the texts, ``near`` (a, b) other links of fingerprints.  Texts are filed under
-    their first shingles, rare ones first, where any two similar texts meet.  Neighbours in a file are verified
-    first; then all pairs are that no link joins yet.
+    their first shingles, rare ones first, where any two similar texts meet.  Neighbours in a few files of each text are verified
+    first, which joins groups of near copies by about as many pairs as they have members; then all pairs are that no link joins yet.
     """
     files = filed(read)
     fps = nodes.select("node", "fp")
+    found: list[DataFrame] = []
 
     def of_fps(pairs: DataFrame) -> DataFrame:
         by = lambda name: fps.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
         return pairs.join(by("a"), "a").join(by("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
-    first = common.stored(of_fps(verified(candidates(files, nodes, "node", similar, 1), nodes, rows, similar, broadcast_rows)), "simhash-neighbours")
-    linked = components(near.union(first)).withColumnRenamed("node", "fp")
-    roots = nodes.select("node", "fp", "odd").join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "odd")
-    rest = candidates(files, roots, "root", similar)
-    found = common.stored(first.union(of_fps(verified(rest, nodes, rows, similar, broadcast_rows))), "simhash-similar")
+    def link(some: DataFrame, reach: int | None) -> None:
+        linked = components(reduce(DataFrame.union, found, near)).withColumnRenamed("node", "fp")
+        roots = nodes.select("node", "fp", "odd").join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "odd")
+        pairs = verified(candidates(some, roots, "root", similar, reach), nodes, rows, similar, broadcast_rows)
+        found.append(common.stored(of_fps(pairs), "simhash-similar"))
+
+    for turn in range(ROUNDS):
+        # few files of each text: at first those of its rarest shared shingles, then others; a text has no more files than first shingles
+        order = "place & 4294967295" if turn == 0 else f"xxhash64(shingle, {turn})"
+        own = files.selectExpr("*", f"row_number() over (partition by node order by {order}, shingle) as k").where(F.col("k") <= NEIGHBOURS).drop("k")
+        link(own, REACH)
+    link(files, None)
+    found = common.stored(reduce(DataFrame.union, found), "simhash-similar")
     common.forget(files)
     return found
 
