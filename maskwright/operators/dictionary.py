@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 import uuid
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -16,6 +16,8 @@ from maskwright.schema import CANDIDATE, DICTIONARY, ENTITY_TYPES, MAX_NOTE, MAX
 SOURCE = "pii-dictionary"
 #: A dictionary of at most so many terms becomes part of the plan; a larger one is joined.
 PLAN_TERMS = 200
+#: Up to so many terms are sent to every row, which looks for each; filing texts under their runs costs as much as about so many searches.
+SCAN_TERMS = 1_000
 #: Up to so many terms of a join are broadcast, so that runs of text are not shuffled.
 BROADCAST_TERMS = 200_000
 #: Parts into which a run of characters that many texts have is dealt where terms are not broadcast.
@@ -73,7 +75,22 @@ def listed(dictionary: DataFrame) -> DataFrame:
     return dictionary.where(F.length("term") > 0).select(t.ascii_key(F.col("term")).alias("key"), F.col("id").cast("long").alias("seq"), "term", "entity_type")
 
 
-def match_pairs(text: Column, pairs: Column) -> Column:
+def _term_fold(pair: Column) -> Column:
+    return folded(pair["term"])
+
+
+def count_pairs(text: Column, pairs: Column, fold: Callable[[Column], Column] = _term_fold) -> Column:
+    """array<struct<term,hits>> of the ``pairs`` that the text holds: how many candidates each has, counted without making them."""
+
+    def hits(whole: Column, p: Column) -> Column:
+        rest = F.replace(whole, fold(p), F.lit(""))
+        return F.struct(p["term"].alias("term"), ((F.octet_length(whole) - F.octet_length(rest)) / F.octet_length(fold(p))).cast("long").alias("hits"))
+
+    held = F.transform(F.array(folded(t.unmarked(text))), lambda f: F.transform(F.filter(pairs, lambda p: F.contains(f, fold(p))), lambda p: hits(f, p)))
+    return F.element_at(held, 1)
+
+
+def match_pairs(text: Column, pairs: Column, fold: Callable[[Column], Column] = _term_fold) -> Column:
     """Candidates for an array of ``PAIR``, in their order.  The pattern differs by row."""
     clean = t.unmarked(text)
 
@@ -83,7 +100,7 @@ def match_pairs(text: Column, pairs: Column) -> Column:
         return _candidates(t.mark_spans(clean, quoted), p["entity_type"])
 
     # most files' terms are not in the block: a plain search settles that before a pattern is made
-    lower = F.element_at(F.transform(F.array(folded(clean)), lambda f: F.filter(pairs, lambda p: F.contains(f, folded(p["term"])))), 1)
+    lower = F.element_at(F.transform(F.array(folded(clean)), lambda f: F.filter(pairs, lambda p: F.contains(f, fold(p)))), 1)
     return F.flatten(F.transform(F.array_sort(lower), one))
 
 
@@ -113,6 +130,22 @@ def join_terms(blocks: DataFrame, text: str, terms: DataFrame, broadcast_terms:
     return matched.groupBy("text_key").agg(F.collect_set("pair").alias("pairs"))
 
 
+def with_pairs(rows: DataFrame, text: str, terms: DataFrame, out: str, key: str, scan_terms: int = SCAN_TERMS) -> DataFrame:
+    """``rows`` and ``out``: an array of ``PAIR`` and ``fold``, the folded term, for a dictionary (``listed``) of any size.
+
+    Up to ``scan_terms`` terms are all in every row's array, which is broadcast, and rows stay where they are; of more, a row has
+    those that ``join_terms`` finds by ``key``, a free name.
+    """
+    with_fold = f"{PAIR[:-1]},fold:string>"
+    if terms.limit(scan_terms + 1).count() <= scan_terms:
+        listed_ = terms.agg(F.collect_list(F.struct("key", "seq", "term", "entity_type", folded(F.col("term")).alias("fold")).cast(with_fold)).alias(out))
+        return rows.crossJoin(F.broadcast(listed_))
+    found = join_terms(rows, text, terms).withColumnsRenamed({"text_key": key, "pairs": out})
+    found = found.withColumn(out, F.transform(out, lambda p: F.struct(*(p[c].alias(c) for c in ("key", "seq", "term", "entity_type")), _term_fold(p).alias("fold")).cast(with_fold)))
+    joined = rows.withColumn(key, text_key(F.col(text))).join(found, key, "left").drop(key)
+    return joined.withColumn(out, F.coalesce(out, F.array().cast(f"array<{with_fold}>")))
+
+
 class Dictionary:
     """Terms in a Parquet folder that any executor can reach.
 

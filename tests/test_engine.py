@@ -268,6 +268,21 @@ def test_join_of_terms_without_broadcast(spark):
         assert {p["term"] for r in rows for p in r["pairs"]} >= {"common", "the", "run 7"}
 
 
+@pytest.mark.parametrize("scan_terms", [0, 1000])
+def test_counts_of_terms_need_no_candidates(spark, scan_terms):
+    """As many hits as candidates, from one row per text, whether terms are sent to all rows or joined."""
+    pool = ["éab", "aa", "b é", "σ", "İa", "極𠮷", "k", "ß", "\ue000", "nothing of it"]
+    texts = ["Éab aaaaa B É Σσς", "İaK kıa 極𠮷極𠮷", "ẞß \ue000 aa", "", None, "aa " * 500]
+    df = spark.createDataFrame(list(enumerate(texts)), "n int, text string")
+    terms = dictionary.listed(spark.createDataFrame([(i, w, "CUSTOM") for i, w in enumerate(pool)], "id long, term string, entity_type string"))
+    rows = dictionary.with_pairs(df, "text", terms, "pairs", "key", scan_terms)
+    assert rows.columns == ["n", "text", "pairs"] and rows.count() == len(texts)
+    counted = rows.select("n", F.explode(dictionary.count_pairs(F.col("text"), F.col("pairs"))).alias("c"))
+    one = spark.createDataFrame([(i, w) for i, w in enumerate(pool)], "seq long, term string").selectExpr("array(struct('' as key, seq, term, 'CUSTOM' as entity_type)) as pair", "term")
+    plainly = df.crossJoin(one).select("n", "term", F.size(dictionary.match_pairs(F.col("text"), F.col("pair"))).alias("hits")).where("hits > 0")
+    assert {(r["n"], *r["c"]) for r in counted.collect()} == {tuple(r) for r in plainly.collect()}
+
+
 @pytest.mark.parametrize("stored", [False, True])
 def test_dictionary_store(spark, tmp_path, stored):
     path = str(tmp_path / "terms") if stored else None
