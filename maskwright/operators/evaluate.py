@@ -105,7 +105,10 @@ def entity_scores(rows: DataFrame) -> DataFrame:
 
 
 def document_rates(rows: DataFrame) -> DataFrame:
-    """(slice, mode, samples, characters, gold, predicted, zero_miss_rate, no_false_positive_rate, false_positives_per_1000)."""
+    """(slice, mode, samples, characters, gold, predicted, zero_miss_rate, no_false_positive_rate, false_positives_per_1000, zero_miss, no_false_positive, false_positives).
+
+    Rates are rounded to six places; the counts that they are made of are exact.
+    """
     shared = {"samples": F.count("*"), "characters": F.sum("text_length"), "gold": F.sum(F.size("gold")), "predicted": F.sum(F.size("predicted"))}
     own = {}
     for mode in MODES:
@@ -113,9 +116,12 @@ def document_rates(rows: DataFrame) -> DataFrame:
             f"{mode}_0": F.bround(F.avg((F.size(f"{mode}_misses") == 0).cast("double")), 6),
             f"{mode}_1": F.bround(F.avg((F.size(f"{mode}_false") == 0).cast("double")), 6),
             f"{mode}_2": F.bround(ratio(F.sum(F.size(f"{mode}_false")) * 1000, F.sum("text_length")), 6),
+            f"{mode}_3": F.count_if(F.size(f"{mode}_misses") == 0),
+            f"{mode}_4": F.count_if(F.size(f"{mode}_false") == 0),
+            f"{mode}_5": F.sum(F.size(f"{mode}_false")),
         }
     agg = rows.groupBy("slice").agg(*(c.alias(n) for n, c in (shared | own).items()))
-    names = ("zero_miss_rate", "no_false_positive_rate", "false_positives_per_1000")
+    names = ("zero_miss_rate", "no_false_positive_rate", "false_positives_per_1000", "zero_miss", "no_false_positive", "false_positives")
     by_mode = F.array(*(F.struct(F.lit(m).alias("mode"), *(F.col(f"{m}_{i}").alias(n) for i, n in enumerate(names))) for m in MODES))
     return agg.select("slice", *shared, F.explode(by_mode).alias("m")).select("slice", *shared, "m.*")
 

@@ -113,6 +113,18 @@ def test_guards_lose_nothing(spark):
         assert [s["text"] for s in r["address"]] == [m[0] for m in re.finditer(detect.ADDRESS, x)]
 
 
+def test_rates_keep_exact_counts(spark):
+    """Six places of a rate do not give the count back where samples are many."""
+    span, n = "array(struct('URL' as entity_type, 0 as start, 5 as end))", 3_000_001
+    faulty = [f"if(id % {k} = 0, {span}, filter({span}, x -> false)) as {m}_{kind}" for m, k in (("exact", 7), ("overlap", 11)) for kind in ("misses", "false")]
+    rows = spark.range(n).selectExpr("'all' as slice", "200L as text_length", f"{span} as gold", f"{span} as predicted", *faulty)
+    got = {r["mode"]: r for r in evaluate.document_rates(rows).collect()}
+    for mode, k in (("exact", 7), ("overlap", 11)):
+        bad = -(-n // k)
+        assert [got[mode][c] for c in ("samples", "zero_miss", "no_false_positive", "false_positives")] == [n, n - bad, n - bad, bad]
+        assert got[mode]["zero_miss_rate"] == round((n - bad) / n, 6)
+
+
 @pytest.mark.parametrize(
     ("text", "cards"),
     [
