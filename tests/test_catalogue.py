@@ -46,3 +46,16 @@ def test_entry(spark):
         pytest.skip("no test tables")
     assert __spark_entry__.entry(spark).count() > 0
     assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
+
+
+@pytest.mark.parametrize("name", ["resolve_overlaps", "findings_by_type_source"])
+def test_types_without_a_twin(spark, tmp_path, name):
+    """Larger tables have text that rules without a twin find: digits like telephone numbers, dates, addresses on the web."""
+    texts = ["token 0641917ea4 55", "on 2024-01-02 see http://x.org/y or mail5@b.org", "+81-90-1234-5678 and 10.0.0.1", "555-9331 4913187196670932 53.121.55.90", "heit"]
+    spark.createDataFrame([(i, x, "src0", "en") for i, x in enumerate(texts)], "doc_id long, text string, source string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
+    df = catalogue.QUERIES[name](spark, str(tmp_path))
+    result = con.execute(catalogue.ORACLE_SQL[name])
+    columns = [d[0] for d in result.description]
+    assert rows(df.columns, df.collect()) == rows(columns, result.fetchall())
