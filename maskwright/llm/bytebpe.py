@@ -119,15 +119,14 @@ class ByteBpe:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
-_models: dict[tuple[str, str], ByteBpe] = {}
+def _read_model(path: str, pattern: str) -> ByteBpe:
+    with open(path, "rb") as f:
+        return ByteBpe(f.read(), pattern)
 
 
 def byte_bpe(path: str, pattern: str) -> ByteBpe:
     """The worker's model for a rank file."""
-    if (path, pattern) not in _models:
-        with open(path, "rb") as f:
-            _models[path, pattern] = ByteBpe(f.read(), pattern)
-    return _models[path, pattern]
+    return common.model(_read_model, path, pattern)
 
 
 def encode_column(docs: DataFrame, path: str, pattern: str, text: str = "text", out: str = "ids") -> DataFrame:

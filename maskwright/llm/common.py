@@ -8,7 +8,7 @@ import json
 import shutil
 import tempfile
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
 import pyarrow as pa
@@ -152,6 +152,36 @@ def small_batches(spark: SparkSession, rows: int = 1024) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
+_models: dict[tuple, object] = {}
+
+
+def model(make: Callable | None, *key):
+    """The worker's ``make(*key)``.  A worker has one at a time: those that earlier queries or stages left go, all of them if ``make`` is None."""
+    own = (make, *key)
+    if own not in _models:
+        if _models:
+            _models.clear()
+            release()
+        if make is None:
+            return None
+        _models[own] = make(*key)
+    return _models[own]
+
+
+def gathered(batches: Iterator[pa.RecordBatch], column: str, limit: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of up to about ``limit`` bytes of ``column``; larger ones are passed on as they are."""
+    held, size = [], 0
+    for batch in batches:
+        own = pa.compute.sum(pa.compute.binary_length(batch.column(batch.schema.get_field_index(column)))).as_py() or 0
+        if held and size + own > limit:
+            yield pa.concat_batches(held)
+            held, size = [], 0
+        held.append(batch)
+        size += own
+    if held:
+        yield pa.concat_batches(held)
+
+
 def release() -> None:
     """A worker lives on for other tasks and queries: memory that this task has freed goes back to the system."""
     pa.default_memory_pool().release_unused()

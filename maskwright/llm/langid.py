@@ -160,6 +160,7 @@ def sampled(docs: DataFrame, text: str, lang: str, id_col: str, docs_per_lang: i
 def train(labelled: DataFrame, text: str = "text", lang: str = "lang", id_col: str = "doc_id", docs_per_lang: int = DOCS_PER_LANG) -> Model:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words: dict[str, Counter] = {}
+        common.model(None)
         for batch in batches:
             for language, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words.setdefault(language, Counter()).update(words_in(t))
@@ -192,6 +193,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", out: str = "langu
 
     @F.arrow_udf("lang_pred string, score double")
     def scored(cols: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        common.model(None)
         scorer = Scorer(Model(*shared.value))
         for col in cols:
             found = [scorer.predict(t.as_py()) for t in col]

@@ -140,14 +140,9 @@ def redacted(text: str, spans: list[tuple[str, int, int]], by: str = "[REDACTED]
     return "".join(out) + text[at:]
 
 
-_scanners: dict[tuple, Scanner] = {}
-
-
 def scanner(*key) -> Scanner:
     """The worker's scanner for a rank file and a pattern."""
-    if key not in _scanners:
-        _scanners[key] = Scanner(*key)
-    return _scanners[key]
+    return common.model(Scanner, *key)
 
 
 _SPAN = pa.struct([("kind", pa.string()), ("start", pa.int32()), ("end", pa.int32())])

@@ -1361,3 +1361,21 @@ def test_pipeline_without_rows(spark, empty_dir):
 
 def test_rank_file_base64():
     assert bytebpe.read_ranks(base64.b64encode(b"ab") + b" 0\n") == {b"ab": 0}
+
+
+def test_a_worker_has_one_model():
+    """What an earlier stage left goes when the next asks for its own, or for none."""
+    first = common.model(dict, (("a", 1),))
+    assert common.model(dict, (("a", 1),)) is first
+    second = common.model(list, (1, 2))
+    assert second == [1, 2] and common.model(dict, (("a", 1),)) is not first
+    assert common.model(None) is None and not common._models
+
+
+def test_gathered_batches_have_the_same_rows():
+    texts = ["A" * n if n % 3 else None for n in range(200)]
+    whole = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(range(200))], names=["text", "n"])
+    batches = [whole.slice(at, 10) for at in range(0, 200, 10)]
+    found = list(common.gathered(iter(batches), "text", 4_000))
+    assert pa.Table.from_batches(found).to_pylist() == whole.to_pylist() and len(found) < 10
+    assert tokens._lowered(whole.column(0).slice(50, 20)).to_pylist() == [(x or "").lower() for x in texts[50:70]]
