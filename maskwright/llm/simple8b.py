@@ -179,6 +179,8 @@ class Block:
         return unpack(words, self.escapes, end - base)[start - base :]
 
 
+#: Bytes of text that are encoded at once: the more, the fewer words are met again in the next ones.
+GATHER_BYTES = 14 << 20
 #: Shards per shuffle partition.
 SHARDS = 4
 
@@ -203,8 +205,8 @@ def write_ids(docs: DataFrame, path: str, vocab: str, text: str = "text", id_col
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = tokens.word_encoder(vocab)
-        for batch in batches:
-            for part in common.slices(batch, "text"):
+        for batch in common.gathered(batches, "text", GATHER_BYTES):
+            for part in common.slices(batch, "text", GATHER_BYTES):
                 ids = list(map(_narrow, encoder.encode(part.column(2), end)))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(ids, pa.binary())], names=["id", "hash", "ids"])
         common.release()

@@ -16,6 +16,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from . import common
+
 #: Bytes that are printable Latin-1 characters stand for themselves, the others for U+0100 and up.
 _PRINTABLE = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
 
@@ -35,9 +37,6 @@ MARK = "\x01"
 #: Appended to every document.
 END_ID = 1
 
-_encoders: dict[str, "WordEncoder"] = {}
-
-
 def vocabulary(name: str) -> str:
     """Where a public vocabulary file is on this machine."""
     import public_tokenizers
@@ -52,6 +51,20 @@ WORD_BPE = "word_bpe_49k.json"
 _lines = re.compile(f"^(?:([A-Za-zÀ-ÖØ-öø-ÿ]{{1,{LONGEST}}})([.,]?)|(.*))$", re.MULTILINE).findall
 
 
+def _lowered(texts: pa.Array) -> pa.Array:
+    """The texts with A-Z in lower case, null ones empty (``pc.ascii_lower`` does not mind a slice's offset)."""
+    if texts.null_count:
+        texts = pc.fill_null(texts, "")
+    large = pa.types.is_large_string(texts.type)
+    width = np.int64 if large else np.int32
+    _, places, data = texts.buffers()
+    if not len(texts) or data is None:
+        return texts
+    edge = np.frombuffer(places, width, len(texts) + 1, texts.offset * np.dtype(width).itemsize)
+    body = pa.py_buffer(data[int(edge[0]) : int(edge[-1])].to_pybytes().lower())
+    return (pa.LargeStringArray if large else pa.StringArray).from_buffers(len(texts), pa.py_buffer(edge - edge[0]), body)
+
+
 class WordEncoder:
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -70,10 +83,7 @@ class WordEncoder:
     def encode(self, texts: pa.Array, end: int | None = END_ID) -> list[bytes]:
         """Per text its ids as little-endian unsigned 32-bit integers, ``end`` last; a null text is empty."""
         # A-Z in lower case from the start: the normaliser lowers all letters, and fewer distinct words are left
-        # (made anew rather than by pc.ascii_lower, which does not mind a slice's offset)
-        lowered = [t.encode().lower() if t else b"" for t in texts.to_pylist()]
-        chunks = pc.ascii_split_whitespace(pa.array(lowered, pa.string() if sum(map(len, lowered)) < 1 << 31 else pa.large_string()))
-        del lowered
+        chunks = pc.ascii_split_whitespace(_lowered(texts))
         words = chunks.flatten().dictionary_encode()
         place = words.indices.to_numpy(zero_copy_only=False)
         often = (np.bincount(place, minlength=len(words.dictionary)) > 1).tolist()
@@ -138,6 +148,4 @@ class WordEncoder:
 
 def word_encoder(path: str) -> WordEncoder:
     """The worker's encoder for a vocabulary file."""
-    if path not in _encoders:
-        _encoders[path] = WordEncoder(path)
-    return _encoders[path]
+    return common.model(WordEncoder, path)
