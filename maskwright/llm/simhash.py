@@ -312,8 +312,10 @@ COMMON = 1 << 16
 BROADCAST_ROWS = 250_000
 #: 64-bit words of the sketches that are compared in files.
 WORDS = 8
-#: Rounds in which texts are linked to neighbours before all pairs are looked at, files in which a text has neighbours in each, and how far away they may be.
-ROUNDS, NEIGHBOURS, REACH = 2, 2, 64
+#: Files before a file of a text that are known there, so that pairs which met in one of them are not named again.
+EARLIER = 4
+#: Files in which a text is linked to neighbours before all pairs are looked at, and how far away they may be.
+NEIGHBOURS, REACH = 2, 32
 
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _LOW = np.int64(0xFFFFFFFF)
@@ -378,12 +380,13 @@ def prefix(hashes: np.ndarray, common_ones: np.ndarray, ranks: np.ndarray, simil
     return hashes[:length]
 
 
-def pairs_in(keys: np.ndarray, node: np.ndarray, place: np.ndarray, group: np.ndarray, sketches: np.ndarray, similar: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Pairs of a file's members of different groups that may be similar; rows come sorted by key, then place.
+def pairs_in(keys: np.ndarray, place: np.ndarray, group: np.ndarray, sketches: np.ndarray, earlier: np.ndarray, similar: float, reach: int | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Pairs of a file's members of different groups that may be similar, as rows, and how far apart their sketches are; rows come sorted by key, then place.
 
     ``place`` has a text's number of shingles in its upper half and the shingle's place in the lower one.  A pair's
     first common shingle is the first for both: so many shingles as the shorter rest has can be common, and in that
-    file a similar pair passes, as it does by its sketches (a row of words each).  ``reach`` is how far apart members of a pair may be.
+    file a similar pair passes, as it does by its sketches (a row of words each).  ``earlier`` has files that a text is in at
+    lower places: a pair that passes here and has one of them in common passed there.  ``reach`` is how far apart members of a pair may be.
     """
     n, at = place >> 32, place & _LOW
     ends = np.searchsorted(keys, keys, side="right")
@@ -397,8 +400,10 @@ def pairs_in(keys: np.ndarray, node: np.ndarray, place: np.ndarray, group: np.nd
         a, b = left[hit], other[hit]
         apart = np.bitwise_count(sketches[a] ^ sketches[b]).sum(axis=1, dtype=np.int64)
         hit = apart <= n[a] + n[b] - 2 * least[hit]
-        if hit.any():
-            yield node[a[hit]], node[b[hit]]
+        a, b, apart = a[hit], b[hit], apart[hit]
+        new = ~(earlier[a][:, :, None] == earlier[b][:, None, :]).any(axis=(1, 2))
+        if new.any():
+            yield a[new], b[new], apart[new]
         shift += 1
         left = left[left + shift < ends[left]]
 
@@ -481,31 +486,44 @@ def filed(read: DataFrame) -> DataFrame:
 _PAIR = "a long, b long"
 
 
-def candidates(files: DataFrame, nodes: DataFrame, group: str, similar: float, reach: int | None = None) -> DataFrame:
-    """(a, b): pairs of nodes of different groups that may be similar, each once.
+def candidates(files: DataFrame, nodes: DataFrame, group: str, similar: float, reach: int | None = None, nearest: bool = False) -> DataFrame:
+    """(a, b): pairs of nodes of different groups that may be similar, each once; with ``nearest`` few of each two groups, those of like sketches.
 
     ``nodes`` (node, the group, odd) has the sketch of each node; a pair leaves its file only if their sketches allow it.
     """
-    sketch = [f"w{i}" for i in range(WORDS)]
+    sketch, earlier = [f"w{i}" for i in range(WORDS)], [f"e{i}" for i in range(EARLIER)]
+
+    def least_of(found: np.ndarray) -> np.ndarray:
+        """Each pair once, or one of each two groups; ``found`` has (a, b, their groups, how far apart) in columns."""
+        if not nearest:
+            return np.unique(found[:, :2], axis=0)
+        low, high = np.minimum(found[:, 2], found[:, 3]), np.maximum(found[:, 2], found[:, 3])
+        order = np.lexsort((found[:, 1], found[:, 0], found[:, 4], high, low))
+        first = np.concatenate([[True], (np.diff(low[order]) != 0) | (np.diff(high[order]) != 0)])
+        return found[order[first]]
 
     def work(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         size = 0
-        sketches = np.ascontiguousarray(rows[:, 4:]).view(np.uint64)  # of signed numbers, the bits of their amounts would count
-        for a, b in pairs_in(rows[:, 0], rows[:, 2], rows[:, 1], rows[:, 3], sketches, similar, reach):
-            held.append(np.stack([np.minimum(a, b), np.maximum(a, b)]))
+        node, group_of = rows[:, 2], rows[:, 3]
+        sketches = np.ascontiguousarray(rows[:, 4 : 4 + WORDS]).view(np.uint64)  # of signed numbers, the bits of their amounts would count
+        for a, b, apart in pairs_in(rows[:, 0], rows[:, 1], group_of, sketches, rows[:, 4 + WORDS :], similar, reach):
+            a, b = np.where(node[a] < node[b], (a, b), (b, a))
+            held.append(np.stack([node[a], node[b], group_of[a], group_of[b], apart] if nearest else [node[a], node[b]], axis=1))
             size += len(a)
             if size >= 1 << 20:
-                held = [np.unique(np.concatenate(held, axis=1), axis=1)]
-                size = held[0].shape[1]
+                held = [least_of(np.concatenate(held))]
+                size = len(held[0])
                 if size >= 1 << 19:
-                    yield _batch(_PAIR, *held[0])
+                    yield _batch(_PAIR, *held[0][:, :2].T)
                     held, size = [], 0
         if size:
-            yield _batch(_PAIR, *np.unique(np.concatenate(held, axis=1), axis=1))
+            yield _batch(_PAIR, *least_of(np.concatenate(held))[:, :2].T)
 
-    rows = files.join(nodes.select("node", F.col(group).alias("group"), *(F.col("odd")[i].alias(w) for i, w in enumerate(sketch))), "node")
-    return _by_file(rows, ["shingle", "place", "node", "group"], work, _PAIR, sketch).distinct()
+    # a file that is not there is the text itself, which no other text has
+    before = (f"coalesce(lag(shingle, {i + 1}) over (partition by node order by place, shingle), node) as {e}" for i, e in enumerate(earlier))
+    rows = files.selectExpr("*", *before).join(nodes.select("node", F.col(group).alias("group"), *(F.col("odd")[i].alias(w) for i, w in enumerate(sketch))), "node")
+    return _by_file(rows, ["shingle", "place", "node", "group"], work, _PAIR, sketch + earlier).distinct()
 
 
 def _where_both(pairs: DataFrame, nodes: DataFrame, rows: DataFrame, of_text: Callable[[str | None], bytes], decide: Callable[[bytes, bytes], bool], broadcast_rows: int) -> DataFrame:
@@ -575,7 +593,8 @@ def similar_links(read: DataFrame, nodes: DataFrame, rows: DataFrame, near: Data
     ``read`` (node, n, prefix) has the first shingles of every text, ``nodes`` (node, row, fp, odd) one row per distinct set of
     shingles with its sketch, ``rows`` (row, text) the texts, ``near`` (a, b) other links of fingerprints.  Texts are filed under
     their first shingles, rare ones first, where any two similar texts meet.  Neighbours in a few files of each text are verified
-    first, which joins groups of near copies by about as many pairs as they have members; then all pairs are that no link joins yet.
+    first, which joins groups of near copies by about as many pairs as they have members, then the nearest pairs of each two
+    groups, so that a text that a large group has left out is not paired with all of it; then all pairs are that no link joins yet.
     """
     files = filed(read)
     fps = nodes.select("node", "fp")
@@ -585,18 +604,17 @@ def similar_links(read: DataFrame, nodes: DataFrame, rows: DataFrame, near: Data
         by = lambda name: fps.select(F.col("node").alias(name), F.col("fp").alias(f"fp_{name}"))
         return pairs.join(by("a"), "a").join(by("b"), "b").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
 
-    def link(some: DataFrame, reach: int | None) -> None:
+    def link(some: DataFrame, **how) -> None:
         linked = components(reduce(DataFrame.union, found, near)).withColumnRenamed("node", "fp")
         roots = nodes.select("node", "fp", "odd").join(linked, "fp", "left").select("node", F.coalesce("root", "fp").alias("root"), "odd")
-        pairs = verified(candidates(some, roots, "root", similar, reach), nodes, rows, similar, broadcast_rows)
+        pairs = verified(candidates(some, roots, "root", similar, **how), nodes, rows, similar, broadcast_rows)
         found.append(common.stored(of_fps(pairs), "simhash-similar"))
 
-    for turn in range(ROUNDS):
-        # few files of each text: at first those of its rarest shared shingles, then others; a text has no more files than first shingles
-        order = "place & 4294967295" if turn == 0 else f"xxhash64(shingle, {turn})"
-        own = files.selectExpr("*", f"row_number() over (partition by node order by {order}, shingle) as k").where(F.col("k") <= NEIGHBOURS).drop("k")
-        link(own, REACH)
-    link(files, None)
+    # few files of each text, those of its rarest shared shingles; a text has no more files than first shingles
+    few = files.selectExpr("*", "row_number() over (partition by node order by place & 4294967295, shingle) as k").where(F.col("k") <= NEIGHBOURS).drop("k")
+    link(few, reach=REACH)
+    link(files, nearest=True)
+    link(files)
     found = common.stored(reduce(DataFrame.union, found), "simhash-similar")
     common.forget(files)
     return found

@@ -1137,6 +1137,40 @@ def test_shared_passages_are_no_candidates(spark):
     assert simhash.candidates(files, df, "node", 0.8).count() < 30
 
 
+def test_pairs_of_a_large_group(spark, monkeypatch):
+    """Pairs that leave files are about as many as a group of near copies has members, not their square; all of it is found."""
+    rng = random.Random(48)
+    words = [f"w{i}" for i in range(20000)]
+    base = [rng.choice(words) for _ in range(200)]
+    rows = []
+    for i in range(300):
+        text = list(base)
+        for at in rng.sample(range(200), 1 + i % 3):
+            text[at] = rng.choice(words)
+        rows.append((i, " ".join(text)))
+    made, by_file = [], simhash._by_file
+
+    def counted(df, columns, *how):
+        out = by_file(df, columns, *how)
+        if "group" in columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(simhash, "_by_file", counted)
+    sets = [set(simhash.shingle_hashes(text).tolist()) for _, text in rows]
+    near = {(a, b) for a in range(300) for b in range(a + 1, 300) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])}
+    kept = simhash.deduplicated(spark.createDataFrame(rows, "doc_id long, text string"), max_bits=1)
+    root = list(range(300))
+    for _ in range(300):
+        before = list(root)
+        for a, b in near:
+            root[a] = root[b] = min(root[a], root[b])
+        if root == before:
+            break
+    assert {r["doc_id"] for r in kept.collect()} <= set(root)  # fingerprints link some more
+    assert len(near) > 10000 and sum(made) < 30 * 300
+
+
 def test_shuffled_verification(spark):
     """The same result whether pairs and dropped rows are broadcast or joined; equal rows are among the texts."""
     rng = random.Random(23)
