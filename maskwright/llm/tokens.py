@@ -75,7 +75,8 @@ class WordEncoder:
         # the same merges without normaliser and split pattern, for words that need neither
         self.merges = Tokenizer(self.tokenizer.model)
         self.merges.pre_tokenizer = pre_tokenizers.WhitespaceSplit()
-        self.bytes_to_chars = {b: c for b, c in enumerate(byte_characters()) if b != 0x20}
+        #: Bytes, as Latin-1 characters, that do not stand for themselves; blanks stay.
+        self.others = [(chr(b), c) for b, c in enumerate(byte_characters()) if chr(b) != c and b != 0x20]
         (self.mark,) = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.known: dict[str, bytes] = {"": b""}
         self.older: dict[str, bytes] = {}
@@ -129,7 +130,10 @@ class WordEncoder:
             some = chunks[at : at + 2_000]
             text = f" {MARK} ".join(some)
             if plain:
-                text = text.encode().decode("latin-1").translate(self.bytes_to_chars)
+                text = text.encode().decode("latin-1")
+                for byte, char in self.others:  # few of them occur; a table would look at every character
+                    if byte in text:
+                        text = text.replace(byte, char)
             library = self.merges if plain else self.tokenizer
             ids = np.array(library.encode_batch_fast([text], add_special_tokens=False)[0].ids, dtype="<u4")
             ends = np.append(np.flatnonzero(ids == self.mark), len(ids))

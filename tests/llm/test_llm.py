@@ -1097,6 +1097,15 @@ def test_similarity_of_long_texts_is_exact(spark):
     assert kept == expected
 
 
+def test_letters_of_any_bytes_go_to_the_merges():
+    """Every letter that goes to the merges directly, in one call with plain ones."""
+    encoder = tokens.WordEncoder(tokens.vocabulary(tokens.WORD_BPE))
+    letters = [chr(c) for c in (*range(0x61, 0x7B), *range(0xC0, 0x180)) if chr(c).isalpha()]
+    texts = [f"ab{x}cd {x}{x}. {x.upper()}e, plain" for x in letters]
+    expected = [[*encoder.tokenizer.encode(x, add_special_tokens=False).ids, 1] for x in texts]
+    assert [np.frombuffer(x, dtype="<u4").tolist() for x in encoder.encode(pa.array(texts))] == expected
+
+
 def test_likeness():
     rng = random.Random(14)
     a = [f"v{rng.randint(0, 10**6)}" for _ in range(2000)]
