@@ -1422,3 +1422,30 @@ def test_gathered_batches_have_the_same_rows():
     found = list(common.gathered(iter(batches), "text", 4_000))
     assert pa.Table.from_batches(found).to_pylist() == whole.to_pylist() and len(found) < 10
     assert tokens._lowered(whole.column(0).slice(50, 20)).to_pylist() == [(x or "").lower() for x in texts[50:70]]
+
+
+def test_words_are_encoded_without_their_marks():
+    """A word goes to the library once, whatever marks it has; ids are the library's for all neighbours of letters and marks, windows' edges included."""
+    encoder = tokens.WordEncoder(tokens.vocabulary(tokens.WORD_BPE))
+    given, real = [], encoder._encode_many
+    encoder._encode_many = lambda chunks, plain: given.extend(chunks) or real(chunks, plain)
+    listed = lambda part: [np.frombuffer(x, "<u4").tolist() for x in encoder.encode(pa.array(part, pa.string()), None)]
+    texts = [f"{a}größe{b} {a}word{b}" for a in ("", "(", "<<") for b in ("", ".", ",", "!!", "###", '".')]
+    assert listed(texts) == word_ids(texts)
+    assert sorted(given) == sorted({"größe", "word", "(", "<<", ".", ",", "!!", "###", '".'})
+    rng = random.Random(21)
+    pieces = [*"aZéÀ×÷ÿªʼñ.,'’!<|>&#¿\u0338\u0301\u0307½²9 \n", "'s", "'ll", "<|endoftext|>", "</w>", "Σ", "𝐚", "日"]
+    texts = ["".join(rng.choice(pieces) for _ in range(rng.randint(0, 30))) for _ in range(4000)]
+    expected = word_ids(texts)
+    assert listed(texts) == expected
+    before, tokens._WINDOW = tokens._WINDOW, 7
+    try:
+        assert listed(texts[:500]) == expected[:500]
+    finally:
+        tokens._WINDOW = before
+
+
+def test_narrowing_whole_arrays():
+    for documents in ([], [[]], [[], [0, 65535], [], [7]], [[1, 2], [65536, 1], [], [2**32 - 1]]):
+        data = [np.array(d, "<u4").tobytes() for d in documents]
+        assert simple8b._narrowed(pa.array(data, pa.large_binary())).to_pylist() == [simple8b._narrow(d) for d in data]
